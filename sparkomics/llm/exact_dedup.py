@@ -36,17 +36,17 @@ def _keep(by: list[str], rows: DataFrame) -> DataFrame:
     )
 
 
-def _bit(h: Column) -> Column:
-    return F.pmod(F.xxhash64(h), F.lit(BITMAP_BITS)) + 1
+def _bit(key: Column) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(BITMAP_BITS)) + 1
 
 
-def _where_set(rows: DataFrame, repeated: DataFrame) -> DataFrame:
-    """Rows whose hash may be among ``repeated``: the bitmap has no false negatives."""
-    bits = repeated.select(F.bitmap_bucket_number(_bit(F.col("h"))).alias("bucket"), F.bitmap_bit_position(_bit(F.col("h"))).alias("at"))
+def where_set(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """Rows whose ``key`` may be among ``wanted``'s: a bitmap without false negatives, of at most BITMAP_BITS / 8 bytes."""
+    bits = wanted.select(F.bitmap_bucket_number(_bit(F.col(key))).alias("bucket"), F.bitmap_bit_position(_bit(F.col(key))).alias("at"))
     bitmap = bits.groupBy("bucket").agg(F.bitmap_construct_agg("at").alias("bits"))  # at most BITMAP_BITS / 2**15 rows of 4 KB
-    at = F.bitmap_bit_position(_bit(F.col("h")))
+    at = F.bitmap_bit_position(_bit(F.col(key)))
     byte = F.conv(F.hex(F.substring(F.col("bits"), (F.floor(at / 8) + 1).cast("int"), 1)), 16, 10).cast("int")
-    return rows.withColumn("bucket", F.bitmap_bucket_number(_bit(F.col("h")))).join(F.broadcast(bitmap), "bucket").where(F.getbit(byte, (at % 8).cast("int")) == 1).drop("bucket", "bits")
+    return rows.withColumn("bucket", F.bitmap_bucket_number(_bit(F.col(key)))).join(F.broadcast(bitmap), "bucket").where(F.getbit(byte, (at % 8).cast("int")) == 1).drop("bucket", "bits")
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", content_hash=md5_128) -> DataFrame:
@@ -65,7 +65,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     groups = _keep(["h"], base)
     repeated = base.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
     texts = given.select(content_hash(text).alias("h"), text.alias("norm"))
-    distinct = _where_set(texts, repeated).join(repeated, "h", "left_semi").groupBy("h", "norm").count()
+    distinct = where_set(texts, "h", repeated).join(repeated, "h", "left_semi").groupBy("h", "norm").count()
     collided = materialise(distinct.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "collided")
     columns = ["doc_id", F.col("keep.id").alias("keep_id"), "group_size", (F.col("row_id") == F.col("keep.c")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256")]
     if collided.isEmpty():
