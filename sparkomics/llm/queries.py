@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, near_dedup, packing, sharding
+from . import exact_dedup, html_text, mixing, near_dedup, packing, quality, sharding, toxicity
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
     "op2_near_dedup": near_dedup.op2_near_dedup,
     "op3_sharding": sharding.op3_sharding,
+    "op4_html_text": html_text.op4_html_text,
+    "op5_toxicity": toxicity.op5_toxicity,
+    "op6_quality_rules": quality.op6_quality_rules,
     "op7_mixing": mixing.op7_mixing,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
 }
