@@ -108,7 +108,7 @@ def shared_bands(classes: DataFrame) -> DataFrame:
     """``node, key, leader`` of ``classes (node, bands)`` for every band value that two or more nodes have; leader: the least."""
     dealt = classes.select("node", F.explode("bands").alias("key")).repartition("key")
     least = dealt.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("most")).where("leader != most")
-    return materialise(dealt.join(least.select("key", "leader"), "key").select("node", "key", "leader"), "bands")
+    return materialise(dealt.join(least.select("key", "leader"), "key").select("node", "key", "leader").distinct(), "bands")
 
 
 def link(shared: DataFrame, sets: DataFrame, percent: int = 80) -> DataFrame:
