@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, html_text, line_dedup, mixing, near_dedup, packing, quality, sharding, toxicity
+from . import exact_dedup, html_text, line_dedup, lm_scoring, mixing, near_dedup, packing, quality, sharding, toxicity
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_quality_rules": quality.op6_quality_rules,
     "op7_mixing": mixing.op7_mixing,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
+    "op9_lm_scoring": lm_scoring.op9_lm_scoring,
     "op10_line_dedup": line_dedup.op10_line_dedup,
 }
 
