@@ -70,7 +70,7 @@ def score_text(text: bytes, bias: float, dense: np.ndarray) -> float:
     return float(1 / (1 + np.exp(-np.clip(total, -60, 60))))
 
 
-def fit(texts: list[bytes], labels: np.ndarray, epochs: int = 4, alpha: float = 1.0, beta: float = 1.0, l1: float = 5.0, l2: float = 1.0) -> Model:
+def fit(texts: list[bytes], labels: np.ndarray, epochs: int = 4, alpha: float = 4.0, beta: float = 1.0, l1: float = 4.0, l2: float = 0.0) -> Model:
     """FTRL-proximal with per-coordinate rates, rows in the order given; the bias starts at the base rate, unregularised.
 
     Without rows the score of any text is 1/11.
