@@ -1,4 +1,6 @@
 """Registered queries over the driver's tables and the SQL that gives the same rows."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import modelling, tabular
+
+QUERIES: dict = tabular.QUERIES | modelling.QUERIES
+ORACLES: dict = tabular.ORACLES | modelling.ORACLES
