@@ -2,20 +2,21 @@
 
 Nodes are classes of equal shingle sets, so copies never meet here.  A bucket is a band value that several nodes share.
 No bucket is expanded into all its pairs: first every node is compared with the smallest node of one of its buckets;
-what that links is contracted; then, for buckets that still hold several components, up to ``LEADERS`` nodes at a time
-are compared with the bucket's nodes of other components, and leave the bucket.  The rounds end when no bucket holds
-nodes of two components that weren't compared, so no candidate link between components is lost and none is capped.
+what that links is contracted; then, for buckets that still hold several components, about ``LEADERS`` nodes (``GROWTH``
+times as many in each further round) are compared with the bucket's nodes of other components, and leave the bucket.
+The rounds end when no bucket holds nodes of two components that weren't compared, so no candidate link between
+components is lost and none is capped.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise, mix64, release
 
-LEADERS = 8
+LEADERS, GROWTH = 8, 16
 
 
 class CirculantMinHash:
@@ -111,23 +112,45 @@ def shared_bands(classes: DataFrame) -> DataFrame:
     return materialise(dealt.join(least.select("key", "leader"), "key").select("node", "key", "leader").distinct(), "bands")
 
 
-def link(shared: DataFrame, sets: DataFrame, percent: int = 80) -> DataFrame:
-    """``node, component`` of all nodes with a verified link, from ``shared_bands`` and the nodes' exact ``sets``."""
+def link(shared: DataFrame, classes: DataFrame, sets: DataFrame, percent: int = 80) -> DataFrame:
+    """``node, component`` of all nodes with a verified link, from ``shared_bands`` of ``classes (node, bands, size)`` and
+    the nodes' exact ``sets``.
+
+    In the rounds every row of a bucket carries its node's bands and set size, so a pair is made only in the first band
+    that it shares and only if its sizes allow the similarity.  Leaders are drawn by a hash at a rate of their number
+    over the bucket's size: no bucket is sorted or gathered in one task.
+    """
     pairs = shared.where("node != leader").groupBy("node").agg(F.min("leader").alias("a")).select("a", F.col("node").alias("b"))
-    links = materialise(verified(pairs, sets, percent), "links")
-    found = materialise(components(links), "components")
-    rest = shared.select("node", "key")
+    found = materialise(components(materialise(verified(pairs, sets, percent), "links")), "components")
+    rest, most = shared.select("node", "key"), LEADERS
+    columns = ["node", "key"]
     while True:
-        named = rest.join(found, "node", "left").select("node", "key", F.coalesce("component", "node").alias("component"))
-        mixed = named.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("key")
-        rest_now = materialise(named.join(mixed, "key", "left_semi"), "rest")
+        named = rest.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        mixed = named.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n")).where("x != y").select("key", "n")
+        named = named.join(mixed, "key")
+        if "bands" not in columns:
+            columns += ["bands", "size"]
+            named = named.join(classes.select("node", "bands", "size"), "node")
+        draw = F.pmod(F.xxhash64("node", "key", F.lit(most)), F.lit(1 << 30)) / float(1 << 30)
+        rest_now = materialise(named.select(*columns, "component", (draw * F.col("n") < most).alias("leads")), "rest")
         if rest_now.isEmpty():
             return found
-        place = Window.partitionBy("key").orderBy("node")
-        leaders = materialise(rest_now.withColumn("place", F.row_number().over(place)).where(F.col("place") <= LEADERS).select("key", F.col("node").alias("leader"), F.col("component").alias("of")), "leaders")
-        met = rest_now.join(leaders, "key").where("component != of").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
-        more = materialise(verified(met, sets, percent), "links")
+        leaders = rest_now.where("leads").select("key", F.col("node").alias("leader"), F.col("component").alias("of"), F.col("bands").alias("of_bands"), F.col("size").alias("of_size"))
+        same = F.array_position(F.zip_with("bands", "of_bands", lambda x, y: x == y), True)
+        fits = 100 * F.least("size", "of_size") >= percent * F.greatest("size", "of_size")
+        once = (~F.col("leads")) | (F.col("node") > F.col("leader"))  # of two leaders one makes the pair
+        met = rest_now.join(leaders, "key").where((F.col("component") != F.col("of")) & once & fits & (F.element_at("bands", same.cast("int")) == F.col("key")))
+        more = materialise(verified(met.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")), sets, percent), "links")
         if not more.isEmpty():
-            links = links.unionByName(more)
-            found = materialise(components(links), "components")
-        rest = rest_now.join(leaders, (rest_now["key"] == leaders["key"]) & (rest_now["node"] == leaders["leader"]), "left_anti").select("node", "key")
+            found = materialise(joined(found, more), "components")
+        rest, most = rest_now.where("not leads").select(*columns), most * GROWTH
+
+
+def joined(found: DataFrame, links: DataFrame) -> DataFrame:
+    """``found (node, component)`` after further ``links (a, b)``: only the components that they touch are united."""
+    ends = links.select("a", "b")
+    for c in ("a", "b"):
+        ends = ends.join(found.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}")), c, "left").withColumn(f"of_{c}", F.coalesce(f"of_{c}", c))
+    united = components(ends.select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))).select(F.col("node").alias("component"), F.col("component").alias("now"))
+    every = found.unionByName(united.select(F.col("component").alias("node"), "component")).groupBy("node").agg(F.min("component").alias("component"))
+    return every.join(united, "component", "left").select("node", F.coalesce("now", "component").alias("component"))

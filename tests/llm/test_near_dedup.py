@@ -66,7 +66,8 @@ def test_links_without_the_leader(spark):
     n = 40
     sets = [(i, [100 * i + k for k in range(10)]) for i in range(n)] + [(n + i, [100 * i + k for k in range(9)]) for i in range(n)]
     shared = spark.createDataFrame([(i, 7, 0) for i, _ in sets], "node long, key long, leader long")
-    found = linking.link(shared, spark.createDataFrame(sets, "node long, items array<long>"))
+    classes = spark.createDataFrame([(i, [7], len(items)) for i, items in sets], "node long, bands array<long>, size int")
+    found = linking.link(shared, classes, spark.createDataFrame(sets, "node long, items array<long>"))
     assert sorted(map(tuple, found.collect())) == sorted([(i, i) for i in range(n)] + [(n + i, i) for i in range(n)])
 
 
