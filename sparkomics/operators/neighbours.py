@@ -21,7 +21,8 @@ def _tiles(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     n = max(1, -(-vectors.count() // TILE))
     own = F.pmod(F.xxhash64("sample_id"), F.lit(n)).cast("int")
     every = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    return vectors.withColumn("qt", own).withColumn("bt", every), vectors.withColumn("bt", own).withColumn("qt", every)
+    again = vectors.select(*[F.col(c).alias(c) for c in vectors.columns])  # columns of its own: both sides meet in one plan
+    return vectors.withColumn("qt", own).withColumn("bt", every), again.withColumn("bt", own).withColumn("qt", every)
 
 
 def _distances(q: pd.DataFrame, b: pd.DataFrame) -> np.ndarray:
@@ -68,8 +69,9 @@ def knn_predict(vectors: DataFrame, resamples: int, k: int = 1) -> DataFrame:
 
     cells = queries.groupBy("qt", "bt").cogroup(base.groupBy("qt", "bt")).applyInPandas(lambda q, b: tile(q, b), schema)
     merged = cells.groupBy("sample_id", "obs", "split", "d", "cls").agg(F.sum("n").alias("n"))
-    w = Window.partitionBy("sample_id", "split").orderBy("d")  # at most k distances a tile
-    near = merged.withColumn("closer", F.coalesce(F.sum("n").over(w.rangeBetween(Window.unboundedPreceding, -1e-300)), F.lit(0))).where(F.col("closer") < k)
+    w = Window.partitionBy("sample_id", "split")  # at most k distances a tile
+    closer = F.sum("n").over(w.orderBy("d")) - F.sum("n").over(Window.partitionBy("sample_id", "split", "d"))
+    near = merged.withColumn("closer", closer).where(F.col("closer") < k)
     votes = near.groupBy("sample_id", "obs", "split", "cls").agg(F.sum("n").alias("votes"))
     best = votes.groupBy("sample_id", "obs", "split").agg(F.min(F.struct((-F.col("votes")).alias("v"), F.col("cls").alias("c"))).alias("b"), F.sum("votes").alias("total"))
     return best.select("sample_id", "obs", "split", F.col("b.c").alias("pred"), (-F.col("b.v")).alias("votes"))
