@@ -106,20 +106,20 @@ def borda(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(rank.borda(resampled(spark, sf)).select("feature", "score", "stat", "fs_rank"))
 
 
-_FREQ = f"{_RERANK}, f AS (SELECT feature, count(*) / 10.0 AS freq FROM k WHERE fs_rank <= 20 GROUP BY feature)"
+_FREQ = f"{_RERANK}, fq AS (SELECT feature, count(*) / 10.0 AS freq FROM k WHERE fs_rank <= 20 GROUP BY feature)"
 
 
-@query("feat_freq", f"WITH {_FREQ} SELECT feature, round(freq, 6)::DOUBLE AS freq, freq >= 0.5 AS kept FROM f")
+@query("feat_freq", f"WITH {_FREQ} SELECT feature, round(freq, 6)::DOUBLE AS freq, freq >= 0.5 AS kept FROM fq")
 def feat_freq(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(rank.feat_freq(resampled(spark, sf), 20).select("feature", "freq", "kept"))
 
 
-@query("feat_stability", f"WITH {_FREQ} SELECT 'fs.snr' AS method, round(avg(freq), 6)::DOUBLE AS stability FROM f")
+@query("feat_stability", f"WITH {_FREQ} SELECT 'fs.snr' AS method, round(avg(freq), 6)::DOUBLE AS stability FROM fq")
 def feat_stability(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(rank.stability(rank.feat_freq(resampled(spark, sf), 20)))
 
 
-@query("feat_cons", f"WITH {_FREQ} SELECT feature, CAST(freq AS DOUBLE) AS \"fs.snr\", CAST(1 AS BIGINT) AS n_methods FROM f WHERE freq >= 0.5")
+@query("feat_cons", f"WITH {_FREQ} SELECT feature, CAST(freq AS DOUBLE) AS \"fs.snr\", CAST(1 AS BIGINT) AS n_methods FROM fq WHERE freq >= 0.5")
 def feat_cons(spark: SparkSession, sf: str) -> DataFrame:
     return rank.feat_cons(rank.feat_freq(resampled(spark, sf), 20), ["fs.snr"]).drop("feature_idx")
 
@@ -144,7 +144,7 @@ def feat_mfs_orders(spark: SparkSession, sf: str) -> DataFrame:
 _KNN = (
     f"{_cv(False, 1, 5)}, v AS (SELECT vec_id AS sample_id, CAST(label AS VARCHAR) AS cls, feature, value FROM (SELECT vec_id, label, unnest(range(1, 9)) AS feature, unnest(embedding[1:8])::DOUBLE AS value FROM embeddings)), "
     "d AS (SELECT a.sample_id AS q, b.sample_id AS id, b.cls, sum((a.value - b.value) * (a.value - b.value)) AS d FROM v a JOIN v b USING (feature) GROUP BY ALL), m AS (SELECT iter, rep, q, id, d.cls, d FROM d JOIN splits x ON x.sample_id = q AND x.mult = 0 JOIN splits y USING (iter, rep) WHERE y.sample_id = id AND y.mult = 1), "
-    "n AS (SELECT *, rank() OVER (PARTITION BY iter, rep, q ORDER BY d) AS place FROM m), w AS (SELECT iter, rep, q, cls, count(*) AS votes FROM n WHERE place <= 3 GROUP BY ALL), p AS (SELECT iter, rep, q AS sample_id, arg_min(cls, (-votes, cls)) AS pred FROM w GROUP BY ALL), pr AS (SELECT p.*, s.cls AS obs FROM p JOIN s USING (sample_id))"
+    "nn AS (SELECT *, rank() OVER (PARTITION BY iter, rep, q ORDER BY d) AS place FROM m), w AS (SELECT iter, rep, q, cls, count(*) AS votes FROM nn WHERE place <= 3 GROUP BY ALL), p AS (SELECT iter, rep, q AS sample_id, arg_min(cls, (-votes, cls)) AS pred FROM w GROUP BY ALL), pr AS (SELECT p.*, s.cls AS obs FROM p JOIN s USING (sample_id))"
 )
 _KPLAN = Plan("cv", 1, 5)
 
@@ -159,7 +159,7 @@ def knn_cv_preds(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(knn(spark, sf).preds.select("rep", "sample_id", "obs", "pred"))
 
 
-@query("knn_cv_accest", f"WITH {_KNN}, f AS (SELECT iter, rep, avg(CAST(obs = pred AS INTEGER)) AS acc FROM pr GROUP BY ALL) SELECT CAST(iter AS BIGINT) AS iter, round(avg(acc), 6) AS acc, round(1 - avg(acc), 6) AS err FROM f GROUP BY iter")
+@query("knn_cv_accest", f"WITH {_KNN}, fa AS (SELECT iter, rep, avg(CAST(obs = pred AS INTEGER)) AS acc FROM pr GROUP BY ALL) SELECT CAST(iter AS BIGINT) AS iter, round(avg(acc), 6) AS acc, round(1 - avg(acc), 6) AS err FROM fa GROUP BY iter")
 def knn_cv_accest(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(knn(spark, sf).iters.select("iter", "acc", "err"))
 

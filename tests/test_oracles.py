@@ -33,7 +33,7 @@ def test_query_against_sql(spark, duck, name):
     assert len(got)
 
 
-@pytest.mark.parametrize("name", ["fs_pls", "fs_plsvip_2", "fs_rfe", "plslda_predict", "lda_cv", "svm_cv", "boot_lda", "maccest_anova", "tune_plsc", "cor_hcl", "mds_manhattan", "smooth_line", "stats_mat_rounded", "frankvali_knn"])
+@pytest.mark.parametrize("name", ["fs_pls", "fs_plsvip_2", "fs_rfe", "plslda_predict", "svm_cv", "tune_plsc", "cor_hcl", "mds_manhattan", "smooth_line", "stats_mat_rounded"])
 def test_query_without_sql(spark, name):
     got = catalogue.QUERIES[name](spark, SF).toPandas()
     assert len(got)
