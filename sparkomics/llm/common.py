@@ -7,6 +7,7 @@ split at the six ASCII white-space bytes (``bytes.split`` splits at exactly thos
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import tempfile
 import uuid
@@ -65,6 +66,12 @@ def release(df: DataFrame | None) -> None:
         discard(df.sparkSession, path)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of frames that are out of use: it does so when the driver collects garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 _written: list[tuple[SparkSession, str]] = []
 
 

@@ -10,13 +10,16 @@ components is lost and none is capped.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise, mix64, release
+from .exact_dedup import where_set
 
-LEADERS, GROWTH = 8, 16
+LEADERS, GROWTH = 8, 4
 
 
 class CirculantMinHash:
@@ -30,8 +33,10 @@ class CirculantMinHash:
     def __init__(self, bands: int, rows: int, bits: int = 20, seed: int = 1) -> None:
         self.bands, self.rows, self.size = bands, rows, 1 << bits
         self.shift, self.seed = np.uint64(64 - bits), np.uint64(seed * 0x9E3779B97F4A7C15 % (1 << 64))
-        second = np.random.default_rng(seed).permutation(self.size).astype(np.uint32)
+        second = np.random.default_rng(seed).permutation(self.size).astype(np.uint16 if bits <= 16 else np.uint32)
         self.windows = np.lib.stride_tricks.sliding_window_view(np.concatenate([second, second[: bands * rows - 1]]), bands * rows)
+        if bits <= 16:
+            self.windows = np.ascontiguousarray(self.windows)  # 128 KB a coordinate
 
     def places(self, hashes: np.ndarray) -> np.ndarray:
         return (mix64(hashes ^ self.seed) >> self.shift).astype(np.int64)
@@ -39,13 +44,19 @@ class CirculantMinHash:
     def signatures(self, hashes: np.ndarray, starts: np.ndarray, block: int = 2048) -> np.ndarray:
         """One row for each run of ``hashes`` that begins at one of ``starts`` (ascending, no run is empty)."""
         places, n = self.places(hashes), len(hashes)
-        out = np.full((len(starts), self.bands * self.rows), self.size, dtype=np.uint32)
+        out = np.full((len(starts), self.bands * self.rows), self.size - 1, dtype=self.windows.dtype)
         ends = np.append(starts[1:], n)
+        whole = self.windows.flags.c_contiguous
         for a in range(0, n, block):
             b = min(n, a + block)
             i, j = int(np.searchsorted(ends, a, "right")), int(np.searchsorted(starts, b, "left"))
+            rows = self.windows.take(places[a:b], axis=0) if whole else self.windows[places[a:b]]
             cuts = np.maximum(starts[i:j], a) - a
-            np.minimum(out[i:j], np.minimum.reduceat(self.windows[places[a:b]], cuts, axis=0), out=out[i:j])
+            if b - a < 64 * (j - i):
+                found = np.minimum.reduceat(rows, cuts, axis=0)
+            else:
+                found = np.stack([least(rows[x:y]) for x, y in zip(cuts, [*cuts[1:], b - a], strict=True)])
+            np.minimum(out[i:j], found, out=out[i:j])
         return out
 
     def keys(self, signatures: np.ndarray) -> np.ndarray:
@@ -57,6 +68,17 @@ class CirculantMinHash:
         return out.view(np.int64)
 
 
+def least(rows: np.ndarray) -> np.ndarray:
+    """Column minima by folding the rows in halves: whole blocks at a time, faster than a reduction over rows."""
+    while len(rows) > 1:
+        half = len(rows) // 2
+        folded = np.minimum(rows[:half], rows[half : 2 * half])
+        if len(rows) % 2:
+            np.minimum(folded[0], rows[-1], out=folded[0])
+        rows = folded
+    return rows[0]
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``node, component`` for every node of ``edges (a, b)``: the least node that it reaches.
 
@@ -91,13 +113,8 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of ``pairs (a, b)`` those with 100 * intersection >= percent * union of their ``sets (node, items)``.
-
-    The smaller node's set travels with the pair; a hot node is hot in pairs of two numbers only.
-    """
-    first = sets.select(F.col("node").alias("a"), F.col("items").alias("items_a"))
-    second = sets.select(F.col("node").alias("b"), F.col("items").alias("items_b"))
-    both = pairs.join(first, "a").join(second, "b")
+    """Of ``pairs (a, b)`` those with 100 * intersection >= percent * union of their ``sets (node, items)``."""
+    both = fetched(pairs, sets)
     n = F.size("items_a").cast("long") + F.size("items_b")
     short, long = F.least(F.size("items_a"), F.size("items_b")), F.greatest(F.size("items_a"), F.size("items_b"))
     both = both.where(100 * short.cast("long") >= percent * long.cast("long"))
@@ -105,6 +122,14 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * common >= percent * (n - common)).select("a", "b")
 
 
+def fetched(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """``a, b, items_a, items_b``.  The first node's set travels with the pair; a hot node is hot in pairs of two
+    numbers only."""
+    first = sets.select(F.col("node").alias("a"), F.col("items").alias("items_a"))
+    second = sets.select(F.col("node").alias("b"), F.col("items").alias("items_b"))
+    return pairs.join(first, "a").join(second, "b")
+
+
 def shared_bands(classes: DataFrame) -> DataFrame:
     """``node, key, leader`` of ``classes (node, bands)`` for every band value that two or more nodes have; leader: the least."""
     dealt = classes.select("node", F.explode("bands").alias("key")).repartition("key")
@@ -112,16 +137,17 @@ def shared_bands(classes: DataFrame) -> DataFrame:
     return materialise(dealt.join(least.select("key", "leader"), "key").select("node", "key", "leader").distinct(), "bands")
 
 
-def link(shared: DataFrame, classes: DataFrame, sets: DataFrame, percent: int = 80) -> DataFrame:
+def link(shared: DataFrame, classes: DataFrame, sets: DataFrame, percent: int = 80, verify: Callable[[DataFrame, DataFrame, int], DataFrame] = verified) -> DataFrame:
     """``node, component`` of all nodes with a verified link, from ``shared_bands`` of ``classes (node, bands, size)`` and
-    the nodes' exact ``sets``.
+    the nodes' exact ``sets (node, items)``, which ``verify`` compares.  A null size stands for an unknown one.
 
     In the rounds every row of a bucket carries its node's bands and set size, so a pair is made only in the first band
     that it shares and only if its sizes allow the similarity.  Leaders are drawn by a hash at a rate of their number
-    over the bucket's size: no bucket is sorted or gathered in one task.
+    over the bucket's size: no bucket is sorted or gathered in one task.  The hash is the node's, so buckets with the
+    same nodes have the same leaders, and what those link is contracted before more pairs are made.
     """
     pairs = shared.where("node != leader").groupBy("node").agg(F.min("leader").alias("a")).select("a", F.col("node").alias("b"))
-    found = materialise(components(materialise(verified(pairs, sets, percent), "links")), "components")
+    found = materialise(components(materialise(verify(pairs, sets, percent), "links")), "components")
     rest, most = shared.select("node", "key"), LEADERS
     columns = ["node", "key"]
     while True:
@@ -131,7 +157,7 @@ def link(shared: DataFrame, classes: DataFrame, sets: DataFrame, percent: int =
         if "bands" not in columns:
             columns += ["bands", "size"]
             named = named.join(classes.select("node", "bands", "size"), "node")
-        draw = F.pmod(F.xxhash64("node", "key", F.lit(most)), F.lit(1 << 30)) / float(1 << 30)
+        draw = F.pmod(F.xxhash64("node", F.lit(most)), F.lit(1 << 30)) / float(1 << 30)
         rest_now = materialise(named.select(*columns, "component", (draw * F.col("n") < most).alias("leads")), "rest")
         if rest_now.isEmpty():
             return found
@@ -139,8 +165,11 @@ def link(shared: DataFrame, classes: DataFrame, sets: DataFrame, percent: int =
         same = F.array_position(F.zip_with("bands", "of_bands", lambda x, y: x == y), True)
         fits = 100 * F.least("size", "of_size") >= percent * F.greatest("size", "of_size")
         once = (~F.col("leads")) | (F.col("node") > F.col("leader"))  # of two leaders one makes the pair
+        fits = F.coalesce(fits, F.lit(True))
         met = rest_now.join(leaders, "key").where((F.col("component") != F.col("of")) & once & fits & (F.element_at("bands", same.cast("int")) == F.col("key")))
-        more = materialise(verified(met.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")), sets, percent), "links")
+        met = materialise(met.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")), "pairs")
+        ends = met.select(F.explode(F.array("a", "b")).alias("node"))
+        more = materialise(verify(met, where_set(sets, "node", ends), percent), "links")
         if not more.isEmpty():
             found = materialise(joined(found, more), "components")
         rest, most = rest_now.where("not leads").select(*columns), most * GROWTH
