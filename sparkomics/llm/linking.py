@@ -139,7 +139,7 @@ def shared_bands(classes: DataFrame) -> DataFrame:
 
 def link(shared: DataFrame, classes: DataFrame, sets: DataFrame, percent: int = 80, verify: Callable[[DataFrame, DataFrame, int], DataFrame] = verified) -> DataFrame:
     """``node, component`` of all nodes with a verified link, from ``shared_bands`` of ``classes (node, bands, size)`` and
-    the nodes' exact ``sets (node, items)``, which ``verify`` compares.  A null size stands for an unknown one.
+    the nodes' exact ``sets (node, items)``, which ``verify`` compares.
 
     In the rounds every row of a bucket carries its node's bands and set size, so a pair is made only in the first band
     that it shares and only if its sizes allow the similarity.  Leaders are drawn by a hash at a rate of their number
@@ -165,7 +165,6 @@ def link(shared: DataFrame, classes: DataFrame, sets: DataFrame, percent: int =
         same = F.array_position(F.zip_with("bands", "of_bands", lambda x, y: x == y), True)
         fits = 100 * F.least("size", "of_size") >= percent * F.greatest("size", "of_size")
         once = (~F.col("leads")) | (F.col("node") > F.col("leader"))  # of two leaders one makes the pair
-        fits = F.coalesce(fits, F.lit(True))
         met = rest_now.join(leaders, "key").where((F.col("component") != F.col("of")) & once & fits & (F.element_at("bands", same.cast("int")) == F.col("key")))
         met = materialise(met.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")), "pairs")
         ends = met.select(F.explode(F.array("a", "b")).alias("node"))
