@@ -197,7 +197,7 @@ class TokenIds:
     straight to the BPE model; all others go through the whole tokenizer.
     """
 
-    def __init__(self, path: str, end_id: int, most: int = 300_000) -> None:
+    def __init__(self, path: str, end_id: int, most: int = 700_000) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -217,8 +217,9 @@ class TokenIds:
         return found
 
     def word(self, raw: bytes) -> list[int]:
-        if len(self.words) >= self.most or len(self.parts) >= self.most:
+        if len(self.words) >= self.most:
             self.words.clear()
+        if len(self.parts) >= self.most:
             self.parts.clear()
         text = raw.decode("utf-8", "replace")
         if self.plain(text):
