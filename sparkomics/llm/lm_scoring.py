@@ -1,15 +1,17 @@
 """Masked pseudo-likelihood: a bidirectional window network predicts every token of a text from both sides.
 
-Tokens are words without case; the ``NAMED`` most frequent ones of the corpus have ids of their own, the others share
-``HASHED`` ids by hash, so every token is predicted.  The network sums an embedding table for each of the four places
+Tokens are words without case.  Words that occur often enough have ids of their own: the threshold is ``LEAST`` or the
+root of the corpus's tokens over ``SPREAD``, so the vocabulary grows with the corpus (it has ``NAMED`` words at least).  The
+others share ``HASHED`` ids by hash, and for each of them log P(word | id) by the corpus counts is added, so the
+probabilities of all words of the corpus sum to 1.  The network sums an embedding table for each of the four places
 around a token (two left, two right; nothing beyond a text's ends), applies tanh, and predicts the token in two steps,
 its block of ids and its place in the block; both softmaxes are exact, so the log-probabilities are normalised.
 
 1. Words are counted over all texts (partial counts per task, then a shuffle).  2. Every task trains the network from
 one start (small random embeddings, biases from the counts) on all tokens of the texts it reads, by Adagrad; the tasks'
-weights, weighted by their tokens, are averaged in a tree of fan-in ``FAN_IN``, one round.  3. A second pass scores
-every text: the sum over its tokens of the conditional log-probability.  Nothing is sampled.  The network has about
-120,000 weights (0.5 MB) whatever the corpus, which is what tasks send and receive.
+weights, weighted by their tokens, are averaged in a tree of fan-in ``FAN_IN`` piece by piece, one round.  3. A second pass scores
+every text: the sum over its tokens of the conditional log-probability.  4. Unnamed words meet their counts in a join by
+word.  Nothing is sampled.  The network has about 80 weights for each id, which is what tasks send and receive.
 """
 
 from __future__ import annotations
@@ -27,29 +29,50 @@ from pyspark.sql import functions as F
 
 from .common import id_text, map_batches, materialise, utf8
 
-NAMED, HASHED, BLOCKS = 1536, 512, 32
+NAMED, HASHED, INNER = 1536, 512, 64
 SIZE = NAMED + HASHED
-INNER = SIZE // BLOCKS
+LEAST, SPREAD = 64, 32
 WIDTH = 16
 OFFSETS = (-2, -1, 1, 2)
 BATCH = 8192
 FAN_IN = 64
+PIECE = 1 << 15
 MOST_COUNTED = 300_000
 MOST_WORD_BYTES = 256
 
 
+def inner_size(ids: int) -> int:
+    """Ids in a block: at least half as many as there are blocks."""
+    size = INNER
+    while 2 * size * size < ids:
+        size *= 2
+    return size
+
+
+def size_for(named: int) -> int:
+    """All ids of a vocabulary of ``named`` words, in whole blocks; the last ``HASHED`` are the shared ones."""
+    ids = max(NAMED, named) + HASHED
+    inner = inner_size(ids)
+    return -(-ids // inner) * inner
+
+
+def counted(word: bytes) -> bytes:
+    """A word as it is counted: one of more than ``MOST_WORD_BYTES`` by a 128-bit hash."""
+    return word if len(word) <= MOST_WORD_BYTES else b"\x00" + xxhash.xxh3_128_digest(word)
+
+
 class Ids(dict):
-    """word -> id; the table of unnamed words is emptied when it is full."""
+    """word -> id; the table of unnamed words is emptied when it is full.  Ids from ``first`` on are shared."""
 
     def __init__(self, named: list[bytes]) -> None:
         super().__init__({w: i for i, w in enumerate(named)})
-        self.named = named
+        self.named, self.first = named, size_for(len(named)) - HASHED
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > MOST_COUNTED:
+        if len(self) > MOST_COUNTED + len(self.named):
             self.clear()
             self.update({w: i for i, w in enumerate(self.named)})
-        value = self[word] = NAMED + xxhash.xxh3_64_intdigest(word, 3) % HASHED
+        value = self[word] = self.first + xxhash.xxh3_64_intdigest(counted(word), 3) % HASHED
         return value
 
     def of(self, text: bytes) -> np.ndarray:
@@ -58,28 +81,33 @@ class Ids(dict):
 
 
 class Network:
-    """``tables``: (4, SIZE + 1, WIDTH), the last row stays 0 for places beyond the ends; blocks and inner places with biases."""
+    """``tables``: (4, ids + 1, WIDTH), the last row stays 0 for places beyond the ends; blocks and inner places with biases."""
 
     def __init__(self, tables: np.ndarray, outer: np.ndarray, outer_bias: np.ndarray, inner: np.ndarray, inner_bias: np.ndarray) -> None:
         self.parts = [np.ascontiguousarray(p, dtype=np.float32) for p in (tables, outer, outer_bias, inner, inner_bias)]
         self.tables, self.outer, self.outer_bias, self.inner, self.inner_bias = self.parts
+        self.size, self.blocks, self.places = self.tables.shape[1] - 1, *self.inner_bias.shape
         self.squares = [np.full(p.shape, 1e-6, dtype=np.float32) for p in self.parts]
 
     @classmethod
     def start(cls, counts: np.ndarray, seed: int = 11) -> Network:
         rng = np.random.default_rng(seed)
-        share = (counts + 0.5).reshape(BLOCKS, INNER)
-        tables = rng.normal(0, 0.1, (len(OFFSETS), SIZE + 1, WIDTH))
-        tables[:, SIZE] = 0
+        size = len(counts)
+        share = (counts + 0.5).reshape(-1, inner_size(size))
+        blocks, places = share.shape
+        tables = rng.normal(0, 0.1, (len(OFFSETS), size + 1, WIDTH))
+        tables[:, size] = 0
         inner_bias = np.log(share / share.sum(axis=1, keepdims=True))
-        return cls(tables, rng.normal(0, 0.1, (WIDTH, BLOCKS)), np.log(share.sum(axis=1) / share.sum()), rng.normal(0, 0.1, (BLOCKS, WIDTH, INNER)), inner_bias)
+        return cls(tables, rng.normal(0, 0.1, (WIDTH, blocks)), np.log(share.sum(axis=1) / share.sum()), rng.normal(0, 0.1, (blocks, WIDTH, places)), inner_bias)
 
     def flat(self) -> np.ndarray:
         return np.concatenate([p.ravel() for p in self.parts])
 
     @classmethod
-    def from_flat(cls, flat: np.ndarray) -> Network:
-        shapes = [(len(OFFSETS), SIZE + 1, WIDTH), (WIDTH, BLOCKS), (BLOCKS,), (BLOCKS, WIDTH, INNER), (BLOCKS, INNER)]
+    def from_flat(cls, flat: np.ndarray, size: int = SIZE) -> Network:
+        places = inner_size(size)
+        blocks = size // places
+        shapes = [(len(OFFSETS), size + 1, WIDTH), (WIDTH, blocks), (blocks,), (blocks, WIDTH, places), (blocks, places)]
         cuts = np.cumsum([int(np.prod(s)) for s in shapes])[:-1]
         return cls(*[p.reshape(s) for p, s in zip(np.split(flat, cuts), shapes, strict=True)])
 
@@ -92,8 +120,8 @@ class Network:
     def run(self, tokens: np.ndarray, around: np.ndarray, learn: float = 0.0) -> np.ndarray:
         """Log-probability of each token; with ``learn`` also one Adagrad step on their mean."""
         n = len(tokens)
-        block, place = tokens // INNER, tokens % INNER
-        order = np.argsort(block.astype(np.uint8), kind="stable")
+        block, place = tokens // self.places, tokens % self.places
+        order = np.argsort(block.astype(np.uint16), kind="stable")
         block, place, around = block[order], place[order], around[:, order]
         h = self.hidden(around)
         rows = np.arange(n)
@@ -103,14 +131,14 @@ class Network:
         np.exp(p, out=p)
         total = p.sum(axis=1, keepdims=True)
         scores = picked - np.log(total[:, 0])
-        ends = np.searchsorted(block, np.arange(BLOCKS + 1))
+        ends = np.searchsorted(block, np.arange(self.blocks + 1))
         if learn:
             p /= total
             p[rows, block] -= 1
             p /= n
             back = p @ self.outer.T
             steps = [None, h.T @ p, p.sum(axis=0), np.zeros_like(self.inner), np.zeros_like(self.inner_bias)]
-        for b in range(BLOCKS):
+        for b in range(self.blocks):
             i, j = ends[b], ends[b + 1]
             if i == j:
                 continue
@@ -129,12 +157,13 @@ class Network:
                 back[i:j] += q @ self.inner[b].T
         if learn:
             back *= 1 - h * h
+            narrow = np.uint16 if self.size < 1 << 16 else np.uint32
             for k in range(len(OFFSETS)):
-                near = np.argsort(around[k].astype(np.uint16), kind="stable")
+                near = np.argsort(around[k].astype(narrow), kind="stable")
                 ids = around[k][near]
                 first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
                 ids, grad = ids[first], np.add.reduceat(back[near], first, axis=0)
-                grad, ids = grad[ids < SIZE], ids[ids < SIZE]
+                grad, ids = grad[ids < self.size], ids[ids < self.size]
                 self.squares[0][k][ids] += grad * grad
                 self.tables[k][ids] -= learn * grad / np.sqrt(self.squares[0][k][ids])
             for part, square, grad in zip(self.parts[1:], self.squares[1:], steps[1:], strict=True):
@@ -145,10 +174,10 @@ class Network:
         return out
 
 
-def windows(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def windows(texts: list[np.ndarray], size: int = SIZE) -> tuple[np.ndarray, np.ndarray]:
     """Tokens of all texts and, for each offset, the ids around them."""
     reach = max(OFFSETS)
-    gap = np.full(reach, SIZE, dtype=np.int64)
+    gap = np.full(reach, size, dtype=np.int64)
     line = np.concatenate([gap, *(x for t in texts for x in (t, gap))])
     sizes = np.array([len(t) for t in texts], dtype=np.int64)
     at = np.arange(sizes.sum()) + np.repeat(np.arange(len(texts)) * reach + reach, sizes)
@@ -169,27 +198,56 @@ def word_counts(docs: DataFrame) -> DataFrame:
         yield part(found)
 
     def part(found: Counter[bytes]) -> pa.RecordBatch:
-        # a longer word can't be named: it is counted by a hash of its bytes' length
+        # a longer word can't be named: it is counted by a hash of its bytes
         rows: Counter[bytes] = Counter()
         for w, n in found.items():
-            rows[w if len(w) <= MOST_WORD_BYTES else b"\x00" + xxhash.xxh3_128_digest(w)] += n
+            rows[counted(w)] += n
         return pa.RecordBatch.from_arrays([pa.array(list(rows), type=pa.binary()), pa.array(list(rows.values()), type=pa.int64())], names=["word", "n"])
 
     return docs.mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def vocabulary(counts: DataFrame) -> tuple[list[bytes], np.ndarray]:
-    """The ``NAMED`` most frequent words (ties by their bytes) and the counts of all ids."""
-    top = counts.where("substring(word, 1, 1) != X'00'").orderBy(F.desc("n"), "word").limit(NAMED)
-    held = top.collect()  # NAMED rows
-    named = [bytes(r.word) for r in held]
+    """The words with ids of their own, most frequent first (ties by their bytes), and the counts of all ids."""
     total = counts.agg(F.sum("n")).first()[0] or 0
-    out = np.zeros(SIZE)
-    out[: len(named)] = [r.n for r in held]
-    out[NAMED:] = (total - out.sum()) / HASHED
+    threshold = max(float(LEAST), total**0.5 / SPREAD)
+    short = counts.where("substring(word, 1, 1) != X'00'")
+    held = short.where(F.col("n") >= threshold).collect()  # words that grow as the root of the tokens
+    if len(held) < NAMED:
+        held = short.orderBy(F.desc("n"), "word").limit(NAMED).collect()
+    held = sorted(((r.n, bytes(r.word)) for r in held), key=lambda x: (-x[0], x[1]))
+    named = [w for _, w in held]
+    out = np.zeros(size_for(len(named)))
+    out[: len(named)] = [n for n, _ in held]
+    first, own = len(out) - HASHED, frozenset(named)
+
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(HASHED, dtype=np.int64)
+        for batch in batches:
+            for w, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if w not in own:
+                    sums[xxhash.xxh3_64_intdigest(w, 3) % HASHED] += n
+        yield pa.RecordBatch.from_arrays([pa.array(range(HASHED), type=pa.int32()), pa.array(sums)], names=["id", "n"])
+
+    for r in counts.select("word", "n").mapInArrow(shared, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
+        out[first + r.id] = r.n
     return named, out
 
 
+def unnamed_shares(counts: DataFrame, named: list[bytes], sizes: np.ndarray) -> DataFrame:
+    """``word, share`` of the words without an id of their own: log P(word | its shared id) by the counts."""
+    own, logs = frozenset(named), np.log(np.maximum(sizes[-HASHED:], 1))
+
+    def share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(w, n) for w, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if w not in own]
+            at = np.array([xxhash.xxh3_64_intdigest(w, 3) % HASHED for w, _ in rows], dtype=np.int64)
+            found = np.log(np.array([n for _, n in rows], dtype=np.float64)) - logs[at]
+            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in rows], type=pa.binary()), pa.array(found)], names=["word", "share"])
+
+    return counts.select("word", "n").mapInArrow(share, "word binary, share double")
+
+
 def train(docs: DataFrame, named: list[bytes], counts: np.ndarray, learn: float = 0.1) -> Network:
     """Local training on every token of each task, then a weighted average of all tasks' weights."""
 
@@ -206,50 +264,71 @@ def train(docs: DataFrame, named: list[bytes], counts: np.ndarray, learn: float
                     held, size = [], 0
         tokens += teach(net, held, learn)
         if tokens:
-            flat = (net.flat().astype(np.float64) * tokens).tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], type=pa.int64()), pa.array([tokens], type=pa.int64()), pa.array([flat], type=pa.binary())], names=["part", "tokens", "weights"])
+            flat, part = net.flat(), TaskContext.get().partitionId()
+            for piece, a in enumerate(range(0, len(flat), PIECE)):
+                part_of = (flat[a : a + PIECE].astype(np.float64) * tokens).tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([part], type=pa.int64()), pa.array([piece], type=pa.int64()), pa.array([tokens], type=pa.int64()), pa.array([part_of], type=pa.binary())], names=["part", "piece", "tokens", "weights"])
 
     def add(frame: pd.DataFrame) -> pd.DataFrame:
         total = np.sum([np.frombuffer(w) for w in frame["weights"]], axis=0)
-        return pd.DataFrame({"part": [frame["part"].iloc[0] // FAN_IN], "tokens": [frame["tokens"].sum()], "weights": [total.tobytes()]})
+        return pd.DataFrame({"part": [frame["part"].iloc[0] // FAN_IN], "piece": [frame["piece"].iloc[0]], "tokens": [frame["tokens"].sum()], "weights": [total.tobytes()]})
 
-    kind = "part long, tokens long, weights binary"
+    kind = "part long, piece long, tokens long, weights binary"
     level = materialise(docs.mapInArrow(local, kind), "weights")
     top = level.agg(F.max("part")).first()[0]
     while top is not None:
-        level = materialise(level.groupBy(F.floor(F.col("part") / FAN_IN).alias("up")).applyInPandas(add, kind), "weights")  # at most FAN_IN rows of 1 MB
+        up = level.groupBy(F.floor(F.col("part") / FAN_IN).alias("up"), "piece").applyInPandas(add, kind)  # at most FAN_IN rows of 256 KB, whatever the vocabulary
+        level = materialise(up, "weights")
         if not top:
             break
         top //= FAN_IN
-    done = level.first()
-    return Network.start(counts) if done is None else Network.from_flat(np.frombuffer(done.weights) / done.tokens)
+    done = level.orderBy("piece").collect()  # one network
+    return Network.from_flat(np.concatenate([np.frombuffer(r.weights) for r in done]) / done[0].tokens, len(counts)) if done else Network.start(counts)
 
 
 def teach(net: Network, texts: list[np.ndarray], learn: float) -> int:
-    tokens, around = windows(texts) if texts else (np.empty(0, dtype=np.int64), np.empty((len(OFFSETS), 0), dtype=np.int64))
+    tokens, around = windows(texts, net.size) if texts else (np.empty(0, dtype=np.int64), np.empty((len(OFFSETS), 0), dtype=np.int64))
     for a in range(0, len(tokens), BATCH):
         net.run(tokens[a : a + BATCH], around[:, a : a + BATCH], learn)
     return len(tokens)
 
 
 def score(docs: DataFrame, net: Network, named: list[bytes]) -> DataFrame:
-    """``doc_id, n_tokens, log_likelihood`` of whole texts."""
-    flat = net.flat()
+    """``doc_id, n_tokens, log_likelihood, unnamed`` of whole texts: the likelihood of their ids, and the words that share ids."""
+    flat, size = net.flat(), net.size
     held: list[tuple[Network, Ids]] = []
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         if not held:
-            held.append((Network.from_flat(flat), Ids(named)))
+            held.append((Network.from_flat(flat, size), Ids(named)))
         model, ids = held[0]
-        texts = [ids.of(t) for t in utf8(batch.column(1))]
-        tokens, around = windows(texts)
+        given = utf8(batch.column(1))
+        texts = [ids.of(t) for t in given]
+        tokens, around = windows(texts, size)
         found = np.concatenate([[0.0], *(model.run(tokens[a : a + BATCH], around[:, a : a + BATCH]) for a in range(0, len(tokens), BATCH))])
         sizes = np.array([len(t) for t in texts], dtype=np.int64)
         ends = np.cumsum(sizes)
         sums = np.array([found[1 + e - n : 1 + e].sum() for e, n in zip(ends, sizes, strict=True)])
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), pa.array(sums, type=pa.float64())], names=["doc_id", "n_tokens", "log_likelihood"])
+        unnamed = []
+        for t, i in zip(given, texts, strict=True):
+            at = np.flatnonzero(i >= ids.first).tolist()
+            words = t.lower().split() if at else []
+            unnamed.append([counted(words[k]) for k in at])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), pa.array(sums, type=pa.float64()), pa.array(unnamed, type=pa.list_(pa.binary()))], names=["doc_id", "n_tokens", "log_likelihood", "unnamed"])
 
-    return map_batches(docs, run, "doc_id long, n_tokens long, log_likelihood double")
+    return map_batches(docs, run, "doc_id long, n_tokens long, log_likelihood double, unnamed array<binary>")
+
+
+def with_unnamed(scored: DataFrame, shares: DataFrame) -> DataFrame:
+    """``doc_id, n_tokens, log_likelihood`` of the words themselves: each unnamed one adds its ``share``.
+
+    A word without an id of its own is rarer than the threshold, so no key of the join is hot, but for words that are too
+    long to be named or begin with a zero byte.
+    """
+    rows = materialise(scored.withColumn("row_id", F.monotonically_increasing_id()), "scored")
+    added = rows.select("row_id", F.explode("unnamed").alias("word")).join(shares, "word").groupBy("row_id").agg(F.sum("share").alias("added"))
+    whole = F.col("log_likelihood") + F.coalesce("added", F.lit(0.0))
+    return rows.drop("unnamed").join(added, "row_id", "left").select("doc_id", "n_tokens", whole.alias("log_likelihood"))
 
 
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -259,8 +338,9 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     trained on and scored each; an empty table gives no row.
     """
     given = id_text(docs, id_col, text_col)
-    named, counts = vocabulary(materialise(word_counts(given), "words"))
-    scored = score(given, train(given, named, counts), named)
+    words = materialise(word_counts(given), "words")
+    named, counts = vocabulary(words)
+    scored = with_unnamed(score(given, train(given, named, counts), named), unnamed_shares(words, named, counts))
     return scored.withColumn("mean_log_likelihood", F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens")))
 
 

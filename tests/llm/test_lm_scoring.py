@@ -84,3 +84,40 @@ def test_tree_of_averages(spark, monkeypatch):
     whole = lm.train(given, named, sizes).flat()
     monkeypatch.setattr(lm, "FAN_IN", 2)
     assert np.allclose(whole, lm.train(given, named, sizes).flat(), atol=1e-5)
+
+
+def test_every_word_has_its_own_probability(spark):
+    rng = np.random.default_rng(3)
+    frequent = [f"w{k}" for k in range(2000)] * lm.LEAST
+    rare = [f"r{k}" for k in range(3000)] + [f"r{k}" for k in range(0, 3000, 3)]
+    words = rng.permutation(frequent + rare + ["q" * 1000]).tolist()
+    docs = [(i, " ".join(words[a : a + 200]), "x", "y") for i, a in enumerate(range(0, len(words), 200))]
+    d = spark.createDataFrame(docs, SCHEMA).repartition(3)
+    given = lm.id_text(d, "doc_id", "text")
+    counts = lm.materialise(lm.word_counts(given), "t")
+    named, sizes = lm.vocabulary(counts)
+    assert set(named) == {f"w{k}".encode() for k in range(2000)}  # more words than NAMED
+    ids, held = lm.Ids(named), Counter(w.encode() for w in words)
+    buckets = Counter()
+    for w, n in held.items():
+        buckets[ids[w]] += n
+    assert all(sizes[i] == n for i, n in buckets.items()) and sizes.sum() == len(words)
+    shares = {bytes(r.word): r.share for r in lm.unnamed_shares(counts, named, sizes).collect()}
+    sums = Counter()
+    for w, share in shares.items():
+        if w[:1] != b"\x00":
+            assert abs(np.exp(share) - held[w] / buckets[ids[w]]) < 1e-9
+            sums[ids[w]] += np.exp(share)
+    sums[ids[b"q" * 1000]] += np.exp(shares[lm.counted(b"q" * 1000)])
+    assert len(shares) == 3001 and all(abs(x - 1) < 1e-9 for x in sums.values())
+    net = lm.train(given, named, sizes)
+    plain = {r.doc_id: r.log_likelihood for r in lm.score(given, net, named).collect()}
+    got = {r.doc_id: r.log_likelihood for r in lm.with_unnamed(lm.score(given, net, named), lm.unnamed_shares(counts, named, sizes)).collect()}
+    assert len(got) == len(docs)
+    for i, text, *_ in docs:
+        own = [w.encode() for w in text.split()]
+        want = plain[i] + sum(np.log(held[w] / buckets[ids[w]]) for w in own if ids[w] >= ids.first)
+        assert abs(got[i] - want) < 1e-6
+    tokens, around = lm.windows([ids.of(docs[0][1].encode())], net.size)
+    every = net.run(np.arange(net.size), np.repeat(around[:, 5:6], net.size, axis=1))
+    assert abs(np.exp(every).sum() - 1) < 1e-4
