@@ -115,9 +115,18 @@ def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], Iterator[pa.
     return df.mapInArrow(each, schema)
 
 
-def id_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Only the two columns that count, under names of our own: other columns can't clash and aren't read."""
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+def id_text(docs: DataFrame, id_col: str, text_col: str, row_col: str | None = None) -> DataFrame:
+    """Only the columns that count, under names of our own: other columns can't clash and aren't read."""
+    rows = [F.col(row_col).alias("row_id")] if row_col else []
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *rows)
+
+
+ROW = "__row_id"
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` written with a unique number ``ROW`` in every row, which stays fixed whatever reads it."""
+    return materialise(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
 
 
 class WordHashes(dict):

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_text, materialise
+from .common import ROW, id_text, materialise, numbered
 
 BITMAP_BITS = 1 << 25
 LAST = (1 << 63) - 1
@@ -56,10 +56,14 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     the repeated rows of that id: exactly one row of a group is kept.  Null and empty texts, and texts of white space
     alone, are one group.  An empty table gives no row.
     """
-    given = id_text(docs, id_col, text_col)
+    return _groups(id_text(docs, id_col, text_col).withColumn("row_id", F.monotonically_increasing_id()), content_hash).drop("row_id")
+
+
+def _groups(given: DataFrame, content_hash=md5_128) -> DataFrame:
+    """The groups of ``given (doc_id, text, row_id)``, with the ``row_id`` of each row."""
     text = normalised(F.col("text"))
     base = materialise(
-        given.select("doc_id", content_hash(text).alias("h"), F.coalesce(F.char_length("text"), F.lit(0)).cast("long").alias("n_chars"), F.unhex(F.sha2(text, 256)).alias("sha"), F.monotonically_increasing_id().alias("row_id")),
+        given.select("doc_id", content_hash(text).alias("h"), F.coalesce(F.char_length("text"), F.lit(0)).cast("long").alias("n_chars"), F.unhex(F.sha2(text, 256)).alias("sha"), "row_id"),
         "exact",
     )
     groups = _keep(["h"], base)
@@ -67,21 +71,23 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     texts = given.select(content_hash(text).alias("h"), text.alias("norm"))
     distinct = where_set(texts, "h", repeated).join(repeated, "h", "left_semi").groupBy("h", "norm").count()
     collided = materialise(distinct.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "collided")
-    columns = ["doc_id", F.col("keep.id").alias("keep_id"), "group_size", (F.col("row_id") == F.col("keep.c")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256")]
+    columns = ["doc_id", F.col("keep.id").alias("keep_id"), "group_size", (F.col("row_id") == F.col("keep.c")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"), "row_id"]
     if collided.isEmpty():
         return base.join(groups, "h").select(*columns)
     clean = base.join(collided, "h", "left_anti").join(groups, "h").select(*columns)
     again = materialise(
-        given.select("doc_id", content_hash(text).alias("h"), text.alias("norm"), F.coalesce(F.char_length("text"), F.lit(0)).cast("long").alias("n_chars"), F.unhex(F.sha2(text, 256)).alias("sha"), F.monotonically_increasing_id().alias("row_id")).join(collided, "h", "left_semi"),
+        given.select("doc_id", content_hash(text).alias("h"), text.alias("norm"), F.coalesce(F.char_length("text"), F.lit(0)).cast("long").alias("n_chars"), F.unhex(F.sha2(text, 256)).alias("sha"), "row_id").join(collided, "h", "left_semi"),
         "regrouped",
     )
     return clean.unionByName(again.join(_keep(["h", "norm"], again), ["h", "norm"]).select(*columns))
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The kept rows of ``docs`` with all their columns.  Ids must be unique here, as the groups name rows by them."""
-    kept = exact_groups(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("__kept_id"))
-    return docs.join(kept, F.col(id_col).cast("long").eqNullSafe(F.col("__kept_id")), "left_semi")
+    """The kept rows of ``docs`` with all their columns, one of each group: rows are named by their place in the written
+    table, so null and repeated ids are dropped like others."""
+    rows = numbered(docs)
+    kept = _groups(id_text(rows, id_col, text_col, ROW)).where("kept").select(F.col("row_id").alias(ROW))
+    return rows.join(kept, ROW, "left_semi").select(*docs.columns)
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,8 +18,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, id_text, map_batches, materialise, shingles, utf8
-from .exact_dedup import where_set
+from .common import ROW, WordHashes, id_text, map_batches, materialise, numbered, shingles, utf8
+from .exact_dedup import LAST, where_set
 from .linking import CirculantMinHash, link, shared_bands
 
 BANDS, ROWS = 32, 5
@@ -99,9 +99,15 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
-    """The rows of ``docs`` that are kept, with all their columns; ids are unique here."""
-    kept = near_groups(docs, id_col, text_col, width).where("kept").select(F.col("doc_id").alias("__kept_id"))
-    return docs.join(kept, F.col(id_col).cast("long").eqNullSafe(F.col("__kept_id")), "left_semi")
+    """The rows of ``docs`` that are kept, with all their columns: of each component the one with the least id (null last).
+
+    Rows are named by their place in the written table, so null and repeated ids are linked and dropped like others.
+    """
+    rows = numbered(docs)
+    found = near_groups(rows, ROW, text_col, width).select(F.col("doc_id").alias(ROW), "component_id")
+    ids = rows.select(ROW, F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("id"))
+    first = found.join(ids, ROW).groupBy("component_id").agg(F.min(F.struct("id", ROW)).alias("first"))
+    return rows.join(first.select(F.col(f"first.{ROW}").alias(ROW)), ROW, "left_semi").select(*docs.columns)
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -91,3 +91,18 @@ def test_stages(spark, tmp_path):
             for r in got:
                 seqs[r.sequence_id] += r.length
             assert all(n == 2048 or n & (n - 1) == 0 for n in seqs.values())
+
+
+def test_repeated_rows_and_null_ids(spark):
+    text = " ".join(f"term{k}" for k in range(60))
+    near, far = text + " extra", " ".join(f"other{k}" for k in range(60))
+    full = lambda i, t: (i, t, "en", "s", 1)
+    rows = [full(1, text)] * 3 + [full(None, text), full(None, text), full(None, far), full(None, far), full(7, near), full(7, near), full(7, far + " and more"), full(None, None), full(None, "")]
+    d = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    exact = corpus_pipeline.remove_copies(spark, d, "")
+    got = Counter((r.doc_id, r.text or "") for r in exact.collect())
+    assert exact.columns == d.columns and got == Counter([(1, text), (None, far), (7, near), (7, far + " and more"), (None, "")])
+    kept = corpus_pipeline.remove_near_copies(spark, d, "")
+    got = Counter((r.doc_id, r.text or "") for r in kept.collect())
+    # empty texts are linked with nothing
+    assert kept.columns == d.columns and got == Counter([(1, text), (7, far + " and more"), (None, ""), (None, "")])
