@@ -8,6 +8,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..functions import dist
 
@@ -69,4 +70,10 @@ def mc_norm(acc: DataFrame) -> DataFrame:
         w, p = dist.shapiro(frame["acc"].dropna().to_numpy())
         return pd.DataFrame({"method": frame["method"].iloc[:1], "n": [int(frame["acc"].notna().sum())], "w": [w if w == w else None], "pval": [p if p == p else None]})
 
-    return acc.select("method", "acc").groupBy("method").applyInPandas(each, "method string, n long, w double, pval double")
+    known = F.when(~F.isnan("acc"), F.col("acc"))
+    acc = acc.select("method", known.cast("double").alias("acc"))
+    sizes = acc.groupBy("method").agg(F.count("acc").alias("n"))
+    fit = sizes.where("n between 3 and 5000").select(F.col("method").alias("of"))  # only these are gathered, a method in a task
+    tested = acc.where("acc is not null").join(fit, F.col("method").eqNullSafe(F.col("of")), "left_semi").groupBy("method").applyInPandas(each, "method string, n long, w double, pval double")
+    none = F.lit(None).cast("double")
+    return tested.unionByName(sizes.where("n not between 3 and 5000").select("method", "n", none.alias("w"), none.alias("pval")))

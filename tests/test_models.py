@@ -203,3 +203,14 @@ def test_mds_of_euclidean_distances_and_others(data):
     with pytest.raises(ValueError):
         plotdata.mds(df, "m")
     assert df.where(F.col("sample_id") < 0).count() == 0
+
+
+def test_normality_query_reads_the_whole_table(spark, tmp_path):
+    from sparkomics.plans import catalogue
+
+    spark.range(9000).selectExpr(
+        "id as event_id", "timestamp_seconds(id) as ts", "id % 7 as user_id", "case when id < 6000 then 'often' when id < 8998 then 'seldom' else 'few' end as event_type", "cast(pmod(hash(id), 1000) as double) as value", "'{}' as props"
+    ).write.parquet(str(tmp_path / "events.parquet"))
+    got = {r.method: r for r in catalogue.QUERIES["mc_norm"](spark, str(tmp_path)).collect()}
+    assert {m: r.n for m, r in got.items()} == {"often": 6000, "seldom": 2998, "few": 2}
+    assert got["often"].w is None and got["often"].pval is None and 0 < got["seldom"].w < 1 and got["few"].pval is None
