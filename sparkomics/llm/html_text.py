@@ -4,7 +4,7 @@ The standard library's parser streams events (no tree is built); a *line* is the
 its counts of tags and of link characters.  Lines under boilerplate (navigation, forms, scripts, notices, comments, by
 element, role, class or id) have ratio 0.  The ratios are smoothed with a Gaussian kernel, lines above the threshold
 (their standard deviation, or the mean if that is less) form clusters, and the clusters choose the region: the article or
-main elements they lie in, or, in a page without those, the clusters themselves with gaps of up to ``GAP`` lines.
+main elements they lie in, or, in a page without those, all lines from the first cluster to the last and a heading before.
 
 Each page is one row of one map task; there is no shuffle.
 """
@@ -38,7 +38,6 @@ NAMES = frozenset(
     "sharing social related recommended recommendations widget pagination pager login search".split()
 )
 HEADS = frozenset("header topheader siteheader pageheader".split())
-GAP = 2
 _tokens = re.compile(r"[a-z0-9]+").findall
 _open_end = re.compile(r"<[a-zA-Z/!?][^<>]*\Z")
 
@@ -166,12 +165,10 @@ def main_text(html: str) -> str:
             return "\n".join(x[0] for x, ok in zip(lines, mine & np.isin(roots, list(hit)), strict=True) if ok)
     at = np.flatnonzero(chosen)
     keep = np.zeros(len(lines), dtype=bool)
-    for a, b in zip(at, [*at[1:], len(lines) + GAP + 2], strict=True):
-        keep[a] = True
-        if b - a <= GAP + 1:
-            keep[a:b] = True
-        if a and lines[a - 1][4]:
-            keep[a - 1] = True
+    if len(at):
+        # short lines between clusters (lists, dialogue, verse) are main text, whatever their number
+        first = at[0] - 1 if at[0] and lines[at[0] - 1][4] else at[0]
+        keep[first : at[-1] + 1] = True
     return "\n".join(x[0] for x, ok in zip(lines, keep & free, strict=True) if ok)
 
 

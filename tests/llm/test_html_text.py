@@ -47,3 +47,14 @@ def test_odd_rows(spark):
     got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
     assert sorted((str(r.page_id), len(r.text)) for r in got) == [("1", 0), ("1", 0), ("2", 0), ("3", 99_999), ("None", 1)]
     assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
+
+
+@pytest.mark.parametrize("count,size", [(4, 4), (8, 4), (5, 20), (5, 40), (30, 10)])
+def test_short_lines_inside_pages_of_divs(count, size):
+    menu = "".join(f"<div><a href='/{i}'>item {i}</a></div>" for i in range(12))
+    long = "".join(f"<p>{'Sentence of the story, with words in it. ' * 6}</p>" for _ in range(5))
+    short = [f"{k:02d}".ljust(size, "x") for k in range(count)]
+    items = "".join(f"<li>{x}</li>" for x in short)
+    notice = "<div class='ad'>buy this now</div>"
+    got = html_text.main_text(f"<body>{menu}<div>{long}<ul>{items}</ul>{notice}{long}</div>{menu}</body>").split("\n")
+    assert [x for x in got if x in short] == short and "buy this now" not in got and "item 3" not in got and sum("story" in x for x in got) == 10
