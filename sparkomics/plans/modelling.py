@@ -73,6 +73,11 @@ def split_loocv(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(resample.splits(vectors(spark, sf, ["0"]), Plan("loocv")))
 
 
+@query("split_loocv_all")
+def split_loocv_all(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(resample.splits(vectors(spark, sf), Plan("loocv")))
+
+
 # rankings over resamples
 
 _LADDERS = {"power2": [1, 2, 4, 8, 10], "half": [1, 2, 5, 10], "full": list(range(1, 11)), "numbers": [1, 3, 5, 7, 10]}
@@ -149,8 +154,8 @@ _KNN = (
 _KPLAN = Plan("cv", 1, 5)
 
 
-def knn(spark: SparkSession, sf: str) -> validate.Accest:
-    v = vectors(spark, sf, features=8)
+def knn(spark: SparkSession, sf: str, features: int | None = 8) -> validate.Accest:
+    v = vectors(spark, sf, features=features)
     return validate.accest(v, "knn", _KPLAN, resample.splits(v, _KPLAN), k=3)
 
 
@@ -164,6 +169,19 @@ def knn_cv_accest(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(knn(spark, sf).iters.select("iter", "acc", "err"))
 
 
+# The same over all 64 dimensions, which are too slow in SQL: tests compare them with brute force.
+
+
+@query("knn_cv_preds_all")
+def knn_cv_preds_all(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(knn(spark, sf, None).preds.select("rep", "sample_id", "obs", "pred"))
+
+
+@query("knn_cv_accest_all")
+def knn_cv_accest_all(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(knn(spark, sf, None).iters.select("iter", "acc", "err"))
+
+
 @query(
     "fs_relief",
     "WITH v AS (SELECT vec_id AS id, label AS cls, unnest(range(0, 8)) AS j, unnest(embedding[1:8])::DOUBLE AS x FROM embeddings), d AS (SELECT a.id AS q, a.cls AS own, b.id, b.cls, sum((a.x - b.x) * (a.x - b.x)) AS d FROM v a JOIN v b USING (j) WHERE a.id <> b.id GROUP BY ALL), "
@@ -175,6 +193,11 @@ def fs_relief(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(neighbours.fs_relief(vectors(spark, sf, features=8), EMBEDDING_NAMES[:8]).select("feature", "stat", "fs_rank"))
 
 
+@query("fs_relief_all")
+def fs_relief_all(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(neighbours.fs_relief(vectors(spark, sf), EMBEDDING_NAMES).select("feature", "stat", "fs_rank"))
+
+
 # correlation
 
 _COR = f"{EM}, r AS (SELECT a.feature AS feature_1, b.feature AS feature_2, corr(a.value, b.value) AS cor FROM em a JOIN em b USING (sample_id) WHERE a.feature_idx < b.feature_idx GROUP BY ALL)"
@@ -299,7 +322,11 @@ _model("plslda", "plslda")
 
 @query("qda_predict")
 def qda_predict(spark: SparkSession, sf: str) -> DataFrame:
-    v = vectors(spark, sf, features=8)
+    v = vectors(spark, sf)
+    # a covariance for each class needs more rows than dimensions: all 64 wherever the least class has 65 rows
+    least = v.groupBy("cls").count().agg(F.min("count")).first()[0]
+    if least <= len(EMBEDDING_NAMES):
+        v = vectors(spark, sf, features=least - 1)
     p = models.predict(v, models.fit(v, "qda"))
     return rounded(p.select("sample_id", "obs", "pred", F.array_max("posterior").alias("p_max")))
 
@@ -322,12 +349,12 @@ for _name, _f in _RANK.items():
 
 @query("fs_rf")
 def fs_rf(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(multirank.fs_rf(vectors(spark, sf, ["0", "1"], 16), EMBEDDING_NAMES[:16], trees=100).select("feature", "stat", "fs_rank"))
+    return rounded(multirank.fs_rf(vectors(spark, sf), EMBEDDING_NAMES, trees=100).select("feature", "stat", "fs_rank"))
 
 
 @query("fs_rf_1")
 def fs_rf_1(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(multirank.fs_rf_1(vectors(spark, sf, ["0", "1"], 8), EMBEDDING_NAMES[:8], trees=50).select("feature", "stat", "fs_rank"))
+    return rounded(multirank.fs_rf_1(vectors(spark, sf), EMBEDDING_NAMES, trees=50).select("feature", "stat", "fs_rank"))
 
 
 def _cv_query(name: str, method: str, labels: list[str] | None = None, plan: Plan = Plan("cv", 2, 5), **options) -> None:
@@ -341,25 +368,25 @@ _cv_query("lda_cv", "lda")
 _cv_query("pcalda_cv", "pcalda", ncomp=20)
 _cv_query("plsc_cv", "plsc")
 _cv_query("plslda_cv", "plslda")
-_cv_query("svm_cv", "svm", ["0", "1", "2"])
-_cv_query("rf_cv", "randomForest", ["0", "1"], Plan("cv", 1, 3), trees=30)
+_cv_query("svm_cv", "svm")
+_cv_query("rf_cv", "randomForest", plan=Plan("cv", 1, 3), trees=30)
 _cv_query("lda_two_class_cv", "lda", ["0", "1"])
 
 
 @query("boot_lda")
 def boot_lda(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(validate.accest(vectors(spark, sf, ["0", "1"], 16), "lda", Plan("boot", 2, 5)).boot)
+    return rounded(validate.accest(vectors(spark, sf), "lda", Plan("boot", 2, 5)).boot)
 
 
 @query("maccest_anova")
 def maccest_anova(spark: SparkSession, sf: str) -> DataFrame:
-    found = validate.maccest(vectors(spark, sf, features=16), ["lda", "plsc", "knn"], Plan("cv", 3, 5))
+    found = validate.maccest(vectors(spark, sf), ["lda", "plsc", "knn"], Plan("cv", 3, 5))
     return rounded(found.tests["pairs"])
 
 
 @query("maccest_friedman")
 def maccest_friedman(spark: SparkSession, sf: str) -> DataFrame:
-    found = validate.maccest(vectors(spark, sf, features=16), ["lda", "plsc"], Plan("cv", 4, 3), comp="fried")
+    found = validate.maccest(vectors(spark, sf), ["lda", "plsc"], Plan("cv", 4, 3), comp="fried")
     return rounded(found.tests["pairs"])
 
 
@@ -370,23 +397,23 @@ def mc_norm(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("binest_lda")
 def binest_lda(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(validate.binest(vectors(spark, sf, ["0", "1", "2"], 16), "lda", plan=Plan("cv", 1, 5)))
+    return rounded(validate.binest(vectors(spark, sf), "lda", plan=Plan("cv", 1, 5)))
 
 
 @query("frankvali_knn")
 def frankvali_knn(spark: SparkSession, sf: str) -> DataFrame:
-    v = vectors(spark, sf, ["0", "1"], 8)
-    return rounded(validate.frankvali(v, embeddings(spark, sf, ["0", "1"]).where("feature_idx < 8"), "knn", "fs.auc", Plan("cv", 1, 3)).err_avg)
+    v = vectors(spark, sf, ["0", "1"])  # fs.auc ranks for two classes
+    return rounded(validate.frankvali(v, embeddings(spark, sf, ["0", "1"]), "knn", "fs.auc", Plan("cv", 1, 3)).err_avg)
 
 
 @query("fs_cl_lda")
 def fs_cl_lda(spark: SparkSession, sf: str) -> DataFrame:
-    return validate.fs_cl(vectors(spark, sf, ["0", "1"]), list(range(64)), [2, 4, 8, 16], "lda", Plan("cv", 1, 5))
+    return validate.fs_cl(vectors(spark, sf), list(range(64)), [2, 4, 8, 16], "lda", Plan("cv", 1, 5))
 
 
 @query("fs_cl_1_lda")
 def fs_cl_1_lda(spark: SparkSession, sf: str) -> DataFrame:
-    return validate.fs_cl_1(vectors(spark, sf, ["0", "1"]), [3, 1, 2], "lda", Plan("cv", 1, 5))
+    return validate.fs_cl_1(vectors(spark, sf), [3, 1, 2], "lda", Plan("cv", 1, 5))
 
 
 @query("tune_plsc")
