@@ -1,25 +1,38 @@
 """Candidate search, exact verification and distributed union-find, shared by the near-duplicate operators.
 
 Nodes are classes of equal shingle sets, so copies never meet here.  A bucket is a band value that several nodes share.
-No bucket is expanded into all its pairs: first every node is compared with the smallest node of one of its buckets;
-what that links is contracted; then, for buckets that still hold several components, about ``LEADERS`` nodes (``GROWTH``
-times as many in each further round) are compared with the bucket's nodes of other components, and leave the bucket.
-The rounds end when no bucket holds nodes of two components that weren't compared, so no candidate link between
-components is lost and none is capped.
+No bucket is expanded into its pairs:
+
+1. Every node is compared with a leader of one of its buckets, and what that links is contracted.
+2. The nodes of buckets that still hold several components go through an exact prefix filter (Xiao et al. 2008, 2011).  All
+   shingles are put in one order, rare ones first, by counts over these nodes' whole sets.  Sets at the similarity share
+   a shingle within their prefixes in that order, and at the first one that they share, what is left of both must
+   still allow the similarity.  No pair of these nodes is lost, whatever the order.
+3. For each prefix shingle, its nodes are compared with the most central one (the one whose shingles are least rare), and
+   what that links is contracted.  The shingles that a large group has in common lie behind a member's own rare ones, so
+   a member that the centre doesn't link has used up its prefix before it comes to them.
+4. What still shares a prefix shingle in different components, under the bound of step 2, is compared pair by pair,
+   joined by shingle and class of set size.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise, mix64, release
 from .exact_dedup import where_set
 
-LEADERS, GROWTH = 8, 4
+#: Places of the table of shingle counts (4 bytes each on every worker), and how many of its parts meet in one task.
+SLOTS, PIECES, FAN_IN = 1 << 20, 16, 64
+#: Width of a class of set sizes in the last join, as a ratio.
+CLASS = 1.1
 
 
 class CirculantMinHash:
@@ -41,23 +54,29 @@ class CirculantMinHash:
     def places(self, hashes: np.ndarray) -> np.ndarray:
         return (mix64(hashes ^ self.seed) >> self.shift).astype(np.int64)
 
-    def signatures(self, hashes: np.ndarray, starts: np.ndarray, block: int = 2048) -> np.ndarray:
-        """One row for each run of ``hashes`` that begins at one of ``starts`` (ascending, no run is empty)."""
-        places, n = self.places(hashes), len(hashes)
-        out = np.full((len(starts), self.bands * self.rows), self.size - 1, dtype=self.windows.dtype)
-        ends = np.append(starts[1:], n)
-        whole = self.windows.flags.c_contiguous
-        for a in range(0, n, block):
-            b = min(n, a + block)
-            i, j = int(np.searchsorted(ends, a, "right")), int(np.searchsorted(starts, b, "left"))
-            rows = self.windows.take(places[a:b], axis=0) if whole else self.windows[places[a:b]]
-            cuts = np.maximum(starts[i:j], a) - a
-            if b - a < 64 * (j - i):
-                found = np.minimum.reduceat(rows, cuts, axis=0)
-            else:
-                found = np.stack([least(rows[x:y]) for x, y in zip(cuts, [*cuts[1:], b - a], strict=True)])
-            np.minimum(out[i:j], found, out=out[i:j])
-        return out
+    def signatures(self, hashes: np.ndarray, starts: np.ndarray, counts: np.ndarray | None = None, block: int = 64) -> np.ndarray:
+        """One row for each run of ``hashes`` that begins at one of ``starts`` (ascending, no run is empty) and has ``counts``
+        of them (all up to the next run).  Runs are cut into chunks of ``CHUNK`` places, ``block`` chunks at a time."""
+        if counts is None:
+            counts = np.diff(np.append(starts, len(hashes)))
+        places = self.places(hashes)
+        chunks = -(-counts // CHUNK)
+        firsts = np.cumsum(chunks) - chunks
+        of = np.repeat(np.arange(len(starts)), chunks)
+        at = starts[of] + (np.arange(len(of)) - firsts[of]) * CHUNK
+        ends = (starts + counts - 1)[of]
+        least = np.empty((len(of), self.bands * self.rows), dtype=self.windows.dtype)
+        steps = np.arange(CHUNK)
+        for a in range(0, len(of), block):
+            b = min(a + block, len(of))
+            index = places[np.minimum(at[a:b, None] + steps, ends[a:b, None])]  # the last place of a run fills its last chunk
+            rows = self.windows.take(index, axis=0) if self.windows.flags.c_contiguous else self.windows[index]
+            half = CHUNK // 2
+            while half:
+                np.minimum(rows[:, :half], rows[:, half : 2 * half], out=rows[:, :half])
+                half //= 2
+            least[a:b] = rows[:, 0]
+        return least if len(of) == len(starts) else np.minimum.reduceat(least, firsts, axis=0)
 
     def keys(self, signatures: np.ndarray) -> np.ndarray:
         """(sets, bands) int64."""
@@ -68,22 +87,15 @@ class CirculantMinHash:
         return out.view(np.int64)
 
 
-def least(rows: np.ndarray) -> np.ndarray:
-    """Column minima by folding the rows in halves: whole blocks at a time, faster than a reduction over rows."""
-    while len(rows) > 1:
-        half = len(rows) // 2
-        folded = np.minimum(rows[:half], rows[half : 2 * half])
-        if len(rows) % 2:
-            np.minimum(folded[0], rows[-1], out=folded[0])
-        rows = folded
-    return rows[0]
+CHUNK = 32
 
 
 def components(edges: DataFrame) -> DataFrame:
     """``node, component`` for every node of ``edges (a, b)``: the least node that it reaches.
 
     Alternating large-star and small-star steps (Kiveris et al. 2014), each written to the shared folder.  A step sums
-    a node's neighbours before the shuffle and sends every edge once, so a hub is no hot group.
+    a node's neighbours before the shuffle and sends every edge once; the join that brings a hub's sum back is one that
+    adaptive execution splits.
     """
 
     def star(edges: DataFrame, large: bool) -> DataFrame:
@@ -137,41 +149,139 @@ def shared_bands(classes: DataFrame) -> DataFrame:
     return materialise(dealt.join(least.select("key", "leader"), "key").select("node", "key", "leader").distinct(), "bands")
 
 
-def link(shared: DataFrame, classes: DataFrame, sets: DataFrame, percent: int = 80, verify: Callable[[DataFrame, DataFrame, int], DataFrame] = verified) -> DataFrame:
-    """``node, component`` of all nodes with a verified link, from ``shared_bands`` of ``classes (node, bands, size)`` and
-    the nodes' exact ``sets (node, items)``, which ``verify`` compares.
+Hashes = Callable[[pa.Array], list[np.ndarray]]
+
+
+def array_hashes(items: pa.Array) -> list[np.ndarray]:
+    """Of array<long> items."""
+    flat, ends = items.flatten().to_numpy().view(np.uint64), items.offsets.to_numpy()
+    return np.split(flat, (ends - ends[0])[1:-1]) if len(items) else []
+
+
+def token_counts(sets: DataFrame, hashes: Hashes) -> np.ndarray:
+    """In how many of ``sets (node, items)`` each shingle occurs, by the low bits of its hash: ``SLOTS`` numbers, summed in a
+    tree of fan-in ``FAN_IN``, piece by piece and without the places that are 0."""
+    width = SLOTS // PIECES
+    kind = "part long, piece int, slots binary, counts binary"
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(SLOTS, dtype=np.uint32)
+        for batch in batches:
+            for a in range(0, batch.num_rows, 512):
+                found = [h & np.uint64(SLOTS - 1) for h in hashes(batch.column(1).slice(a, 512))]
+                slots, n = np.unique(np.concatenate(found), return_counts=True)
+                table[slots.astype(np.int64)] += n.astype(np.uint32)
+        part, rows = TaskContext.get().partitionId(), []
+        for piece in range(PIECES):
+            own = table[piece * width : (piece + 1) * width]
+            at = np.flatnonzero(own).astype(np.uint32)
+            if len(at):
+                rows.append((part, piece, at.tobytes(), own[at].tobytes()))
+        columns = list(zip(*rows, strict=True)) or [()] * 4
+        types = (pa.int64(), pa.int32(), pa.binary(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, types, strict=True)], names=["part", "piece", "slots", "counts"])
+
+    def dense(slots: list[bytes], counts: list[bytes]) -> np.ndarray:
+        table = np.zeros(width, dtype=np.uint32)
+        for s, c in zip(slots, counts, strict=True):
+            table[np.frombuffer(s, dtype=np.uint32)] += np.frombuffer(c, dtype=np.uint32)
+        return table
+
+    def add(frame: pd.DataFrame) -> pd.DataFrame:
+        table = dense(frame["slots"], frame["counts"])
+        at = np.flatnonzero(table).astype(np.uint32)
+        return pd.DataFrame({"part": [frame["part"].iloc[0] // FAN_IN], "piece": [frame["piece"].iloc[0]], "slots": [at.tobytes()], "counts": [table[at].tobytes()]})
+
+    level = materialise(sets.select("node", "items").mapInArrow(count, kind), "counts")
+    top = level.agg(F.max("part")).first()[0]
+    while top:
+        up = level.groupBy(F.floor(F.col("part") / FAN_IN).alias("up"), "piece").applyInPandas(add, kind)  # FAN_IN rows at most
+        level, old = materialise(up, "counts"), level
+        release(old)
+        top //= FAN_IN
+    out = np.zeros(SLOTS, dtype=np.uint32)
+    for r in level.collect():  # one table, at most 8 bytes a place
+        out[r.piece * width : (r.piece + 1) * width] = dense([r.slots], [r.counts])
+    return out
+
+
+def prefixes(sets: DataFrame, hashes: Hashes, counts: np.ndarray, percent: int) -> DataFrame:
+    """``node, token, at, size, rarity`` for the first shingles of each of ``sets (node, items)`` in the order of (count, hash).
 
-    In the rounds every row of a bucket carries its node's bands and set size, so a pair is made only in the first band
-    that it shares and only if its sizes allow the similarity.  Leaders are drawn by a hash at a rate of their number
-    over the bucket's size: no bucket is sorted or gathered in one task.  The hash is the node's, so buckets with the
-    same nodes have the same leaders, and what those link is contracted before more pairs are made.
+    A partner has percent / 100 of the set at least, so one of the first ``size - that + 1`` is shared.  ``at`` is the
+    shingle's place in the order.  Shingles that no other set has are left out.  ``rarity`` is the mean of 1 / count.
     """
+    table = sets.sparkSession.sparkContext.broadcast(counts)  # SLOTS numbers of 4 bytes
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["node", "token", "at", "size", "rarity"]
+        for batch in batches:
+            for a in range(0, batch.num_rows, 512):
+                nodes, parts = batch.column(0).slice(a, 512).to_numpy(zero_copy_only=False), []
+                for node, h in zip(nodes.tolist(), hashes(batch.column(1).slice(a, 512)), strict=True):
+                    n = table.value[(h & np.uint64(SLOTS - 1)).astype(np.int64)]
+                    first = len(h) - (-(-percent * len(h) // 100)) + 1
+                    order = np.lexsort((h, n))[:first]
+                    at = np.flatnonzero(n[order] > 1)
+                    parts.append((np.full(len(at), node), h[order][at], at, np.full(len(at), len(h)), np.full(len(at), (1 / n).mean())))
+                if parts:
+                    node, token, at, size, rarity = (np.concatenate(c) for c in zip(*parts, strict=True))
+                    yield pa.RecordBatch.from_arrays([pa.array(node, type=pa.int64()), pa.array(token.view(np.int64)), pa.array(at.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(rarity)], names=names)
+
+    return sets.select("node", "items").mapInArrow(cut, "node long, token long, at int, size int, rarity double")
+
+
+def most_partner(percent: int) -> Column:
+    """The largest set size that a partner may have if ``at`` is the place of the first shared shingle: what is left must hold
+    the common part, percent / (100 + percent) of both sizes."""
+    return F.floor(((100 + percent) * (F.col("size") - F.col("at")).cast("long") - percent * F.col("size").cast("long")) / percent)
+
+
+def link(shared: DataFrame, sets: DataFrame, hashes: Hashes = array_hashes, percent: int = 80, verify: Callable[[DataFrame, DataFrame, int], DataFrame] = verified) -> DataFrame:
+    """``node, component`` of all nodes with a verified link, from ``shared_bands`` and the nodes' exact ``sets (node, items)``,
+    whose shingles ``hashes`` gives and which ``verify`` compares."""
     pairs = shared.where("node != leader").groupBy("node").agg(F.min("leader").alias("a")).select("a", F.col("node").alias("b"))
     found = materialise(components(materialise(verify(pairs, sets, percent), "links")), "components")
-    rest, most = shared.select("node", "key"), LEADERS
-    columns = ["node", "key"]
-    while True:
-        named = rest.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        mixed = named.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n")).where("x != y").select("key", "n")
-        named = named.join(mixed, "key")
-        if "bands" not in columns:
-            columns += ["bands", "size"]
-            named = named.join(classes.select("node", "bands", "size"), "node")
-        draw = F.pmod(F.xxhash64("node", F.lit(most)), F.lit(1 << 30)) / float(1 << 30)
-        rest_now = materialise(named.select(*columns, "component", (draw * F.col("n") < most).alias("leads")), "rest")
-        if rest_now.isEmpty():
-            return found
-        leaders = rest_now.where("leads").select("key", F.col("node").alias("leader"), F.col("component").alias("of"), F.col("bands").alias("of_bands"), F.col("size").alias("of_size"))
-        same = F.array_position(F.zip_with("bands", "of_bands", lambda x, y: x == y), True)
-        fits = 100 * F.least("size", "of_size") >= percent * F.greatest("size", "of_size")
-        once = (~F.col("leads")) | (F.col("node") > F.col("leader"))  # of two leaders one makes the pair
-        met = rest_now.join(leaders, "key").where((F.col("component") != F.col("of")) & once & fits & (F.element_at("bands", same.cast("int")) == F.col("key")))
-        met = materialise(met.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")), "pairs")
-        ends = met.select(F.explode(F.array("a", "b")).alias("node"))
-        more = materialise(verify(met, where_set(sets, "node", ends), percent), "links")
-        if not more.isEmpty():
-            found = materialise(joined(found, more), "components")
-        rest, most = rest_now.where("not leads").select(*columns), most * GROWTH
+    named = shared.select("node", "key").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    open_nodes = materialise(_mixed(named, ["key"]).select("node").distinct(), "open")
+    if open_nodes.isEmpty():
+        return found
+    asked = where_set(sets, "node", open_nodes)
+    rows = prefixes(asked, hashes, token_counts(asked, hashes), percent).withColumn("most", most_partner(percent))
+    rows = materialise(rows, "tokens")
+
+    now = _mixed(_with_components(rows, found), ["token"])
+    centre = now.groupBy("token").agg(F.min(F.struct("rarity", "node", "component", "size", "most")).alias("c"))
+    met = now.join(centre, "token").where("component != c.component and size <= c.most and c.size <= most")
+    met = met.select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b")).distinct()
+    found = _united(found, met, sets, percent, verify)
+
+    now = materialise(_mixed(_with_components(rows, found), ["token"]).select("node", "token", "component", "size", "most"), "rest")
+    release(rows)
+    # the smaller set (by size, then node) stands in its class of sizes; the larger one asks the classes it may meet
+    step = float(np.log(CLASS))
+    small = now.where("most >= size").withColumn("class", F.floor(F.log("size") / step))
+    least, top = F.ceil(F.col("size") * percent / 100), F.least("size", "most")
+    large = now.where(top >= least).withColumn("class", F.explode(F.sequence(F.floor(F.log(least) / step), F.floor(F.log(top) / step))))
+    large = large.select("token", "class", *[F.col(c).alias(f"of_{c}") for c in ("node", "component", "size", "most")])
+    ordered = (F.col("size") < F.col("of_size")) | ((F.col("size") == F.col("of_size")) & (F.col("node") < F.col("of_node")))
+    met = small.join(large, ["token", "class"]).where(ordered & F.expr("component != of_component and size <= of_most and of_size <= most"))
+    return _united(found, met.select(F.least("node", "of_node").alias("a"), F.greatest("node", "of_node").alias("b")).distinct(), sets, percent, verify)
+
+
+def _mixed(rows: DataFrame, by: list[str]) -> DataFrame:
+    """The ``rows`` of groups with several components."""
+    groups = rows.groupBy(*by).agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select(*by)
+    return rows.join(groups, by)
+
+
+def _with_components(rows: DataFrame, found: DataFrame) -> DataFrame:
+    return rows.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+
+def _united(found: DataFrame, pairs: DataFrame, sets: DataFrame, percent: int, verify: Callable[[DataFrame, DataFrame, int], DataFrame]) -> DataFrame:
+    links = materialise(verify(materialise(pairs, "pairs"), sets, percent), "links")
+    return found if links.isEmpty() else materialise(joined(found, links), "components")
 
 
 def joined(found: DataFrame, links: DataFrame) -> DataFrame:

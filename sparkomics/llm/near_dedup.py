@@ -91,7 +91,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     wanted = materialise(classes.join(shared.select("node").distinct(), "node", "left_semi").select("node", "set_key"), "wanted")
     read = where_set(given.where("doc_id is not null"), "doc_id", wanted.select(F.col("node").alias("doc_id")))
     sets = full_sets(read, width).join(wanted, "set_key").dropDuplicates(["node", "set_key"]).select("node", "items")
-    found = link(shared, classes, materialise(sets, "sets"), percent)
+    found = link(shared, materialise(sets, "sets"), percent=percent)
     of_class = classes.select("set_key", "node").join(found, "node", "left").select("set_key", F.coalesce("component", "node").alias("component"))
     rows_ = made.select("doc_id", "n_shingles", "set_key").join(of_class, "set_key", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))

@@ -62,15 +62,50 @@ def test_against_all_pairs(spark):
 
 
 def test_links_without_the_leader(spark):
-    """In one bucket, nodes that the leader doesn't link still find each other, however many leaders it takes."""
+    """In one bucket, nodes that the leader doesn't link still find each other."""
     n = 40
     sets = [(i, [100 * i + k for k in range(10)]) for i in range(n)] + [(n + i, [100 * i + k for k in range(9)]) for i in range(n)]
     shared = spark.createDataFrame([(i, 7, 0) for i, _ in sets], "node long, key long, leader long")
-    classes = spark.createDataFrame([(i, [7], len(items)) for i, items in sets], "node long, bands array<long>, size int")
-    found = linking.link(shared, classes, spark.createDataFrame(sets, "node long, items array<long>"))
+    found = linking.link(shared, spark.createDataFrame(sets, "node long, items array<long>"))
     assert sorted(map(tuple, found.collect())) == sorted([(i, i) for i in range(n)] + [(n + i, i) for i in range(n)])
 
 
+def test_a_group_around_the_threshold(spark):
+    """One bucket of variants of one set, many of them just below the similarity: no link of all pairs is lost, and few
+    pairs are compared."""
+    rng = np.random.default_rng(3)
+    base = rng.integers(-(2**62), 2**62, 120)
+    sets = []
+    for i in range(300):
+        own = base.copy()
+        hit = rng.choice(120, int(rng.integers(4, 24)), replace=False)
+        own[hit] = rng.integers(-(2**62), 2**62, len(hit))
+        sets.append((i, [int(x) for x in np.unique(np.append(own, rng.integers(-(2**62), 2**62, int(rng.integers(0, 6)))))]))
+    compared = []
+
+    def counting(pairs, items, percent):
+        compared.append(pairs.count())
+        return linking.verified(pairs, items, percent)
+
+    shared = spark.createDataFrame([(i, 7, 0) for i, _ in sets], "node long, key long, leader long")
+    found = {r.node: r.component for r in linking.link(shared, spark.createDataFrame(sets, "node long, items array<long>"), verify=counting).collect()}
+    parent = list(range(len(sets)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    every = [set(items) for _, items in sets]
+    for a in range(len(sets)):
+        for b in range(a):
+            n = len(every[a] & every[b])
+            if 100 * n >= 80 * (len(every[a]) + len(every[b]) - n):
+                parent[max(root(a), root(b))] = min(root(a), root(b))
+    assert [found.get(i, i) for i in range(len(sets))] == [root(i) for i in range(len(sets))]
+    assert sum(compared) < len(sets) ** 2 / 16  # an eighth of all pairs
+
+
 def test_components_of_paths_and_rings(spark):
     rng = np.random.default_rng(2)
     edges, want = [], {}
@@ -91,7 +126,7 @@ def test_signature_estimates_similarity():
         other = np.concatenate([x[: int(3000 * share)], rng.integers(0, 2**63, 3000 - int(3000 * share)).astype(np.uint64)])
         both = maker.signatures(np.concatenate([x, other]), np.array([0, 3000]))
         assert abs((both[0] == both[1]).mean() - share / (2 - share)) < 0.12
-    parts = maker.signatures(x, np.array([0, 10, 2999]), block=7)
+    parts = maker.signatures(x, np.array([0, 10, 2999]), block=3)
     assert (parts.min(axis=0) == maker.signatures(x, np.array([0]))[0]).all()
     brute_force = np.array([[min(maker.windows[:, 0][(p + k) % maker.size] for p in maker.places(x[:10])) for k in range(160)]])
     assert (parts[0] == brute_force[0]).all()
