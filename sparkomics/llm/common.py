@@ -153,6 +153,12 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """Ascending distinct values; a plain sort is many times faster here than numpy's ``unique``."""
+    values = np.sort(values)
+    return values[np.r_[True, values[1:] != values[:-1]]] if len(values) else values
+
+
 def shingles(hashes: np.ndarray, width: int) -> np.ndarray:
     """Hashes of all runs of ``width`` words; one hash of the whole sequence when it is shorter; none when it is empty."""
     n = len(hashes)

@@ -52,7 +52,7 @@ class CirculantMinHash:
             self.windows = np.ascontiguousarray(self.windows)  # 128 KB a coordinate
 
     def places(self, hashes: np.ndarray) -> np.ndarray:
-        return (mix64(hashes ^ self.seed) >> self.shift).astype(np.int64)
+        return (mix64(hashes ^ self.seed) >> self.shift).view(np.int64)
 
     def signatures(self, hashes: np.ndarray, starts: np.ndarray, counts: np.ndarray | None = None, block: int = 64) -> np.ndarray:
         """One row for each run of ``hashes`` that begins at one of ``starts`` (ascending, no run is empty) and has ``counts``
@@ -66,11 +66,14 @@ class CirculantMinHash:
         at = starts[of] + (np.arange(len(of)) - firsts[of]) * CHUNK
         ends = (starts + counts - 1)[of]
         least = np.empty((len(of), self.bands * self.rows), dtype=self.windows.dtype)
-        steps = np.arange(CHUNK)
+        steps, held = np.arange(CHUNK), np.empty((block, CHUNK, self.bands * self.rows), dtype=self.windows.dtype)
         for a in range(0, len(of), block):
             b = min(a + block, len(of))
-            index = places[np.minimum(at[a:b, None] + steps, ends[a:b, None])]  # the last place of a run fills its last chunk
-            rows = self.windows.take(index, axis=0) if self.windows.flags.c_contiguous else self.windows[index]
+            if not a % (16 * block):
+                some = slice(a, a + 16 * block)
+                indexes = places[np.minimum(at[some, None] + steps, ends[some, None])]  # the last place of a run fills its last chunk
+            index = indexes[a % (16 * block) :][: b - a]
+            rows = self.windows.take(index, axis=0, mode="clip", out=held[: b - a]) if self.windows.flags.c_contiguous else self.windows[index]
             half = CHUNK // 2
             while half:
                 np.minimum(rows[:, :half], rows[:, half : 2 * half], out=rows[:, :half])
@@ -169,8 +172,9 @@ def token_counts(sets: DataFrame, hashes: Hashes) -> np.ndarray:
         for batch in batches:
             for a in range(0, batch.num_rows, 512):
                 found = [h & np.uint64(SLOTS - 1) for h in hashes(batch.column(1).slice(a, 512))]
-                slots, n = np.unique(np.concatenate(found), return_counts=True)
-                table[slots.astype(np.int64)] += n.astype(np.uint32)
+                slots = np.sort(np.concatenate(found)).astype(np.int64)
+                starts = np.flatnonzero(np.r_[True, slots[1:] != slots[:-1]])
+                table[slots[starts]] += np.diff(np.append(starts, len(slots))).astype(np.uint32)
         part, rows = TaskContext.get().partitionId(), []
         for piece in range(PIECES):
             own = table[piece * width : (piece + 1) * width]

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ROW, WordHashes, id_text, map_batches, materialise, numbered, shingles, utf8
+from .common import ROW, WordHashes, distinct, id_text, map_batches, materialise, numbered, shingles, utf8
 from .exact_dedup import LAST, where_set
 from .linking import CirculantMinHash, link, shared_bands
 
@@ -36,7 +36,7 @@ def minhash(bands: int, rows: int) -> CirculantMinHash:
 
 def shingle_set(text: bytes, width: int) -> np.ndarray:
     """Ascending 64-bit hashes of the distinct shingles of a whole text."""
-    return np.unique(shingles(_hashes.of(text.lower().split()), width))
+    return distinct(shingles(_hashes.of(text.lower().split()), width))
 
 
 def set_key(found: np.ndarray) -> bytes | None:

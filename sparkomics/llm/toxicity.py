@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, id_text, map_batches, mix64, utf8
+from .common import WordHashes, distinct, id_text, map_batches, mix64, utf8
 
 BITS = 20
 MOST_LABELLED = 10_000
@@ -66,7 +66,7 @@ class Model:
 
 def score_text(text: bytes, bias: float, dense: np.ndarray) -> float:
     hit = [p[dense[p] != 0] for p in features(text)]
-    total = bias + float(dense[np.unique(np.concatenate(hit))].sum(dtype=np.float64))
+    total = bias + float(dense[distinct(np.concatenate(hit))].sum(dtype=np.float64))
     return float(1 / (1 + np.exp(-np.clip(total, -60, 60))))
 
 
@@ -78,7 +78,7 @@ def fit(texts: list[bytes], labels: np.ndarray, epochs: int = 4, alpha: float =
     z, n, w = (np.zeros(1 << BITS, dtype=np.float64) for _ in range(3))
     base = (labels.sum() + 0.1) / (len(labels) + 1)
     bias, bias_n = float(np.log(base / (1 - base))) if len(labels) else float(np.log(0.1)), 1.0
-    rows = [np.unique(np.concatenate(features(t))).astype(np.int32) for t in texts]
+    rows = [distinct(np.concatenate(features(t))).astype(np.int32) for t in texts]
     for _ in range(epochs):
         for places, y in zip(rows, labels, strict=True):
             g = 1 / (1 + np.exp(-np.clip(bias + w[places].sum(), -60, 60))) - y
