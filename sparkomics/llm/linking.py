@@ -4,7 +4,8 @@ Nodes are classes of equal shingle sets, so copies never meet here.  A bucket is
 No bucket is expanded into its pairs:
 
 1. Every node is compared with a leader of one of its buckets, and what that links is contracted.
-2. The nodes of buckets that still hold several components go through an exact prefix filter (Xiao et al. 2008, 2011).  All
+2. Buckets of at most ``SMALL`` nodes that still hold several components are compared pair by pair.  The nodes of larger ones
+   go through an exact prefix filter (Xiao et al. 2008, 2011).  All
    shingles are put in one order, rare ones first, by counts over these nodes' whole sets.  Sets at the similarity share
    a shingle within their prefixes in that order, and at the first one that they share, what is left of both must
    still allow the similarity.  No pair of these nodes is lost, whatever the order.
@@ -26,11 +27,13 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, mix64, release
+from .common import materialise, mix64, release, tidy
 from .exact_dedup import where_set
 
 #: Places of the table of shingle counts (4 bytes each on every worker), and how many of its parts meet in one task.
 SLOTS, PIECES, FAN_IN = 1 << 20, 16, 64
+#: A bucket of at most so many nodes is compared pair by pair.
+SMALL = 8
 #: Width of a class of set sizes in the last join, as a ratio.
 CLASS = 1.1
 
@@ -244,24 +247,37 @@ def most_partner(percent: int) -> Column:
 def link(shared: DataFrame, sets: DataFrame, hashes: Hashes = array_hashes, percent: int = 80, verify: Callable[[DataFrame, DataFrame, int], DataFrame] = verified) -> DataFrame:
     """``node, component`` of all nodes with a verified link, from ``shared_bands`` and the nodes' exact ``sets (node, items)``,
     whose shingles ``hashes`` gives and which ``verify`` compares."""
+    spark = shared.sparkSession
     pairs = shared.where("node != leader").groupBy("node").agg(F.min("leader").alias("a")).select("a", F.col("node").alias("b"))
     found = materialise(components(materialise(verify(pairs, sets, percent), "links")), "components")
-    named = shared.select("node", "key").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    open_nodes = materialise(_mixed(named, ["key"]).select("node").distinct(), "open")
-    if open_nodes.isEmpty():
+    named = _with_components(shared.select("node", "key"), found)
+    groups = named.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n")).where("x != y").select("key", "n")
+    mixed = materialise(named.join(groups, "key").select("node", "key", "component", "n"), "mixed")
+
+    small = mixed.where(F.col("n") <= SMALL).select("key", "node", "component")  # SMALL / 2 pairs for each row at most
+    other = small.select("key", F.col("node").alias("a"), F.col("component").alias("of"))
+    met = small.join(other, "key").where("a < node and component != of").select("a", F.col("node").alias("b")).distinct()
+    found = _united(found, met, sets, percent, verify)
+
+    named = _with_components(mixed.where(F.col("n") > SMALL).select("node", "key"), found)
+    asked = materialise(_mixed(named, "key").select("node").distinct(), "asked")
+    if asked.isEmpty():
         return found
-    asked = where_set(sets, "node", open_nodes)
-    rows = prefixes(asked, hashes, token_counts(asked, hashes), percent).withColumn("most", most_partner(percent))
+    tidy(spark)
+    held = where_set(sets.select("node", "items"), "node", asked)
+    rows = prefixes(held, hashes, token_counts(held, hashes), percent).withColumn("most", most_partner(percent))
     rows = materialise(rows, "tokens")
 
-    now = _mixed(_with_components(rows, found), ["token"])
-    centre = now.groupBy("token").agg(F.min(F.struct("rarity", "node", "component", "size", "most")).alias("c"))
-    met = now.join(centre, "token").where("component != c.component and size <= c.most and c.size <= most")
+    now = _with_components(rows, found)
+    groups = now.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.min(F.struct("rarity", "node", "component", "size", "most")).alias("c")).where("x != y")
+    now = materialise(now.join(groups, "token").select("node", "token", "component", "size", "most", "c"), "rest")
+    release(rows)
+    tidy(spark)
+    met = now.where("component != c.component and size <= c.most and c.size <= most")
     met = met.select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b")).distinct()
     found = _united(found, met, sets, percent, verify)
 
-    now = materialise(_mixed(_with_components(rows, found), ["token"]).select("node", "token", "component", "size", "most"), "rest")
-    release(rows)
+    now = _mixed(_with_components(now.select("node", "token", "size", "most"), found), "token")
     # the smaller set (by size, then node) stands in its class of sizes; the larger one asks the classes it may meet
     step = float(np.log(CLASS))
     small = now.where("most >= size").withColumn("class", F.floor(F.log("size") / step))
@@ -273,9 +289,9 @@ def link(shared: DataFrame, sets: DataFrame, hashes: Hashes = array_hashes, perc
     return _united(found, met.select(F.least("node", "of_node").alias("a"), F.greatest("node", "of_node").alias("b")).distinct(), sets, percent, verify)
 
 
-def _mixed(rows: DataFrame, by: list[str]) -> DataFrame:
+def _mixed(rows: DataFrame, by: str) -> DataFrame:
     """The ``rows`` of groups with several components."""
-    groups = rows.groupBy(*by).agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select(*by)
+    groups = rows.groupBy(by).agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select(by)
     return rows.join(groups, by)
 
 
