@@ -5,10 +5,9 @@ No bucket is expanded into its pairs:
 
 1. Every node is compared with a leader of one of its buckets, and what that links is contracted.
 2. Buckets of at most ``SMALL`` nodes that still hold several components are compared pair by pair.  The nodes of larger ones
-   go through an exact prefix filter (Xiao et al. 2008, 2011).  All
-   shingles are put in one order, rare ones first, by counts over these nodes' whole sets.  Sets at the similarity share
-   a shingle within their prefixes in that order, and at the first one that they share, what is left of both must
-   still allow the similarity.  No pair of these nodes is lost, whatever the order.
+   go through an exact prefix filter (Xiao et al. 2008, 2011).  All shingles are put in one order, rare ones first, by
+   counts over these nodes' whole sets.  Sets at the similarity share a shingle within their prefixes in that order, and
+   at the first one that they share, what is left of both must still allow the similarity.  No pair of these nodes is lost, whatever the order.
 3. For each prefix shingle, its nodes are compared with the most central one (the one whose shingles are least rare), and
    what that links is contracted.  The shingles that a large group has in common lie behind a member's own rare ones, so
    a member that the centre doesn't link has used up its prefix before it comes to them.
@@ -244,11 +243,12 @@ def most_partner(percent: int) -> Column:
     return F.floor(((100 + percent) * (F.col("size") - F.col("at")).cast("long") - percent * F.col("size").cast("long")) / percent)
 
 
-def link(shared: DataFrame, sets: DataFrame, hashes: Hashes = array_hashes, percent: int = 80, verify: Callable[[DataFrame, DataFrame, int], DataFrame] = verified) -> DataFrame:
+def link(shared: DataFrame, sets: DataFrame, hashes: Hashes = array_hashes, percent: int = 80, verify: Callable[[DataFrame, DataFrame, int], DataFrame] = verified, bands: int = 1) -> DataFrame:
     """``node, component`` of all nodes with a verified link, from ``shared_bands`` and the nodes' exact ``sets (node, items)``,
-    whose shingles ``hashes`` gives and which ``verify`` compares."""
+    whose shingles ``hashes`` gives and which ``verify`` compares.  Candidates are pairs that share ``bands`` band values."""
     spark = shared.sparkSession
-    pairs = shared.where("node != leader").groupBy("node").agg(F.min("leader").alias("a")).select("a", F.col("node").alias("b"))
+    led = shared.where("node != leader").groupBy("node", "leader").agg(F.count("*").alias("n")).where(F.col("n") >= bands)
+    pairs = led.groupBy("node").agg(F.max_by("leader", F.struct("n", "leader")).alias("a")).select("a", F.col("node").alias("b"))
     found = materialise(components(materialise(verify(pairs, sets, percent), "links")), "components")
     named = _with_components(shared.select("node", "key"), found)
     groups = named.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n")).where("x != y").select("key", "n")
@@ -256,7 +256,8 @@ def link(shared: DataFrame, sets: DataFrame, hashes: Hashes = array_hashes, perc
 
     small = mixed.where(F.col("n") <= SMALL).select("key", "node", "component")  # SMALL / 2 pairs for each row at most
     other = small.select("key", F.col("node").alias("a"), F.col("component").alias("of"))
-    met = small.join(other, "key").where("a < node and component != of").select("a", F.col("node").alias("b")).distinct()
+    met = small.join(other, "key").where("a < node and component != of").groupBy("a", F.col("node").alias("b")).agg(F.count("*").alias("n"))
+    met = met.where(F.col("n") >= bands).select("a", "b")  # a pair that shares a larger bucket as well is found below
     found = _united(found, met, sets, percent, verify)
 
     named = _with_components(mixed.where(F.col("n") > SMALL).select("node", "key"), found)
