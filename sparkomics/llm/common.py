@@ -24,12 +24,14 @@ CHUNK_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir`` that driver and executors share; a local one only where that is unset."""
+    """The folder in ``spark.checkpoint.dir`` that driver and executors share; a local one only in local mode."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isDefined():
             return held.get()
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = os.path.join(tempfile.gettempdir(), "sparkomics-checkpoints")
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -129,19 +131,56 @@ def numbered(docs: DataFrame) -> DataFrame:
     return materialise(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
 
 
-class WordHashes(dict):
-    """word -> 64-bit hash, kept between texts.  Emptied at ``most`` words, so that memory is bounded whatever the corpus."""
+_claimed: list[dict] = []
 
-    def __init__(self, most: int = 400_000, seed: int = 0) -> None:
+
+def claim(*tables: dict) -> None:
+    """Empties the tables that another operator has left in this Python worker, which Spark uses again."""
+    if _claimed and _claimed[0] is not tables[0]:
+        for t in _claimed:
+            t.clear()
+    _claimed[:] = tables
+
+
+class WordTable(dict):
+    """word -> value, kept between texts in two generations of at most ``most`` words: words that are met again stay.
+
+    Words of more than ``longest`` bytes are never kept, so a table has a bounded size whatever the corpus."""
+
+    def __init__(self, most: int = 150_000, longest: int = 64) -> None:
         super().__init__()
-        self.most, self.seed = most, seed
+        self.most, self.longest, self.old = most, longest, {}
+
+    def clear(self) -> None:
+        super().clear()
+        self.old = {}
 
-    def __missing__(self, word: bytes) -> int:
+    def make(self, word: bytes):
+        raise NotImplementedError
+
+    def __missing__(self, word: bytes):
+        value = self.old.get(word)
+        if value is None:
+            value = self.make(word)
+            if len(word) > self.longest:
+                return value
         if len(self) >= self.most:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word, self.seed)
+            self.old = dict(self)
+            super().clear()
+        self[word] = value
         return value
 
+
+class WordHashes(WordTable):
+    """word -> 64-bit hash."""
+
+    def __init__(self, most: int = 150_000, seed: int = 0) -> None:
+        super().__init__(most)
+        self.seed = seed
+
+    def make(self, word: bytes) -> int:
+        return xxhash.xxh3_64_intdigest(word, self.seed)
+
     def of(self, words: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
 

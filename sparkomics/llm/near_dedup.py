@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ROW, WordHashes, distinct, id_text, map_batches, materialise, numbered, shingles, utf8
+from .common import ROW, WordHashes, claim, distinct, id_text, map_batches, materialise, numbered, shingles, utf8
 from .exact_dedup import LAST, where_set
 from .linking import CirculantMinHash, link, shared_bands
 
@@ -47,6 +47,7 @@ def sketches(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
     """``doc_id, n_shingles, set_key, bands``; key and bands are null for an empty set."""
 
     def sketch(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        claim(_hashes)
         maker = minhash(bands, rows)
         sets = [shingle_set(t, width) for t in utf8(batch.column(1))]
         sizes = np.array([len(s) for s in sets], dtype=np.int64)
@@ -66,6 +67,7 @@ def full_sets(docs: DataFrame, width: int) -> DataFrame:
     """``set_key, items``: the whole shingle sets, as arrays."""
 
     def build(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        claim(_hashes)
         sets = [s for s in (shingle_set(t, width) for t in utf8(batch.column(1))) if len(s)]
         ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
         flat = np.concatenate([*sets, np.empty(0, dtype=np.uint64)]).view(np.int64)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, id_text, map_batches, materialise, shingles, utf8
+from .common import WordHashes, distinct, id_text, map_batches, materialise, shingles, utf8
 
 MOST_LABELLED = 20_000
 STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_lower", "n_digits", "n_marks", "n_distinct", "n_text_chars"]
@@ -57,7 +57,7 @@ def statistics(text: bytes) -> list[int]:
             edge[at] += 1
             edge[at + WINDOW] -= 1
             repeated = int((np.cumsum(edge[:n]) > 0).sum())
-    return [n, points - int(kinds[1]), int(kinds[2]), dup, repeated, lines, int(kinds[3]), int(kinds[4]), int(kinds[5]), int(kinds[6]), len(np.unique(h)), points]
+    return [n, points - int(kinds[1]), int(kinds[2]), dup, repeated, lines, int(kinds[3]), int(kinds[4]), int(kinds[5]), int(kinds[6]), len(distinct(h)), points]
 
 
 def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

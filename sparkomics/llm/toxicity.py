@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, distinct, id_text, map_batches, mix64, utf8
+from .common import WordHashes, claim, distinct, id_text, map_batches, mix64, runs, utf8
 
 BITS = 20
 MOST_LABELLED = 10_000
@@ -29,11 +29,8 @@ MARKS = b".,;:!?\"'()[]{}*#$%&|<>-_~`/\\=+"
 class PlainWords(WordHashes):
     """Hashes of words without case (A-Z) and without punctuation at their ends."""
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.most:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word.lower().strip(MARKS), 5)
-        return value
+    def make(self, word: bytes) -> int:
+        return xxhash.xxh3_64_intdigest(word.lower().strip(MARKS), 5)
 
 
 _words = PlainWords()
@@ -124,6 +121,7 @@ def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
     dense: list[np.ndarray] = []
 
     def score(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        claim(_words)
         if not dense:
             dense.append(model.dense())
         scores = [score_text(t, model.bias, dense[0]) for t in utf8(batch.column(1))]
@@ -139,10 +137,15 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     names, at, dense = docs.columns, docs.columns.index("text"), []
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        dense.append(model.dense()) if not dense else None
+        claim(_words)
+        if not dense:
+            dense.append(model.dense())
         for batch in batches:
-            clean = [score_text(t, model.bias, dense[0]) < 0.5 for t in utf8(batch.column(at))]
-            yield batch.filter(pa.array(clean, type=pa.bool_()))
+            sizes = np.array([x or 0 for x in pa.compute.binary_length(batch.column(at)).to_pylist()], dtype=np.int64)
+            for a, b in runs(sizes + 64):
+                part = batch.slice(a, b - a)
+                clean = [score_text(t, model.bias, dense[0]) < 0.5 for t in utf8(part.column(at))]
+                yield part.filter(pa.array(clean, type=pa.bool_()))
 
     return docs.select(*names).mapInArrow(keep, docs.schema)
 
