@@ -13,7 +13,9 @@ them alike if its input is a scan of files; ``pack_documents`` is meant to stand
 
 from __future__ import annotations
 
+import json
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_text, runs, utf8
+from .common import WordTable, claim, id_text, runs, utf8
 
 POOL = 512
 
@@ -189,53 +191,67 @@ def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64()) for c in columns], names=names)
 
 
-class TokenIds:
-    """Token ids of whole texts by a tokenizer file, then ``end_id``.
+class Parts(WordTable):
+    """A run of characters that the pre-tokenizer leaves whole -> its ids by the BPE model, as bytes."""
 
-    Text is cut at ASCII white space, which the vocabulary's pre-tokenizer drops, and the ids of each stretch are kept
-    in a bounded table.  Stretches of printable ASCII and Latin-1 letters, on which the normaliser only lower-cases, go
-    straight to the BPE model; all others go through the whole tokenizer.
+    def __init__(self, model) -> None:
+        super().__init__()
+        self.model = model
+        kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        self.byte = {b: chr(b) for b in kept} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in kept)}
+
+    def make(self, part: str) -> bytes:
+        shown = part if part.isascii() else "".join(self.byte[b] for b in part.encode())
+        return array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+
+
+class TokenIds(WordTable):
+    """Token ids of whole texts by a tokenizer file, then ``end_id``, as unsigned little-endian 32-bit numbers.
+
+    If the file's normaliser and pre-tokenizer are those of ``NORMALISER`` and ``SPLITTER``, text is cut at ASCII white
+    space, which they drop, and the ids of each stretch are kept in a bounded table.  Stretches of printable ASCII and
+    Latin-1 letters, on which they only lower-case, go straight to the BPE model; all others go through the whole
+    tokenizer.  For any other file the whole tokenizer takes each whole text.
     """
 
-    def __init__(self, path: str, end_id: int, most: int = 700_000) -> None:
+    #: What the fast path stands for.
+    NORMALISER = ["NFC", "Replace \\s+ by ' '", "Lowercase"]
+    SPLITTER = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+    def __init__(self, path: str, end_id: int) -> None:
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.model, self.end_id, self.most = self.tokenizer.model, end_id, most
+        super().__init__(400_000)
+        self.tokenizer, self.end = Tokenizer.from_file(path), array("I", [end_id]).tobytes()
+        self.parts, self.fast = Parts(self.tokenizer.model), self.known(path)
         self.plain = re.compile(r"[!-;=-~À-ÖØ-öø-ÿ]+").fullmatch  # without <, which begins the special tokens
         self.cut = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+").findall
-        kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        self.byte = {b: chr(b) for b in kept} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in kept)}
-        self.words: dict[bytes, list[int]] = {}
-        self.parts: dict[str, list[int]] = {}
-
-    def part(self, text: str) -> list[int]:
-        found = self.parts.get(text)
-        if found is None:
-            shown = text if text.isascii() else "".join(self.byte[b] for b in text.encode())
-            found = self.parts[text] = [t.id for t in self.model.tokenize(shown)]
-        return found
-
-    def word(self, raw: bytes) -> list[int]:
-        if len(self.words) >= self.most:
-            self.words.clear()
-        if len(self.parts) >= self.most:
-            self.parts.clear()
-        text = raw.decode("utf-8", "replace")
+
+    def known(self, path: str) -> bool:
+        with open(path, encoding="utf-8") as f:
+            told = json.load(f)
+        steps = (told.get("normalizer") or {}).get("normalizers") or []
+        shown = [f"Replace {s['pattern'].get('Regex')} by {s['content']!r}" if s["type"] == "Replace" else s["type"] for s in steps]
+        cuts = (told.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+        levels = [c.get("type") for c in cuts] == ["Split", "ByteLevel"] and not cuts[1].get("add_prefix_space") and not cuts[1].get("use_regex", True)
+        split = cuts[0].get("pattern", {}).get("Regex") == self.SPLITTER and cuts[0].get("invert") and cuts[0].get("behavior") == "Removed"
+        special = all(t["content"].startswith("<") for t in told.get("added_tokens") or [])
+        return bool(shown == self.NORMALISER and levels and split and special and told["model"]["type"] == "BPE")
+
+    def make(self, word: bytes) -> bytes:
+        if word.isalpha():  # ASCII letters alone: one part
+            return self.parts[word.decode().lower()]
+        text = word.decode("utf-8", "replace")
         if self.plain(text):
-            ids = [i for p in self.cut(text.lower()) for i in self.part(p)]
-        else:
-            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        if len(raw) <= 256:
-            self.words[raw] = ids
-        return ids
+            return b"".join(map(self.parts.__getitem__, self.cut(text.lower())))
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def __call__(self, text: bytes) -> np.ndarray:
-        words, out = self.words, []
-        for w in text.split():
-            out += words.get(w) or self.word(w)
-        out.append(self.end_id)
-        return np.array(out, dtype="<u4")
+        if not self.fast:
+            found = array("I", self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids).tobytes()
+        else:
+            found = b"".join(map(self.__getitem__, text.split()))
+        return np.frombuffer(found + self.end, dtype="<u4")
 
 
 _encoders: dict[tuple, TokenIds] = {}
@@ -258,6 +274,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer_path, end_id)
+        claim(encode, encode.parts)
         packer = VectorPacker(limits, True, TaskContext.get().partitionId() << 33)
         waiting: dict[int, list] = {}
         n = 0
