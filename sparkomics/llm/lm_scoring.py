@@ -1,17 +1,18 @@
 """Masked pseudo-likelihood: a bidirectional window network predicts every token of a text from both sides.
 
 Tokens are words without case.  Words that occur often enough have ids of their own: the threshold is ``LEAST`` or the
-root of the corpus's tokens over ``SPREAD``, so the vocabulary grows with the corpus (it has ``NAMED`` words at least).  The
-others share ``HASHED`` ids by hash, and for each of them log P(word | id) by the corpus counts is added, so the
-probabilities of all words of the corpus sum to 1.  The network sums an embedding table for each of the four places
+root of the corpus's tokens over ``SPREAD``, so the vocabulary grows with the corpus (it has ``NAMED`` words at least).  All
+others have the id of their last byte; given that byte, the rest of the word is predicted backward, byte by byte to its
+beginning, from the two bytes after it, by the corpus's counts over these words.  So every word, seen or not, has a
+probability of its own, and those of all words sum to 1.  The network sums an embedding table for each of the four places
 around a token (two left, two right; nothing beyond a text's ends), applies tanh, and predicts the token in two steps,
 its block of ids and its place in the block; both softmaxes are exact, so the log-probabilities are normalised.
 
-1. Words are counted over all texts (partial counts per task, then a shuffle).  2. Every task trains the network from
-one start (small random embeddings, biases from the counts) on all tokens of the texts it reads, by Adagrad; the tasks'
-weights, weighted by their tokens, are averaged in a tree of fan-in ``FAN_IN`` piece by piece, one round.  3. A second pass scores
-every text: the sum over its tokens of the conditional log-probability.  4. Unnamed words meet their counts in a join by
-word.  Nothing is sampled.  The network has about 80 weights for each id, which is what tasks send and receive.
+1. Words are counted over all texts (partial counts per task, then a shuffle); the bytes of unnamed words are counted from
+those counts.  2. Every task trains the network from one start (small random embeddings, biases from the counts) on all
+tokens of the texts it reads, by Adagrad; the tasks' weights, weighted by their tokens, are averaged in a tree of fan-in
+``FAN_IN`` piece by piece, one round.  3. A second pass scores every text: the sum over its tokens of the conditional
+log-probability.  Nothing is sampled.  The network has about 80 weights for each id, which is what tasks send and receive.
 """
 
 from __future__ import annotations
@@ -22,23 +23,28 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_text, map_batches, materialise, utf8
+from .common import WordTable, id_text, map_batches, materialise, runs, utf8
 
-NAMED, HASHED, INNER = 1536, 512, 64
-SIZE = NAMED + HASHED
-LEAST, SPREAD = 64, 32
+NAMED, ENDS, INNER = 1024, 256, 64
+SIZE = NAMED + ENDS
+LEAST, SPREAD = 64, 2
 WIDTH = 16
 OFFSETS = (-2, -1, 1, 2)
 BATCH = 8192
 FAN_IN = 64
 PIECE = 1 << 15
-MOST_COUNTED = 300_000
-MOST_WORD_BYTES = 256
+MOST_COUNTED, MOST_COUNTED_BYTES = 300_000, 32 << 20
+#: Rows of the table of byte counts: pairs of bytes by hash.  A byte that never followed a pair counts as EPSILON.
+CONTEXTS, EPSILON = 1 << 12, 0.1
+EDGE = 10  # a line feed, which no word has, stands before and after each word
+#: Words are bytes other than the six white-space ones; the word's beginning is one more thing to predict.
+ALPHABET = 256 - 6 + 1
+#: Log-probabilities of bytes are kept in units of 2**-16, above the id's bits in one number.
+UNIT, ID_BITS = 1 << 16, 24
 
 
 def inner_size(ids: int) -> int:
@@ -50,34 +56,68 @@ def inner_size(ids: int) -> int:
 
 
 def size_for(named: int) -> int:
-    """All ids of a vocabulary of ``named`` words, in whole blocks; the last ``HASHED`` are the shared ones."""
-    ids = max(NAMED, named) + HASHED
+    """All ids of a vocabulary of ``named`` words, in whole blocks; the last ``ENDS`` are those of unnamed words."""
+    ids = max(NAMED, named) + ENDS
     inner = inner_size(ids)
     return -(-ids // inner) * inner
 
 
-def counted(word: bytes) -> bytes:
-    """A word as it is counted: one of more than ``MOST_WORD_BYTES`` by a 128-bit hash."""
-    return word if len(word) <= MOST_WORD_BYTES else b"\x00" + xxhash.xxh3_128_digest(word)
-
-
-class Ids(dict):
-    """word -> id; the table of unnamed words is emptied when it is full.  Ids from ``first`` on are shared."""
-
-    def __init__(self, named: list[bytes]) -> None:
-        super().__init__({w: i for i, w in enumerate(named)})
-        self.named, self.first = named, size_for(len(named)) - HASHED
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > MOST_COUNTED + len(self.named):
+def backward(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each byte of each word, from the last but one to the edge before the word: its context, the byte, and its word."""
+    line = np.frombuffer(b"\n" + b"\n".join(w[::-1] for w in words) + b"\n", dtype=np.uint8).astype(np.int64)
+    at = np.flatnonzero(line[1:-1] != EDGE) + 2  # what comes after a byte of the word
+    context = ((line[at - 1] * 256 + line[at - 2]) * 40_503 >> 4) & (CONTEXTS - 1)
+    sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+    return context, line[at], np.repeat(np.arange(len(words)), sizes)
+
+
+def byte_logs(counts: np.ndarray) -> np.ndarray:
+    """(contexts, 256) log-probabilities; each row's over the bytes of words and the edge sum to 1."""
+    return np.log((counts + EPSILON) / (counts.sum(axis=1, keepdims=True) + EPSILON * ALPHABET))
+
+
+class Ids(WordTable):
+    """word -> id, and for an unnamed word the log-probability of its bytes given the last one, in one number."""
+
+    def __init__(self, named: list[bytes], logs: np.ndarray | None = None) -> None:
+        super().__init__(150_000)
+        self.named = {w: i for i, w in enumerate(named)}
+        self.first = size_for(len(named)) - ENDS
+        self.logs = byte_logs(np.zeros((CONTEXTS, 256))) if logs is None else logs
+
+    def learn(self, words: set[bytes]) -> dict[bytes, int]:
+        """Values of words that the table doesn't have; those of up to ``longest`` bytes are kept."""
+        new = [w for w in words if w not in self and w not in self.named]
+        if not new:
+            return {}
+        if len(self) + len(new) > self.most:
+            new += [w for w in words if w in self]  # the table is emptied below
+        context, byte, of = backward(new)
+        costs = np.rint(-UNIT * np.bincount(of, self.logs[context, byte], len(new))).astype(np.int64)
+        values = dict(zip(new, ((costs << ID_BITS) + np.fromiter((self.first + w[-1] for w in new), dtype=np.int64, count=len(new))).tolist(), strict=True))
+        if len(self) + len(values) > self.most:
             self.clear()
-            self.update({w: i for i, w in enumerate(self.named)})
-        value = self[word] = self.first + xxhash.xxh3_64_intdigest(counted(word), 3) % HASHED
-        return value
+        self.update((w, v) for w, v in values.items() if len(w) <= self.longest)
+        return values
+
+    def both(self, texts: list[bytes]) -> tuple[list[np.ndarray], np.ndarray]:
+        """The ids of each text's words, and the log-probability of each text's unnamed words given their ids."""
+        split = [t.lower().split() for t in texts]
+        words = set().union(*split)
+        held = self.learn(words)
+        for w in words:
+            if w not in held:
+                found = self.named.get(w)
+                held[w] = self[w] if found is None else found
+        out, sums = [], np.zeros(len(texts))
+        for i, words in enumerate(split):
+            v = np.fromiter(map(held.__getitem__, words), dtype=np.int64, count=len(words))
+            out.append(v & ((1 << ID_BITS) - 1))
+            sums[i] = -float((v >> ID_BITS).sum()) / UNIT
+        return out, sums
 
     def of(self, text: bytes) -> np.ndarray:
-        words = text.lower().split()
-        return np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words))
+        return self.both([text])[0][0]
 
 
 class Network:
@@ -189,63 +229,82 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: Counter[bytes] = Counter()
+        size = 0
         for batch in batches:
             for text in utf8(batch.column(1)):
                 found.update(text.lower().split())
-                if len(found) > MOST_COUNTED:
+                size += len(text)
+                if len(found) > MOST_COUNTED or size > MOST_COUNTED_BYTES:
                     yield part(found)
                     found.clear()
+                    size = 0
         yield part(found)
 
     def part(found: Counter[bytes]) -> pa.RecordBatch:
-        # a longer word can't be named: it is counted by a hash of its bytes
-        rows: Counter[bytes] = Counter()
-        for w, n in found.items():
-            rows[counted(w)] += n
-        return pa.RecordBatch.from_arrays([pa.array(list(rows), type=pa.binary()), pa.array(list(rows.values()), type=pa.int64())], names=["word", "n"])
+        return pa.RecordBatch.from_arrays([pa.array(list(found), type=pa.binary()), pa.array(list(found.values()), type=pa.int64())], names=["word", "n"])
 
     return docs.mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def vocabulary(counts: DataFrame) -> tuple[list[bytes], np.ndarray]:
-    """The words with ids of their own, most frequent first (ties by their bytes), and the counts of all ids."""
+def vocabulary(counts: DataFrame) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The words with ids of their own, most frequent first (ties by their bytes); the counts of all ids; the counts of
+    bytes in contexts, (contexts, 256), over the other words."""
     total = counts.agg(F.sum("n")).first()[0] or 0
     threshold = max(float(LEAST), total**0.5 / SPREAD)
-    short = counts.where("substring(word, 1, 1) != X'00'")
-    held = short.where(F.col("n") >= threshold).collect()  # words that grow as the root of the tokens
+    held = counts.where(F.col("n") >= threshold).collect()  # words that grow as the root of the tokens
     if len(held) < NAMED:
-        held = short.orderBy(F.desc("n"), "word").limit(NAMED).collect()
+        held = counts.orderBy(F.desc("n"), "word").limit(NAMED).collect()
     held = sorted(((r.n, bytes(r.word)) for r in held), key=lambda x: (-x[0], x[1]))
     named = [w for _, w in held]
     out = np.zeros(size_for(len(named)))
     out[: len(named)] = [n for n, _ in held]
-    first, own = len(out) - HASHED, frozenset(named)
+    first, own, kind = len(out) - ENDS, frozenset(named), "part long, piece long, tokens long, weights binary"
 
-    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros(HASHED, dtype=np.int64)
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, ends, words = np.zeros(CONTEXTS * 256), np.zeros(ENDS), 0
         for batch in batches:
-            for w, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if w not in own:
-                    sums[xxhash.xxh3_64_intdigest(w, 3) % HASHED] += n
-        yield pa.RecordBatch.from_arrays([pa.array(range(HASHED), type=pa.int32()), pa.array(sums)], names=["id", "n"])
+            for a in range(0, batch.num_rows, 4096):
+                rows = [(w, n) for w, n in zip(*(c.to_pylist() for c in batch.slice(a, 4096).columns), strict=True) if w not in own]
+                if rows:
+                    n = np.array([n for _, n in rows], dtype=np.float64)
+                    context, byte, of = backward([w for w, _ in rows])
+                    np.add.at(table, context * 256 + byte, n[of])
+                    ends += np.bincount([w[-1] for w, _ in rows], n, ENDS)
+                    words += len(rows)
+        if words:
+            yield from _pieces(np.concatenate([table, ends]), words)
+
+    found, _ = tree_sum(counts.select("word", "n").mapInArrow(spell, kind), kind)
+    bytes_ = np.zeros(CONTEXTS * 256) if found is None else found[: CONTEXTS * 256]
+    if found is not None:
+        out[first:] = found[CONTEXTS * 256 :]
+    return named, out, bytes_.reshape(CONTEXTS, 256)
+
+
+def _pieces(flat: np.ndarray, tokens: int) -> Iterator[pa.RecordBatch]:
+    """A task's numbers (float64) in pieces of ``PIECE``."""
+    part = TaskContext.get().partitionId()
+    for piece, a in enumerate(range(0, len(flat), PIECE)):
+        yield pa.RecordBatch.from_arrays([pa.array([part], type=pa.int64()), pa.array([piece], type=pa.int64()), pa.array([tokens], type=pa.int64()), pa.array([flat[a : a + PIECE].tobytes()], type=pa.binary())], names=["part", "piece", "tokens", "weights"])
+
+
+def tree_sum(parts: DataFrame, kind: str) -> tuple[np.ndarray | None, int]:
+    """The sum of all tasks' numbers and of their tokens, in a tree of fan-in ``FAN_IN``, piece by piece; None without parts."""
 
-    for r in counts.select("word", "n").mapInArrow(shared, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
-        out[first + r.id] = r.n
-    return named, out
-
-
-def unnamed_shares(counts: DataFrame, named: list[bytes], sizes: np.ndarray) -> DataFrame:
-    """``word, share`` of the words without an id of their own: log P(word | its shared id) by the counts."""
-    own, logs = frozenset(named), np.log(np.maximum(sizes[-HASHED:], 1))
-
-    def share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [(w, n) for w, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if w not in own]
-            at = np.array([xxhash.xxh3_64_intdigest(w, 3) % HASHED for w, _ in rows], dtype=np.int64)
-            found = np.log(np.array([n for _, n in rows], dtype=np.float64)) - logs[at]
-            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in rows], type=pa.binary()), pa.array(found)], names=["word", "share"])
+    def add(frame: pd.DataFrame) -> pd.DataFrame:
+        total = np.sum([np.frombuffer(w) for w in frame["weights"]], axis=0)
+        return pd.DataFrame({"part": [frame["part"].iloc[0] // FAN_IN], "piece": [frame["piece"].iloc[0]], "tokens": [frame["tokens"].sum()], "weights": [total.tobytes()]})
 
-    return counts.select("word", "n").mapInArrow(share, "word binary, share double")
+    level = materialise(parts, "weights")
+    top = level.agg(F.max("part")).first()[0]
+    while top is not None:
+        up = level.groupBy(F.floor(F.col("part") / FAN_IN).alias("up"), "piece").applyInPandas(add, kind)  # at most FAN_IN rows of 256 KB, whatever the vocabulary
+        level = materialise(up, "weights")
+        if not top:
+            break
+        top //= FAN_IN
+    done = level.orderBy("piece").collect()  # one set of numbers
+    return (np.concatenate([np.frombuffer(r.weights) for r in done]), done[0].tokens) if done else (None, 0)
 
 
 def train(docs: DataFrame, named: list[bytes], counts: np.ndarray, learn: float = 0.1) -> Network:
@@ -253,37 +312,16 @@ def train(docs: DataFrame, named: list[bytes], counts: np.ndarray, learn: float
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net, ids, tokens = Network.start(counts), Ids(named), 0
-        held: list[np.ndarray] = []
-        size = 0
         for batch in batches:
-            for text in utf8(batch.column(1)):
-                held.append(ids.of(text))
-                size += len(held[-1])
-                if size >= 8 * BATCH:
-                    tokens += teach(net, held, learn)
-                    held, size = [], 0
-        tokens += teach(net, held, learn)
+            texts = utf8(batch.column(1))
+            for a, b in runs(np.array([len(t) for t in texts], dtype=np.int64) + 64, 1 << 20):
+                tokens += teach(net, ids.both(texts[a:b])[0], learn)
         if tokens:
-            flat, part = net.flat(), TaskContext.get().partitionId()
-            for piece, a in enumerate(range(0, len(flat), PIECE)):
-                part_of = (flat[a : a + PIECE].astype(np.float64) * tokens).tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array([part], type=pa.int64()), pa.array([piece], type=pa.int64()), pa.array([tokens], type=pa.int64()), pa.array([part_of], type=pa.binary())], names=["part", "piece", "tokens", "weights"])
-
-    def add(frame: pd.DataFrame) -> pd.DataFrame:
-        total = np.sum([np.frombuffer(w) for w in frame["weights"]], axis=0)
-        return pd.DataFrame({"part": [frame["part"].iloc[0] // FAN_IN], "piece": [frame["piece"].iloc[0]], "tokens": [frame["tokens"].sum()], "weights": [total.tobytes()]})
+            yield from _pieces(net.flat().astype(np.float64) * tokens, tokens)
 
     kind = "part long, piece long, tokens long, weights binary"
-    level = materialise(docs.mapInArrow(local, kind), "weights")
-    top = level.agg(F.max("part")).first()[0]
-    while top is not None:
-        up = level.groupBy(F.floor(F.col("part") / FAN_IN).alias("up"), "piece").applyInPandas(add, kind)  # at most FAN_IN rows of 256 KB, whatever the vocabulary
-        level = materialise(up, "weights")
-        if not top:
-            break
-        top //= FAN_IN
-    done = level.orderBy("piece").collect()  # one network
-    return Network.from_flat(np.concatenate([np.frombuffer(r.weights) for r in done]) / done[0].tokens, len(counts)) if done else Network.start(counts)
+    total, tokens = tree_sum(docs.mapInArrow(local, kind), kind)
+    return Network.start(counts) if total is None else Network.from_flat(total / tokens, len(counts))
 
 
 def teach(net: Network, texts: list[np.ndarray], learn: float) -> int:
@@ -293,42 +331,26 @@ def teach(net: Network, texts: list[np.ndarray], learn: float) -> int:
     return len(tokens)
 
 
-def score(docs: DataFrame, net: Network, named: list[bytes]) -> DataFrame:
-    """``doc_id, n_tokens, log_likelihood, unnamed`` of whole texts: the likelihood of their ids, and the words that share ids."""
+def score(docs: DataFrame, net: Network, named: list[bytes], spelling: np.ndarray) -> DataFrame:
+    """``doc_id, n_tokens, log_likelihood`` of whole texts; ``spelling``: the counts of bytes in contexts."""
     flat, size = net.flat(), net.size
+    weights = docs.sparkSession.sparkContext.broadcast((flat, named, byte_logs(spelling).astype(np.float32)))
     held: list[tuple[Network, Ids]] = []
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         if not held:
-            held.append((Network.from_flat(flat, size), Ids(named)))
+            flat, words, logs = weights.value
+            held.append((Network.from_flat(flat, size), Ids(words, logs)))
         model, ids = held[0]
-        given = utf8(batch.column(1))
-        texts = [ids.of(t) for t in given]
+        texts, spelled = ids.both(utf8(batch.column(1)))
         tokens, around = windows(texts, size)
         found = np.concatenate([[0.0], *(model.run(tokens[a : a + BATCH], around[:, a : a + BATCH]) for a in range(0, len(tokens), BATCH))])
         sizes = np.array([len(t) for t in texts], dtype=np.int64)
         ends = np.cumsum(sizes)
-        sums = np.array([found[1 + e - n : 1 + e].sum() for e, n in zip(ends, sizes, strict=True)])
-        unnamed = []
-        for t, i in zip(given, texts, strict=True):
-            at = np.flatnonzero(i >= ids.first).tolist()
-            words = t.lower().split() if at else []
-            unnamed.append([counted(words[k]) for k in at])
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), pa.array(sums, type=pa.float64()), pa.array(unnamed, type=pa.list_(pa.binary()))], names=["doc_id", "n_tokens", "log_likelihood", "unnamed"])
+        sums = np.array([found[1 + e - n : 1 + e].sum() for e, n in zip(ends, sizes, strict=True)]) + spelled
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), pa.array(sums, type=pa.float64())], names=["doc_id", "n_tokens", "log_likelihood"])
 
-    return map_batches(docs, run, "doc_id long, n_tokens long, log_likelihood double, unnamed array<binary>")
-
-
-def with_unnamed(scored: DataFrame, shares: DataFrame) -> DataFrame:
-    """``doc_id, n_tokens, log_likelihood`` of the words themselves: each unnamed one adds its ``share``.
-
-    A word without an id of its own is rarer than the threshold, so no key of the join is hot, but for words that are too
-    long to be named or begin with a zero byte.
-    """
-    rows = materialise(scored.withColumn("row_id", F.monotonically_increasing_id()), "scored")
-    added = rows.select("row_id", F.explode("unnamed").alias("word")).join(shares, "word").groupBy("row_id").agg(F.sum("share").alias("added"))
-    whole = F.col("log_likelihood") + F.coalesce("added", F.lit(0.0))
-    return rows.drop("unnamed").join(added, "row_id", "left").select("doc_id", "n_tokens", whole.alias("log_likelihood"))
+    return map_batches(docs, run, "doc_id long, n_tokens long, log_likelihood double")
 
 
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -338,9 +360,8 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     trained on and scored each; an empty table gives no row.
     """
     given = id_text(docs, id_col, text_col)
-    words = materialise(word_counts(given), "words")
-    named, counts = vocabulary(words)
-    scored = with_unnamed(score(given, train(given, named, counts), named), unnamed_shares(words, named, counts))
+    named, counts, spelling = vocabulary(materialise(word_counts(given), "words"))
+    scored = score(given, train(given, named, counts), named, spelling)
     return scored.withColumn("mean_log_likelihood", F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens")))
 
 

@@ -36,12 +36,12 @@ def test_scores_by_definition_and_order_matters(spark):
     d = spark.createDataFrame(docs + extra, SCHEMA).repartition(3)
     given = lm.id_text(d, "doc_id", "text")
     counts = lm.word_counts(given)
-    want = Counter(w for _, t, *_ in docs + extra for w in (t or "").lower().split() if len(w) <= 256)
-    assert {bytes(r.word).decode(): r.n for r in counts.collect() if len(r.word) <= 256 and r.word[0]} == want
-    named, sizes = lm.vocabulary(counts)
-    assert named[:1] == [b"zz"] and abs(sizes.sum() - sum(want.values()) - 1) < 1e-6
+    want = Counter(w for _, t, *_ in docs + extra for w in (t or "").lower().split() )
+    assert {bytes(r.word).decode(): r.n for r in counts.collect()} == want
+    named, sizes, spelling = lm.vocabulary(counts)
+    assert named[:1] == [b"zz"] and abs(sizes.sum() - sum(want.values())) < 1e-6 and not spelling.any()
     net = lm.train(given, named, sizes)
-    got = lm.score(given, net, named).collect()
+    got = lm.score(given, net, named, spelling).collect()
     assert len(got) == len(docs) + len(extra)
     ids = lm.Ids(named)
     for r in [r for r in got if r.doc_id in (0, 5, 17, 903)]:
@@ -51,7 +51,7 @@ def test_scores_by_definition_and_order_matters(spark):
     by = {r.doc_id: r for r in got}
     assert by[900].n_tokens == by[901].n_tokens == 0 and by[900].log_likelihood == 0.0
     shuffled = [(i, " ".join(np.random.default_rng(i).permutation(t.split())), "x", "y") for i, t, *_ in docs[:50]]
-    mixed = lm.score(lm.id_text(spark.createDataFrame(shuffled, SCHEMA), "doc_id", "text"), net, named).collect()
+    mixed = lm.score(lm.id_text(spark.createDataFrame(shuffled, SCHEMA), "doc_id", "text"), net, named, spelling).collect()
     assert np.mean([by[r.doc_id].log_likelihood > r.log_likelihood for r in mixed]) > 0.9
     final = lm.score_documents(d).collect()
     assert len(final) == len(got) and all((r.mean_log_likelihood is None) == (r.n_tokens == 0) for r in final)
@@ -80,13 +80,14 @@ def test_gradients():
 def test_tree_of_averages(spark, monkeypatch):
     d = spark.createDataFrame(rows(), SCHEMA).repartition(5)
     given = lm.materialise(lm.id_text(d, "doc_id", "text"), "t")
-    named, sizes = lm.vocabulary(lm.word_counts(given))
+    named, sizes, _ = lm.vocabulary(lm.word_counts(given))
     whole = lm.train(given, named, sizes).flat()
     monkeypatch.setattr(lm, "FAN_IN", 2)
     assert np.allclose(whole, lm.train(given, named, sizes).flat(), atol=1e-5)
 
 
-def test_every_word_has_its_own_probability(spark):
+def test_every_word_has_its_own_probability(spark, monkeypatch):
+    monkeypatch.setattr(lm, "SPREAD", 32)  # 2,000 words pass the threshold of a small corpus
     rng = np.random.default_rng(3)
     frequent = [f"w{k}" for k in range(2000)] * lm.LEAST
     rare = [f"r{k}" for k in range(3000)] + [f"r{k}" for k in range(0, 3000, 3)]
@@ -94,30 +95,31 @@ def test_every_word_has_its_own_probability(spark):
     docs = [(i, " ".join(words[a : a + 200]), "x", "y") for i, a in enumerate(range(0, len(words), 200))]
     d = spark.createDataFrame(docs, SCHEMA).repartition(3)
     given = lm.id_text(d, "doc_id", "text")
-    counts = lm.materialise(lm.word_counts(given), "t")
-    named, sizes = lm.vocabulary(counts)
+    named, sizes, spelling = lm.vocabulary(lm.word_counts(given))
     assert set(named) == {f"w{k}".encode() for k in range(2000)}  # more words than NAMED
-    ids, held = lm.Ids(named), Counter(w.encode() for w in words)
-    buckets = Counter()
+    logs, held = lm.byte_logs(spelling), Counter(w.encode() for w in words)
+    ids, want = lm.Ids(named, logs), np.zeros((lm.CONTEXTS, 256))
     for w, n in held.items():
-        buckets[ids[w]] += n
-    assert all(sizes[i] == n for i, n in buckets.items()) and sizes.sum() == len(words)
-    shares = {bytes(r.word): r.share for r in lm.unnamed_shares(counts, named, sizes).collect()}
-    sums = Counter()
-    for w, share in shares.items():
-        if w[:1] != b"\x00":
-            assert abs(np.exp(share) - held[w] / buckets[ids[w]]) < 1e-9
-            sums[ids[w]] += np.exp(share)
-    sums[ids[b"q" * 1000]] += np.exp(shares[lm.counted(b"q" * 1000)])
-    assert len(shares) == 3001 and all(abs(x - 1) < 1e-9 for x in sums.values())
+        if w not in named:
+            line = [10, *w[::-1], 10]
+            for i in range(2, len(line)):
+                want[(line[i - 1] * 256 + line[i - 2]) * 40_503 // 16 % lm.CONTEXTS, line[i]] += n
+    assert (spelling == want).all() and sizes.sum() == len(words)
+    # given the last byte, the words of one and of two bytes and the beginnings of all longer ones sum to 1
+    every = [b for b in range(256) if b not in b" \t\n\x0b\x0c\r"]
+    context = lambda y, z: (y * 256 + z) * 40_503 // 16 % lm.CONTEXTS
+    for last in b"0zq":
+        one = np.exp(logs[context(last, 10)])
+        total = one[10] + sum(one[b] * np.exp(logs[context(b, last)])[[10, *every]].sum() for b in every)
+        assert abs(total - 1) < 1e-9
     net = lm.train(given, named, sizes)
-    plain = {r.doc_id: r.log_likelihood for r in lm.score(given, net, named).collect()}
-    got = {r.doc_id: r.log_likelihood for r in lm.with_unnamed(lm.score(given, net, named), lm.unnamed_shares(counts, named, sizes)).collect()}
+    got = {r.doc_id: r.log_likelihood for r in lm.score(given, net, named, spelling).collect()}
     assert len(got) == len(docs)
-    for i, text, *_ in docs:
-        own = [w.encode() for w in text.split()]
-        want = plain[i] + sum(np.log(held[w] / buckets[ids[w]]) for w in own if ids[w] >= ids.first)
-        assert abs(got[i] - want) < 1e-6
-    tokens, around = lm.windows([ids.of(docs[0][1].encode())], net.size)
+    for i, text, *_ in docs[:40] + [x for x in docs if "qqq" in x[1]]:
+        own, (mine,) = [w.encode() for w in text.split()], ids.both([text.encode()])[0]
+        tokens, around = lm.windows([mine], net.size)
+        spelled = sum(sum(np.log((want[c, b] + lm.EPSILON) / (want[c].sum() + lm.EPSILON * lm.ALPHABET)) for c, b in zip(*lm.backward([w])[:2], strict=True)) for w in own if w not in ids.named)
+        assert abs(got[i] - net.run(tokens, around).sum() - spelled) < 0.05
+        assert all(t == (named.index(w) if w in ids.named else ids.first + w[-1]) for t, w in zip(mine, own, strict=True))
     every = net.run(np.arange(net.size), np.repeat(around[:, 5:6], net.size, axis=1))
     assert abs(np.exp(every).sum() - 1) < 1e-4
