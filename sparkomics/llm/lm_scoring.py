@@ -19,6 +19,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain, compress, repeat
 
 import numpy as np
 import pandas as pd
@@ -27,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordTable, id_text, map_batches, materialise, runs, utf8
+from .common import id_text, map_batches, materialise, runs, utf8
 
 NAMED, ENDS, INNER = 1024, 256, 64
 SIZE = NAMED + ENDS
@@ -43,8 +44,6 @@ CONTEXTS, EPSILON = 1 << 12, 0.1
 EDGE = 10  # a line feed, which no word has, stands before and after each word
 #: Words are bytes other than the six white-space ones; the word's beginning is one more thing to predict.
 ALPHABET = 256 - 6 + 1
-#: Log-probabilities of bytes are kept in units of 2**-16, above the id's bits in one number.
-UNIT, ID_BITS = 1 << 16, 24
 
 
 def inner_size(ids: int) -> int:
@@ -62,13 +61,18 @@ def size_for(named: int) -> int:
     return -(-ids // inner) * inner
 
 
-def backward(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each byte of each word, from the last but one to the edge before the word: its context, the byte, and its word."""
-    line = np.frombuffer(b"\n" + b"\n".join(w[::-1] for w in words) + b"\n", dtype=np.uint8).astype(np.int64)
-    at = np.flatnonzero(line[1:-1] != EDGE) + 2  # what comes after a byte of the word
-    context = ((line[at - 1] * 256 + line[at - 2]) * 40_503 >> 4) & (CONTEXTS - 1)
-    sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-    return context, line[at], np.repeat(np.arange(len(words)), sizes)
+def joined(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all words with an edge before and after each, and where the edges stand."""
+    line = np.frombuffer(b"\n" + b"\n".join(words) + b"\n", dtype=np.uint8).astype(np.int32)
+    return line, np.flatnonzero(line == EDGE)
+
+
+def backward(line: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of ``joined`` words: for each byte, its context (itself and what follows it), what stands before it, and where in these
+    each word begins."""
+    at = np.flatnonzero(line != EDGE)
+    context = ((line[at] * 256 + line[at + 1]) * 40_503 >> 4) & (CONTEXTS - 1)
+    return context, line[at - 1], edges[:-1] - np.arange(len(edges) - 1)
 
 
 def byte_logs(counts: np.ndarray) -> np.ndarray:
@@ -76,45 +80,28 @@ def byte_logs(counts: np.ndarray) -> np.ndarray:
     return np.log((counts + EPSILON) / (counts.sum(axis=1, keepdims=True) + EPSILON * ALPHABET))
 
 
-class Ids(WordTable):
-    """word -> id, and for an unnamed word the log-probability of its bytes given the last one, in one number."""
+class Ids:
+    """Ids of words, and the log-probabilities of unnamed ones given their ids if ``logs`` are given."""
 
     def __init__(self, named: list[bytes], logs: np.ndarray | None = None) -> None:
-        super().__init__(150_000)
-        self.named = {w: i for i, w in enumerate(named)}
+        self.named, self.logs = {w: i for i, w in enumerate(named)}, logs
         self.first = size_for(len(named)) - ENDS
-        self.logs = byte_logs(np.zeros((CONTEXTS, 256))) if logs is None else logs
-
-    def learn(self, words: set[bytes]) -> dict[bytes, int]:
-        """Values of words that the table doesn't have; those of up to ``longest`` bytes are kept."""
-        new = [w for w in words if w not in self and w not in self.named]
-        if not new:
-            return {}
-        if len(self) + len(new) > self.most:
-            new += [w for w in words if w in self]  # the table is emptied below
-        context, byte, of = backward(new)
-        costs = np.rint(-UNIT * np.bincount(of, self.logs[context, byte], len(new))).astype(np.int64)
-        values = dict(zip(new, ((costs << ID_BITS) + np.fromiter((self.first + w[-1] for w in new), dtype=np.int64, count=len(new))).tolist(), strict=True))
-        if len(self) + len(values) > self.most:
-            self.clear()
-        self.update((w, v) for w, v in values.items() if len(w) <= self.longest)
-        return values
 
     def both(self, texts: list[bytes]) -> tuple[list[np.ndarray], np.ndarray]:
-        """The ids of each text's words, and the log-probability of each text's unnamed words given their ids."""
+        """The ids of each text's words, and the sum of its unnamed words' log-probabilities."""
         split = [t.lower().split() for t in texts]
-        words = set().union(*split)
-        held = self.learn(words)
-        for w in words:
-            if w not in held:
-                found = self.named.get(w)
-                held[w] = self[w] if found is None else found
-        out, sums = [], np.zeros(len(texts))
-        for i, words in enumerate(split):
-            v = np.fromiter(map(held.__getitem__, words), dtype=np.int64, count=len(words))
-            out.append(v & ((1 << ID_BITS) - 1))
-            sums[i] = -float((v >> ID_BITS).sum()) / UNIT
-        return out, sums
+        sizes = np.fromiter(map(len, split), dtype=np.int64, count=len(split))
+        flat = list(chain.from_iterable(split))
+        ids = np.fromiter(map(self.named.get, flat, repeat(-1)), dtype=np.int64, count=len(flat))
+        sums, rest = np.zeros(len(texts)), np.flatnonzero(ids < 0)
+        if len(rest):
+            line, edges = joined(list(compress(flat, (ids < 0).tolist())))
+            ids[rest] = self.first + line[edges[1:] - 1]
+            if self.logs is not None:
+                context, before, starts = backward(line, edges)
+                words = np.add.reduceat(self.logs[context, before], starts, dtype=np.float64)
+                sums += np.bincount(np.searchsorted(np.cumsum(sizes), rest, "right"), words, len(texts))
+        return np.split(ids, np.cumsum(sizes)[:-1]) if len(texts) else [], sums
 
     def of(self, text: bytes) -> np.ndarray:
         return self.both([text])[0][0]
@@ -164,12 +151,12 @@ class Network:
         order = np.argsort(block.astype(np.uint16), kind="stable")
         block, place, around = block[order], place[order], around[:, order]
         h = self.hidden(around)
-        rows = np.arange(n)
+        rows, ones = np.arange(n), np.ones(max(n, self.blocks, self.places), dtype=np.float32)
         p = h @ self.outer + self.outer_bias
         p -= p.max(axis=1, keepdims=True)
         picked = p[rows, block]
         np.exp(p, out=p)
-        total = p.sum(axis=1, keepdims=True)
+        total = p @ ones[: self.blocks, None]  # faster than a sum over short rows
         scores = picked - np.log(total[:, 0])
         ends = np.searchsorted(block, np.arange(self.blocks + 1))
         if learn:
@@ -177,7 +164,7 @@ class Network:
             p[rows, block] -= 1
             p /= n
             back = p @ self.outer.T
-            steps = [None, h.T @ p, p.sum(axis=0), np.zeros_like(self.inner), np.zeros_like(self.inner_bias)]
+            steps = [None, h.T @ p, ones[:n] @ p, np.zeros_like(self.inner), np.zeros_like(self.inner_bias)]
         for b in range(self.blocks):
             i, j = ends[b], ends[b + 1]
             if i == j:
@@ -187,13 +174,13 @@ class Network:
             at = rows[: j - i]
             picked = q[at, place[i:j]]
             np.exp(q, out=q)
-            total = q.sum(axis=1, keepdims=True)
+            total = q @ ones[: self.places, None]
             scores[i:j] += picked - np.log(total[:, 0])
             if learn:
                 q /= total
                 q[at, place[i:j]] -= 1
                 q /= n
-                steps[3][b], steps[4][b] = h[i:j].T @ q, q.sum(axis=0)
+                steps[3][b], steps[4][b] = h[i:j].T @ q, ones[: j - i] @ q
                 back[i:j] += q @ self.inner[b].T
         if learn:
             back *= 1 - h * h
@@ -267,9 +254,10 @@ def vocabulary(counts: DataFrame) -> tuple[list[bytes], np.ndarray, np.ndarray]:
                 rows = [(w, n) for w, n in zip(*(c.to_pylist() for c in batch.slice(a, 4096).columns), strict=True) if w not in own]
                 if rows:
                     n = np.array([n for _, n in rows], dtype=np.float64)
-                    context, byte, of = backward([w for w, _ in rows])
-                    np.add.at(table, context * 256 + byte, n[of])
-                    ends += np.bincount([w[-1] for w, _ in rows], n, ENDS)
+                    line, edges = joined([w for w, _ in rows])
+                    context, before, _ = backward(line, edges)
+                    np.add.at(table, context * 256 + before, np.repeat(n, np.diff(edges) - 1))
+                    ends += np.bincount(line[edges[1:] - 1], n, ENDS)
                     words += len(rows)
         if words:
             yield from _pieces(np.concatenate([table, ends]), words)

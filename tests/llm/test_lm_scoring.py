@@ -118,7 +118,7 @@ def test_every_word_has_its_own_probability(spark, monkeypatch):
     for i, text, *_ in docs[:40] + [x for x in docs if "qqq" in x[1]]:
         own, (mine,) = [w.encode() for w in text.split()], ids.both([text.encode()])[0]
         tokens, around = lm.windows([mine], net.size)
-        spelled = sum(sum(np.log((want[c, b] + lm.EPSILON) / (want[c].sum() + lm.EPSILON * lm.ALPHABET)) for c, b in zip(*lm.backward([w])[:2], strict=True)) for w in own if w not in ids.named)
+        spelled = sum(sum(np.log((want[c, b] + lm.EPSILON) / (want[c].sum() + lm.EPSILON * lm.ALPHABET)) for c, b in zip(*lm.backward(*lm.joined([w]))[:2], strict=True)) for w in own if w not in ids.named)
         assert abs(got[i] - net.run(tokens, around).sum() - spelled) < 0.05
         assert all(t == (named.index(w) if w in ids.named else ids.first + w[-1]) for t, w in zip(mine, own, strict=True))
     every = net.run(np.arange(net.size), np.repeat(around[:, 5:6], net.size, axis=1))
