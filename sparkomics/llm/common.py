@@ -7,6 +7,7 @@ split at the six ASCII white-space bytes (``bytes.split`` splits at exactly thos
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import os
 import tempfile
@@ -37,6 +38,12 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (OSError, AttributeError):  # another C library
+    _trim = None
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Delete a table that ``materialise`` wrote; a path that is gone already is no error."""
     if spark.sparkContext._jsc is None:
@@ -113,12 +120,14 @@ def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], Iterator[pa.
             sizes = np.array([0 if x is None else x for x in pa.compute.binary_length(batch.column(1)).to_pylist()], dtype=np.int64)
             for a, b in runs(sizes + 64):
                 yield from function(batch.slice(a, b - a))
+        settle()
 
     return df.mapInArrow(each, schema)
 
 
 def id_text(docs: DataFrame, id_col: str, text_col: str, row_col: str | None = None) -> DataFrame:
     """Only the columns that count, under names of our own: other columns can't clash and aren't read."""
+    small_batches(docs.sparkSession)
     rows = [F.col(row_col).alias("row_id")] if row_col else []
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *rows)
 
@@ -131,9 +140,28 @@ def numbered(docs: DataFrame) -> DataFrame:
     return materialise(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
 
 
+#: Rows of an Arrow batch, where the session doesn't set its own: texts of some KB make Spark's default tens of MB.
+BATCH_ROWS = "2000"
+
+
+def small_batches(spark: SparkSession) -> None:
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, BATCH_ROWS)
+
+
 _claimed: list[dict] = []
 
 
+def settle() -> None:
+    """At a task's end: empties the tables and gives freed memory back, as the worker may idle while others need it."""
+    for t in _claimed:
+        t.clear()
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
 def claim(*tables: dict) -> None:
     """Empties the tables that another operator has left in this Python worker, which Spark uses again."""
     if _claimed and _claimed[0] is not tables[0]:

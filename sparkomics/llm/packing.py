@@ -288,12 +288,12 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
                     del waiting[p.key]
 
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), utf8(batch.column(1))
-            for a, b in runs(np.array([len(t) for t in texts], dtype=np.int64) + 64, 1 << 20):
-                found: list[tuple] = []
-                for i in range(a, b):
-                    tokens, texts[i] = encode(texts[i]), b""
-                    waiting[n] = [ids[i], tokens, len(tokens)]
+            sizes = np.array([x or 0 for x in pa.compute.binary_length(batch.column(1)).to_pylist()], dtype=np.int64)
+            for a, b in runs(sizes + 64, 1 << 20):
+                part, found = batch.slice(a, b - a), []
+                for doc_id, text in zip(part.column(0).to_pylist(), utf8(part.column(1)), strict=True):
+                    tokens = encode(text)
+                    waiting[n] = [doc_id, tokens, len(tokens)]
                     found += rows(packer.add(n, len(tokens), len(tokens)))
                     n += 1
                 yield _pieces(found)

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, claim, distinct, id_text, map_batches, mix64, runs, utf8
+from .common import WordHashes, claim, distinct, id_text, map_batches, mix64, runs, settle, utf8
 
 BITS = 20
 MOST_LABELLED = 10_000
@@ -146,6 +146,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
                 part = batch.slice(a, b - a)
                 clean = [score_text(t, model.bias, dense[0]) < 0.5 for t in utf8(part.column(at))]
                 yield part.filter(pa.array(clean, type=pa.bool_()))
+        settle()
 
     return docs.select(*names).mapInArrow(keep, docs.schema)
 
