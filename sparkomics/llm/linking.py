@@ -20,7 +20,6 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -193,15 +192,15 @@ def token_counts(sets: DataFrame, hashes: Hashes) -> np.ndarray:
             table[np.frombuffer(s, dtype=np.uint32)] += np.frombuffer(c, dtype=np.uint32)
         return table
 
-    def add(frame: pd.DataFrame) -> pd.DataFrame:
-        table = dense(frame["slots"], frame["counts"])
+    def add(rows: pa.Table) -> pa.Table:
+        table = dense(rows["slots"].to_pylist(), rows["counts"].to_pylist())
         at = np.flatnonzero(table).astype(np.uint32)
-        return pd.DataFrame({"part": [frame["part"].iloc[0] // FAN_IN], "piece": [frame["piece"].iloc[0]], "slots": [at.tobytes()], "counts": [table[at].tobytes()]})
+        return pa.table([[rows["part"][0].as_py() // FAN_IN], pa.array([rows["piece"][0].as_py()], type=pa.int32()), [at.tobytes()], [table[at].tobytes()]], names=["part", "piece", "slots", "counts"])
 
     level = materialise(sets.select("node", "items").mapInArrow(count, kind), "counts")
     top = level.agg(F.max("part")).first()[0]
     while top:
-        up = level.groupBy(F.floor(F.col("part") / FAN_IN).alias("up"), "piece").applyInPandas(add, kind)  # FAN_IN rows at most
+        up = level.groupBy(F.floor(F.col("part") / FAN_IN).alias("up"), "piece").applyInArrow(add, kind)  # FAN_IN rows at most
         level, old = materialise(up, "counts"), level
         release(old)
         top //= FAN_IN

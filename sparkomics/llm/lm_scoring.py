@@ -22,7 +22,6 @@ from collections.abc import Iterator
 from itertools import chain, compress, repeat
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -279,14 +278,14 @@ def _pieces(flat: np.ndarray, tokens: int) -> Iterator[pa.RecordBatch]:
 def tree_sum(parts: DataFrame, kind: str) -> tuple[np.ndarray | None, int]:
     """The sum of all tasks' numbers and of their tokens, in a tree of fan-in ``FAN_IN``, piece by piece; None without parts."""
 
-    def add(frame: pd.DataFrame) -> pd.DataFrame:
-        total = np.sum([np.frombuffer(w) for w in frame["weights"]], axis=0)
-        return pd.DataFrame({"part": [frame["part"].iloc[0] // FAN_IN], "piece": [frame["piece"].iloc[0]], "tokens": [frame["tokens"].sum()], "weights": [total.tobytes()]})
+    def add(rows: pa.Table) -> pa.Table:
+        total = np.sum([np.frombuffer(w) for w in rows["weights"].to_pylist()], axis=0)
+        return pa.table([[rows["part"][0].as_py() // FAN_IN], [rows["piece"][0].as_py()], [sum(rows["tokens"].to_pylist())], [total.tobytes()]], names=["part", "piece", "tokens", "weights"])
 
     level = materialise(parts, "weights")
     top = level.agg(F.max("part")).first()[0]
     while top is not None:
-        up = level.groupBy(F.floor(F.col("part") / FAN_IN).alias("up"), "piece").applyInPandas(add, kind)  # at most FAN_IN rows of 256 KB, whatever the vocabulary
+        up = level.groupBy(F.floor(F.col("part") / FAN_IN).alias("up"), "piece").applyInArrow(add, kind)  # at most FAN_IN rows of 256 KB, whatever the vocabulary
         level = materialise(up, "weights")
         if not top:
             break

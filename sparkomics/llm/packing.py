@@ -221,7 +221,7 @@ class TokenIds(WordTable):
     def __init__(self, path: str, end_id: int) -> None:
         from tokenizers import Tokenizer
 
-        super().__init__(400_000)
+        super().__init__()
         self.tokenizer, self.end = Tokenizer.from_file(path), array("I", [end_id]).tobytes()
         self.parts, self.fast = Parts(self.tokenizer.model), self.known(path)
         self.plain = re.compile(r"[!-;=-~À-ÖØ-öø-ÿ]+").fullmatch  # without <, which begins the special tokens
@@ -274,7 +274,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer_path, end_id)
-        claim(encode, encode.parts)
+        claim(_encoders, encode, encode.parts)  # another operator frees the tokenizer too
         packer = VectorPacker(limits, True, TaskContext.get().partitionId() << 33)
         waiting: dict[int, list] = {}
         n = 0

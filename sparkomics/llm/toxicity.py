@@ -11,7 +11,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -67,15 +66,19 @@ def score_text(text: bytes, bias: float, dense: np.ndarray) -> float:
     return float(1 / (1 + np.exp(-np.clip(total, -60, 60))))
 
 
-def fit(texts: list[bytes], labels: np.ndarray, epochs: int = 4, alpha: float = 4.0, beta: float = 1.0, l1: float = 4.0, l2: float = 0.0) -> Model:
-    """FTRL-proximal with per-coordinate rates, rows in the order given; the bias starts at the base rate, unregularised.
+def feature_set(text: bytes) -> np.ndarray:
+    """The distinct places of a whole text."""
+    return distinct(np.concatenate(features(text))).astype(np.int32)
+
+
+def fit(rows: list[np.ndarray], labels: np.ndarray, epochs: int = 4, alpha: float = 4.0, beta: float = 1.0, l1: float = 4.0, l2: float = 0.0) -> Model:
+    """FTRL-proximal with per-coordinate rates, rows (``feature_set``) in the order given; the bias starts at the base rate, unregularised.
 
     Without rows the score of any text is 1/11.
     """
     z, n, w = (np.zeros(1 << BITS, dtype=np.float64) for _ in range(3))
     base = (labels.sum() + 0.1) / (len(labels) + 1)
     bias, bias_n = float(np.log(base / (1 - base))) if len(labels) else float(np.log(0.1)), 1.0
-    rows = [distinct(np.concatenate(features(t))).astype(np.int32) for t in texts]
     for _ in range(epochs):
         for places, y in zip(rows, labels, strict=True):
             g = 1 / (1 + np.exp(-np.clip(bias + w[places].sum(), -60, 60))) - y
@@ -98,18 +101,24 @@ def fit_documents(docs: DataFrame, labels: DataFrame, label_col: str = "toxic",
     """From ``docs (doc_id, text)`` and labels that aren't held out.  Repeated labels of one id: the largest; null: none."""
     usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).where("doc_id is not null and label is not null").where(~held_out(F.col("doc_id")))
     chosen = usable.groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    rows = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "label", F.lit(0).alias("all"))  # at most `most` rows
-
-    def train(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.drop_duplicates("doc_id")
-        order = np.argsort(mix64(frame["doc_id"].to_numpy().astype(np.uint64)), kind="stable")
-        model = fit([frame["text"].iloc[i].encode() for i in order], frame["label"].to_numpy()[order].astype(np.float64))
-        return pd.DataFrame({"place": [-1, *model.places], "weight": [model.bias, *model.weights]})
-
-    found = rows.groupBy("all").applyInPandas(train, "place long, weight double").toPandas().sort_values("place")
-    if not len(found):
+    rows = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label")  # at most `most` rows
+
+    def extract(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        places = [feature_set(t).tobytes() for t in utf8(batch.column(1))]  # 4 bytes a feature: the fitting task gets no texts
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(places, type=pa.binary()), batch.column(2), pa.array(np.zeros(len(places), dtype=np.int32))], names=["doc_id", "places", "label", "all"])
+
+    def train(given: pa.Table) -> pa.Table:
+        ids, first = np.unique(given["doc_id"].to_numpy(), return_index=True)
+        order = first[np.argsort(mix64(ids.astype(np.uint64)), kind="stable")]
+        rows = [np.frombuffer(r, dtype=np.int32) for r in given["places"].take(order).to_pylist()]
+        model = fit(rows, given["label"].to_numpy()[order].astype(np.float64))
+        return pa.table([np.append(-1, model.places), np.append(model.bias, model.weights)], names=["place", "weight"])
+
+    sets = map_batches(rows, extract, "doc_id long, places binary, label int, all int")
+    found = sets.groupBy("all").applyInArrow(train, "place long, weight double").orderBy("place").collect()  # non-zero weights
+    if not found:
         return fit([], np.zeros(0))
-    return Model(float(found["weight"].iloc[0]), found["place"].to_numpy()[1:], found["weight"].to_numpy()[1:].astype(np.float32))
+    return Model(found[0].weight, np.array([r.place for r in found[1:]], dtype=np.int64), np.array([r.weight for r in found[1:]], dtype=np.float32))
 
 
 def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
