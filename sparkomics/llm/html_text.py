@@ -1,10 +1,16 @@
 """Main text of web pages: parser events, text-to-tag ratio per line, Gaussian smoothing, threshold clustering.
 
 The standard library's parser streams events (no tree is built); a *line* is the text between two block boundaries, with
-its counts of tags and of link characters.  Lines under boilerplate (navigation, forms, scripts, notices, comments, by
-element, role, class or id) have ratio 0.  The ratios are smoothed with a Gaussian kernel, lines above the threshold
-(their standard deviation, or the mean if that is less) form clusters, and the clusters choose the region: the article or
-main elements they lie in, or, in a page without those, all lines from the first cluster to the last and a heading before.
+its counts of tags and of link characters and the number of the container that it stands in.  Lines under boilerplate
+(navigation, forms, scripts, notices, comments, by element, role, class or id) are marked and have ratio 0.  The ratios are
+smoothed with a Gaussian kernel; lines above 0 and the threshold (the standard deviation, or the mean if that is less) form
+the clusters, and those of their lines that reach the threshold unsmoothed choose the content region: from the page
+downward, the container that holds all of their text and two unmarked lines or more, an article or main element that holds half of it, or the only article in a main element.
+
+In a region below the page's body every unmarked line is content, however short.  Where the clusters are spread over the
+body itself, it is every unmarked line from the first cluster to the last, and a heading before.  Inside an article or main
+element a class or id marks only blocks that say they are adverts, notices, comments or the like, never a paragraph,
+heading or list item.
 
 Each page is one row of one map task; there is no shuffle.
 """
@@ -38,30 +44,42 @@ NAMES = frozenset(
     "sharing social related recommended recommendations widget pagination pager login search".split()
 )
 HEADS = frozenset("header topheader siteheader pageheader".split())
+#: What still marks a block inside an article or main element.
+OWN_NAMES = frozenset(
+    "ad ads adv advert adverts advertisement adsense adslot sponsor sponsored promo promotion cookie cookies consent gdpr popup modal newsletter subscribe subscription signup "
+    "sidebar breadcrumb breadcrumbs comments commentlist respond disqus related recommended recommendations pagination".split()
+)
+PLAIN = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th tr blockquote pre figcaption caption span a b i em strong small u mark".split())
+#: Elements that a region can be.
+CONTAINERS = frozenset("html body article main section div center table tbody tr td".split())
 _tokens = re.compile(r"[a-z0-9]+").findall
-_open_end = re.compile(r"<[a-zA-Z/!?][^<>]*\Z")
+#: A tag that the end of the page cuts off: a name and whole or half attributes.
+_open_end = re.compile(r"""<[a-zA-Z/!?][^\s<>"'=]*(\s+[^\s<>"'=]+\s*=\s*("[^"<>]*"|'[^'<>]*'|[^\s"'<>]+))*(\s+[^\s<>"'=]*(\s*=\s*("[^"<>]*|'[^'<>]*|[^\s"'<>]*))?)?\Z""")
+_bare = re.compile(r"<(?=[a-zA-Z][^<>]*\Z)")
 
 
 class Lines(HTMLParser):
-    """Collects lines: text, tags, link characters, boilerplate or not, heading or not, number of the root element (0: none)."""
+    """Collects lines: text, tags, link characters, boilerplate or not, heading or not, number of the container (0: the page).
+
+    ``above`` has the container around each container, ``named`` those that are article or main elements."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.lines: list[tuple[str, int, int, bool, bool, int]] = []
-        self.stack: list[tuple[str, bool, int, bool]] = []  # tag, dropped, root, in a link
+        self.stack: list[tuple[str, bool, int, bool, int]] = []  # tag, dropped, in an article or main, in a link, container
         self.text: list[str] = []
-        self.tags = self.links = self.roots = 0
-        self.kind: dict[int, str] = {}
+        self.tags = self.links = 0
+        self.above, self.named, self.body = [0], {0: False}, {0}
         self.head = False
 
-    def state(self) -> tuple[str, bool, int, bool]:
-        return self.stack[-1] if self.stack else ("", False, 0, False)
+    def state(self) -> tuple[str, bool, int, bool, int]:
+        return self.stack[-1] if self.stack else ("", False, 0, False, 0)
 
     def cut(self) -> None:
         text = " ".join("".join(self.text).split())
         if text:
-            _, dropped, root, _ = self.state()
-            self.lines.append((text, self.tags, self.links, dropped, self.head, root))
+            _, dropped, _, _, container = self.state()
+            self.lines.append((text, self.tags, self.links, dropped, self.head, container))
             self.tags = 0
         self.text, self.links, self.head = [], 0, False
 
@@ -74,7 +92,9 @@ class Lines(HTMLParser):
         if "hidden" in found or found.get("aria-hidden") == "true" or found.get("role") in ROLES or re.search(r"display\s*:\s*none", found.get("style") or ""):
             return True
         names = {*_tokens((found.get("class") or "").lower()), *_tokens((found.get("id") or "").lower())}
-        return bool(names & NAMES) or (not root and bool(names & HEADS))
+        if root:
+            return tag not in PLAIN and bool(names & OWN_NAMES)
+        return bool(names & (NAMES | HEADS))
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.tags += 1
@@ -87,13 +107,16 @@ class Lines(HTMLParser):
             self.text.append(" ")
         if tag in VOID:
             return
-        _, dropped, root, link = self.state()
+        _, dropped, root, link, container = self.state()
         dropped = dropped or self.drops(tag, attrs, root)
-        if not dropped and (tag in ("article", "main") or dict(attrs).get("role") == "main") and (not root or (tag == "article" and self.kind[root] == "main")):
-            self.roots += 1
-            root = self.roots
-            self.kind[root] = "article" if tag == "article" else "main"
-        self.stack.append((tag, dropped, root, link or tag == "a"))
+        main = tag in ("article", "main") or dict(attrs).get("role") == "main"
+        if tag in CONTAINERS and not dropped:
+            self.above.append(container)
+            container = len(self.above) - 1
+            self.named[container] = main
+            if tag in ("html", "body"):
+                self.body.add(container)
+        self.stack.append((tag, dropped, root or (main and not dropped), link or tag == "a", container))
         self.head = self.head or tag in HEADING
 
     def close_to(self, tag: str, also: frozenset = frozenset()) -> bool:
@@ -122,7 +145,7 @@ class Lines(HTMLParser):
         self.handle_starttag(tag, attrs)
 
     def handle_data(self, data: str) -> None:
-        tag, dropped, _, link = self.state()
+        tag, dropped, _, link, _ = self.state()
         if dropped and tag in ("script", "style", "template"):
             return
         if link:
@@ -143,33 +166,73 @@ def smoothed(ratios: np.ndarray, sigma: float = 1.0) -> np.ndarray:
     return np.convolve(np.pad(ratios, reach, mode="edge"), kernel / kernel.sum(), mode="valid")
 
 
+def clusters(lines: list[tuple], free: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which lines are in clusters, and which of them reach the threshold by themselves (if none does, all of them)."""
+    ratios = np.array([max(0, len(x[0]) - x[2]) / max(1, x[1]) if ok else 0.0 for x, ok in zip(lines, free, strict=True)])
+    smooth = smoothed(ratios)
+    least = min(smooth.std(), smooth.mean())
+    chosen = free & (smooth > 0) & (smooth >= least)
+    cores = chosen & (ratios >= least)
+    return chosen, cores if cores.any() else chosen
+
+
+def region(parser: Lines, chosen: np.ndarray) -> tuple[int, np.ndarray]:
+    """The container that the clusters choose, and which containers lie in it (itself included)."""
+    n = len(parser.above)
+    text, count = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
+    for x, ok in zip(parser.lines, chosen, strict=True):
+        text[x[5]] += len(x[0]) * int(ok)
+        count[x[5]] += not x[3]
+    for k in range(n - 1, 0, -1):  # a container is numbered after the one around it
+        text[parser.above[k]] += text[k]
+        count[parser.above[k]] += count[k]
+    within: list[list[int]] = [[] for _ in range(n)]
+    for k in range(1, n):
+        within[parser.above[k]].append(k)
+    best = 0
+    while True:
+        inner = max(within[best], key=lambda k: text[k], default=0)
+        whole = text[inner] == text[0] and count[inner] > 1
+        half = 2 * text[inner] >= text[0] and any_named(parser, within, inner, text)
+        sole = parser.named[best] and parser.named[inner] and text[inner] == sum(text[k] for k in within[best] if parser.named[k])
+        if not (inner and text[inner] and (whole or half or sole)):
+            break
+        best = inner
+    inside = np.zeros(n, dtype=bool)
+    inside[best] = True
+    for k in range(best + 1, n):
+        inside[k] = inside[parser.above[k]] and k != best
+    return best, inside
+
+
+def any_named(parser: Lines, within: list[list[int]], k: int, text: np.ndarray) -> bool:
+    """Whether ``k`` is an article or main element with half of the clusters' text, or leads down to one."""
+    while k and 2 * text[k] >= text[0]:
+        if parser.named[k]:
+            return True
+        k = max(within[k], key=lambda x: text[x], default=0)
+    return False
+
+
 def main_text(html: str) -> str:
     """The main text of one page; empty if none.  Never fails: what the parser can't read is text or nothing."""
     parser = Lines()
-    parser.feed(_open_end.sub("", html))
+    parser.feed(_bare.sub("&lt;", _open_end.sub("", html)))
     parser.close()
     lines = parser.lines
-    if not lines:
-        return ""
-    free = np.array([not x[3] for x in lines])
+    free = np.array([not x[3] for x in lines], dtype=bool)
     if not free.any():
         return ""
-    ratios = np.array([0.0 if x[3] else max(0, len(x[0]) - x[2]) / max(1, x[1]) for x in lines])
-    smooth = smoothed(ratios)
-    chosen = free & (smooth >= min(smooth.std(), smooth.mean()))
-    roots = np.array([x[5] for x in lines])
-    for kind in ("article", "main"):
-        mine = free & np.isin(roots, [k for k, v in parser.kind.items() if v == kind])
-        if mine.any():
-            hit = set(roots[mine & chosen]) or {max(set(roots[mine]), key=lambda r: sum(len(x[0]) for x in lines if x[5] == r and not x[3]))}
-            return "\n".join(x[0] for x, ok in zip(lines, mine & np.isin(roots, list(hit)), strict=True) if ok)
+    chosen, cores = clusters(lines, free)
     at = np.flatnonzero(chosen)
-    keep = np.zeros(len(lines), dtype=bool)
-    if len(at):
-        # short lines between clusters (lists, dialogue, verse) are main text, whatever their number
+    if not len(at):
+        return ""
+    best, inside = region(parser, cores)
+    keep = free & inside[[x[5] for x in lines]]
+    if best in parser.body:
         first = at[0] - 1 if at[0] and lines[at[0] - 1][4] else at[0]
-        keep[first : at[-1] + 1] = True
-    return "\n".join(x[0] for x, ok in zip(lines, keep & free, strict=True) if ok)
+        keep[:first] = keep[at[-1] + 1 :] = False
+    return "\n".join(x[0] for x, ok in zip(lines, keep, strict=True) if ok)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", url_col: str = "url") -> DataFrame:

@@ -16,6 +16,10 @@ CASES = {
     "<script>var t='</p><article>';</script><p hidden>x</p>": "",
     "<div id='cookie-notice'>We use</div><article><p>A<script>x()</script>B</p></article><div role='navigation'>m</div>": "AB",
     "<main><article><p>kept</p></article><p>teaser outside</p></main>": "kept",
+    "<article><p>if a <b is less than the rest of it": "if a <b is less than the rest of it",
+    "<article><p class='social'>We share a comment on search.</p><h2 id='related'>Related</h2><div class='widget'>w</div></article>": "We share a comment on search.\nRelated\nw",
+    "<article><p>text</p><div class='comments'><p>reader says</p></div><section id='newsletter'>join</section></article>": "text",
+    "<div><div><p>" + "long text " * 20 + "</p><p>Yes.</p><p>No.</p><p>Why?</p><p>Then.</p><p>Ok.</p><p>Fine.</p><p>" + "long text " * 20 + "</p><p>End.</p></div><div>teaser</div></div>": "\n".join([("long text " * 20).strip(), "Yes.", "No.", "Why?", "Then.", "Ok.", "Fine.", ("long text " * 20).strip(), "End."]),
 }
 
 
@@ -42,6 +46,26 @@ def test_whole_table(spark):
         assert got[i].text == want and got[i].url == url and got[i].n_chars == len(want)
 
 
+def test_whole_table_without_articles(spark):
+    """The same pages with the article as one more div: the clusters alone lead to it."""
+    path = "/root/testdata/sf0.001"
+    for (html,) in duckdb.sql(f"select html from '{path}/pages.parquet'").fetchall():
+        want = html_text.main_text(html)
+        assert html_text.main_text(html.replace("<article>", "<div>").replace("</article>", "</div>")) == want
+
+
+def test_the_clusters_choose(monkeypatch):
+    story = "".join(f"<p>{'Sentence of the story, with words in it. ' * 6}</p>" for _ in range(4))
+    links = "".join(f"<div><a href='/{i}'>item {i}</a></div>" for i in range(8))
+    html = f"<body><div>{links}<p>short</p></div><section><div>{story}</div><p>tail of the story</p></section><div>{links}</div></body>"
+    got = html_text.main_text(html)
+    assert got.count("Sentence") == 24 and "item" not in got and "short" not in got
+    monkeypatch.setattr(html_text, "smoothed", lambda ratios: ratios * 0)
+    assert html_text.main_text(html) == ""
+    monkeypatch.setattr(html_text, "smoothed", lambda ratios: ratios.max() - ratios)
+    assert html_text.main_text(html) != got
+
+
 def test_odd_rows(spark):
     rows = [(1, "u", None, "x"), (None, None, "<p>a</p>", "x"), (1, "u", None, "x"), (2, "v", "", "x"), (3, "w", "<article>" + "<p>word " * 20_000, "x")]
     got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
