@@ -62,8 +62,11 @@ def test_the_clusters_choose(monkeypatch):
     assert got.count("Sentence") == 24 and "item" not in got and "short" not in got
     monkeypatch.setattr(html_text, "smoothed", lambda ratios: ratios * 0)
     assert html_text.main_text(html) == ""
-    monkeypatch.setattr(html_text, "smoothed", lambda ratios: ratios.max() - ratios)
-    assert html_text.main_text(html) != got
+    flat = f"<body>{links}{story}<p>tail of the story</p>{links}</body>"
+    monkeypatch.setattr(html_text, "smoothed", lambda ratios: ratios)
+    assert "tail" not in html_text.main_text(flat)
+    monkeypatch.undo()
+    assert html_text.main_text(flat).endswith("tail of the story")
 
 
 def test_odd_rows(spark):
