@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .frame import attach
-from .moments import FAN_IN, MOST_FEATURES
+from .moments import MOST_FEATURES, merge_tree
 from .summary import value_ranks
 
 SCHEMA = "feature_1 string, feature_2 string, idx_1 int, idx_2 int, n long, cor double"
@@ -62,11 +62,11 @@ def _sums(vectors: DataFrame, p: int, split: int | None = None) -> list[np.ndarr
         out = np.zeros(6 * shape[0] * shape[1])
         for blob in frame["state"]:
             out += np.frombuffer(blob)
-        return pd.DataFrame({"k": [0], "state": [out.tobytes()]})
+        return pd.DataFrame({"k": [0], "part": frame["part"].iloc[:1].to_numpy(), "state": [out.tobytes()]})
 
-    cells = vectors.select("features").mapInArrow(fold, "k long, state binary").groupBy("k", (F.spark_partition_id() % FAN_IN).alias("part")).applyInPandas(lambda f: merged(f), "k long, state binary")
-    rows = cells.groupBy("k").applyInPandas(merged, "k long, state binary").collect()  # one row
-    flat = np.frombuffer(rows[0][1]) if rows else np.zeros(6 * shape[0] * shape[1])
+    cells = vectors.select("features").mapInArrow(fold, "k long, state binary")
+    rows = merge_tree(cells, merged, "k long, part long, state binary").collect()  # one row
+    flat = np.frombuffer(rows[0].state) if rows else np.zeros(6 * shape[0] * shape[1])
     return list(flat.reshape(6, *shape))
 
 

@@ -7,7 +7,7 @@ on that matrix, whatever the number of samples.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -145,9 +145,17 @@ def gather(vectors: DataFrame, labels: list[str], resamples: int = 0, by_class:
         out = Moments.empty(labels, p, by_class)
         for blob in frame["state"]:
             out.merge(Moments.unpack(blob, labels, p, by_class))
-        return pd.DataFrame({"k": frame["k"].iloc[:1], "state": [out.pack()]})
+        return pd.DataFrame({"k": frame["k"].iloc[:1].to_numpy(), "part": frame["part"].iloc[:1].to_numpy(), "state": [out.pack()]})
 
     cells = vectors.select("cls", "features", *(["mults"] if resamples else [])).mapInArrow(fold, "k int, state binary")
-    cells = cells.groupBy("k", (F.spark_partition_id() % FAN_IN).alias("part")).applyInPandas(lambda f: merged(f), "k int, state binary")
-    rows = cells.groupBy("k").applyInPandas(merged, "k int, state binary").collect()  # one row per resample, within MOST_BYTES
-    return [Moments.unpack(r[1], labels, p, by_class) for r in sorted(rows)]
+    rows = merge_tree(cells, merged, "k int, part long, state binary").collect()  # one row per resample, within MOST_BYTES
+    return [Moments.unpack(r.state, labels, p, by_class) for r in sorted(rows, key=lambda r: r.k)]
+
+
+def merge_tree(cells: DataFrame, merged: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """``cells (k, state)``, one for each task and ``k``, merged to one for each ``k``: first those of ``FAN_IN`` tasks, then of
+    ``FAN_IN`` such groups, then the rest, which are ``FAN_IN`` at most up to FAN_IN ** 3 tasks.  ``merged`` keeps ``part``."""
+    cells = cells.withColumn("part", F.spark_partition_id().cast("long"))
+    for _ in range(2):
+        cells = cells.groupBy("k", F.floor(F.col("part") / FAN_IN).alias("up")).applyInPandas(lambda f: merged(f.assign(part=f["part"] // FAN_IN)), schema)
+    return cells.groupBy("k").applyInPandas(lambda f: merged(f), schema)

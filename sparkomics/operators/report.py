@@ -9,10 +9,14 @@ from pyspark.sql import functions as F
 from . import evaluate, models
 
 TOP = 10
+#: Of a printed table; a longer one raises.
+MOST_ROWS = 1_000
 
 
 def _table(df: DataFrame, digits: int = 3) -> str:
-    rows = df.limit(1_000).collect()
+    rows = df.limit(MOST_ROWS + 1).collect()
+    if len(rows) > MOST_ROWS:
+        raise ValueError(f"a printed table holds at most {MOST_ROWS} rows; select or write the frame instead")
     cells = [df.columns, *[["" if v is None else f"{v:.{digits}f}" if isinstance(v, float) else str(v) for v in r] for r in rows]]
     wide = [max(len(r[k]) for r in cells) for k in range(len(df.columns))]
     return "\n".join("  ".join(v.rjust(w) for v, w in zip(r, wide, strict=True)) for r in cells)

@@ -35,6 +35,26 @@ def test_moments(data):
         assert np.allclose(by.within[k], np.cov(x[labels == name].T) * ((labels == name).sum() - 1))
 
 
+def test_states_meet_in_a_tree(data, monkeypatch):
+    """With a fan-in of 4 and 70 tasks no group above the last holds more, and the sums stay the same."""
+    x, _, df, m = data
+    monkeypatch.setattr(moments, "FAN_IN", 4)
+    spread = moments.gather(df.repartition(70), ["a", "b", "c"])[0]
+    assert spread.n == m.n and np.allclose(spread.mean, m.mean) and np.allclose(spread.total(), m.total())
+    cells = df.sparkSession.range(0, 70, 1, 70).selectExpr("0 as k", "id as state")
+
+    def most(frame):
+        n = frame["state"].max() if "seen" in frame else len(frame)
+        return frame.iloc[:1].assign(state=n)[["k", "part", "state"]]
+
+    assert moments.merge_tree(cells, most, "k int, part long, state long").first().state == 5  # 70 -> 18 -> 5
+
+
+def test_long_reports_raise(spark):
+    with pytest.raises(ValueError, match="at most"):
+        report._table(spark.range(report.MOST_ROWS + 1))
+
+
 def test_missing_values_are_an_error(spark):
     df = spark.createDataFrame([(1, "a", [1.0, None]), (2, "b", [1.0, 2.0])], SCHEMA)
     with pytest.raises(Exception, match="without nulls"):
