@@ -221,7 +221,7 @@ class TokenIds(WordTable):
     def __init__(self, path: str, end_id: int) -> None:
         from tokenizers import Tokenizer
 
-        super().__init__()
+        super().__init__(300_000)
         self.tokenizer, self.end = Tokenizer.from_file(path), array("I", [end_id]).tobytes()
         self.parts, self.fast = Parts(self.tokenizer.model), self.known(path)
         self.plain = re.compile(r"[!-;=-~À-ÖØ-öø-ÿ]+").fullmatch  # without <, which begins the special tokens
