@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import bounded, compare, correlation, evaluate, frame, models, multirank, neighbours, plotdata, rank, resample, summary, validate
 from ..operators.resample import Plan
 from .fixtures import EM, EM2, EMBEDDING_NAMES, EV, embeddings, event_vectors, events, events_wide, vectors
-from .tabular import rounded
+from .tabular import ORACLES as TABULAR_SQL, rounded
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -67,14 +67,10 @@ for _name, _part, _key in (("split_boot", "", "place"), ("split_boot_strat", ",
 
 @query(
     "split_loocv",
-    f"WITH {_S}, e AS (SELECT * FROM s WHERE cls = '0'), h AS (SELECT *, {_h('l', '0').replace('iter', '1')} AS h FROM e), n AS (SELECT sample_id, row_number() OVER (ORDER BY h, sample_id) - 1 AS place, count(*) OVER () AS size FROM h) SELECT CAST(1 AS BIGINT) AS iter, CAST(rep AS BIGINT) AS rep, sample_id, CAST(CASE WHEN place <> rep - 1 THEN 1 ELSE 0 END AS BIGINT) AS mult FROM n, range(1, 100000) AS r(rep) WHERE rep <= size",
+    f"WITH {_S}, h AS (SELECT *, {_h('l', '0').replace('iter', '1')} AS h FROM s), n AS (SELECT sample_id, row_number() OVER (ORDER BY h, sample_id) AS place FROM h) "
+    "SELECT CAST(1 AS BIGINT) AS iter, CAST(r.place AS BIGINT) AS rep, n.sample_id, CAST(CASE WHEN n.place <> r.place THEN 1 ELSE 0 END AS BIGINT) AS mult FROM n, n AS r",
 )
 def split_loocv(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(resample.splits(vectors(spark, sf, ["0"]), Plan("loocv")))
-
-
-@query("split_loocv_all")
-def split_loocv_all(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(resample.splits(vectors(spark, sf), Plan("loocv")))
 
 
@@ -138,24 +134,30 @@ def mfs_stats_cumshare(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(rank.feat_mfs_stats(rank.feat_mfs(events(spark, sf), ["fs.bw"]), cumulative=True))
 
 
-@query("feat_mfs_orders")
+_ORDERED = ["fs.welch", "fs.snr", "fs.auc"]
+
+
+@query(
+    "feat_mfs_orders",
+    "WITH " + ", ".join(f"r{i} AS ({TABULAR_SQL[m.replace('.', '_')]})" for i, m in enumerate(_ORDERED)) + " SELECT r0.fs_rank, " + ", ".join(f'r{i}.feature AS "{m}"' for i, m in enumerate(_ORDERED)) + " FROM r0 JOIN r1 ON r1.fs_rank = r0.fs_rank JOIN r2 ON r2.fs_rank = r0.fs_rank",
+)
 def feat_mfs_orders(spark: SparkSession, sf: str) -> DataFrame:
-    methods = ["fs.welch", "fs.snr", "fs.auc"]
-    return rank.order_table(rank.feat_mfs(embeddings(spark, sf, ["0", "1"]), methods), methods)
+    return rank.order_table(rank.feat_mfs(embeddings(spark, sf, ["0", "1"]), _ORDERED), _ORDERED)
 
 
 # neighbours
 
+# distances are taken inside one expression for each pair, so that equal vectors are at equal distances
+_PAIRS = "d AS (SELECT a.vec_id AS q, a.label AS own, b.vec_id AS id, b.label AS cls, list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS d FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id)"
 _KNN = (
-    f"{_cv(False, 1, 5)}, v AS (SELECT vec_id AS sample_id, CAST(label AS VARCHAR) AS cls, feature, value FROM (SELECT vec_id, label, unnest(range(1, 9)) AS feature, unnest(embedding[1:8])::DOUBLE AS value FROM embeddings)), "
-    "d AS (SELECT a.sample_id AS q, b.sample_id AS id, b.cls, sum((a.value - b.value) * (a.value - b.value)) AS d FROM v a JOIN v b USING (feature) GROUP BY ALL), m AS (SELECT iter, rep, q, id, d.cls, d FROM d JOIN splits x ON x.sample_id = q AND x.mult = 0 JOIN splits y USING (iter, rep) WHERE y.sample_id = id AND y.mult = 1), "
+    f"{_cv(False, 1, 5)}, {_PAIRS}, m AS (SELECT iter, rep, q, id, CAST(d.cls AS VARCHAR) AS cls, d FROM d JOIN splits x ON x.sample_id = q AND x.mult = 0 JOIN splits y USING (iter, rep) WHERE y.sample_id = id AND y.mult = 1), "
     "nn AS (SELECT *, rank() OVER (PARTITION BY iter, rep, q ORDER BY d) AS place FROM m), w AS (SELECT iter, rep, q, cls, count(*) AS votes FROM nn WHERE place <= 3 GROUP BY ALL), p AS (SELECT iter, rep, q AS sample_id, arg_min(cls, (-votes, cls)) AS pred FROM w GROUP BY ALL), pr AS (SELECT p.*, s.cls AS obs FROM p JOIN s USING (sample_id))"
 )
 _KPLAN = Plan("cv", 1, 5)
 
 
-def knn(spark: SparkSession, sf: str, features: int | None = 8) -> validate.Accest:
-    v = vectors(spark, sf, features=features)
+def knn(spark: SparkSession, sf: str) -> validate.Accest:
+    v = vectors(spark, sf)
     return validate.accest(v, "knn", _KPLAN, resample.splits(v, _KPLAN), k=3)
 
 
@@ -169,32 +171,14 @@ def knn_cv_accest(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(knn(spark, sf).iters.select("iter", "acc", "err"))
 
 
-# The same over all 64 dimensions, which are too slow in SQL: tests compare them with brute force.
-
-
-@query("knn_cv_preds_all")
-def knn_cv_preds_all(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(knn(spark, sf, None).preds.select("rep", "sample_id", "obs", "pred"))
-
-
-@query("knn_cv_accest_all")
-def knn_cv_accest_all(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(knn(spark, sf, None).iters.select("iter", "acc", "err"))
-
-
 @query(
     "fs_relief",
-    "WITH v AS (SELECT vec_id AS id, label AS cls, unnest(range(0, 8)) AS j, unnest(embedding[1:8])::DOUBLE AS x FROM embeddings), d AS (SELECT a.id AS q, a.cls AS own, b.id, b.cls, sum((a.x - b.x) * (a.x - b.x)) AS d FROM v a JOIN v b USING (j) WHERE a.id <> b.id GROUP BY ALL), "
+    f"WITH {_PAIRS}, v AS (SELECT vec_id AS id, unnest(range(0, 64)) AS j, unnest(embedding)::DOUBLE AS x FROM embeddings), "
     "n AS (SELECT *, row_number() OVER (PARTITION BY q, cls ORDER BY d, id) AS place FROM d), k AS (SELECT *, count(*) OVER (PARTITION BY q, cls) AS kk FROM n WHERE place <= 10), c AS (SELECT label AS cls, count(*) / (SELECT count(*) FROM embeddings)::DOUBLE AS prior FROM embeddings GROUP BY label), "
     "w AS (SELECT q, id, CASE WHEN own = k.cls THEN -1.0 ELSE o.prior / (1 - m.prior) END / kk / (SELECT count(*) FROM embeddings) AS w FROM k JOIN c o ON o.cls = k.cls JOIN c m ON m.cls = own), r AS (SELECT j, max(x) - min(x) AS r FROM v GROUP BY j), "
     "t AS (SELECT a.j, sum(w * abs(a.x - b.x)) AS s FROM w JOIN v a ON a.id = q JOIN v b ON b.id = w.id AND b.j = a.j GROUP BY a.j) SELECT 'f' || lpad(CAST(j AS VARCHAR), 2, '0') AS feature, round(s / r, 6) AS stat, row_number() OVER (ORDER BY s / r DESC, j) AS fs_rank FROM t JOIN r USING (j)",
 )
 def fs_relief(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(neighbours.fs_relief(vectors(spark, sf, features=8), EMBEDDING_NAMES[:8]).select("feature", "stat", "fs_rank"))
-
-
-@query("fs_relief_all")
-def fs_relief_all(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(neighbours.fs_relief(vectors(spark, sf), EMBEDDING_NAMES).select("feature", "stat", "fs_rank"))
 
 
@@ -245,13 +229,13 @@ def cor_hcl(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("cor_heat")
 def cor_heat(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(correlation.cor_heat(embeddings(spark, sf).where("feature_idx < 16"))[0])
+    return rounded(correlation.cor_heat(embeddings(spark, sf))[0])
 
 
 @query("cor_heat_gram")
 def cor_heat_gram(spark: SparkSession, sf: str) -> DataFrame:
-    long = embeddings(spark, sf).where("feature_idx < 16")
-    return rounded(correlation.cor_heat_gram(long.where("feature_idx < 8"), long.where("feature_idx >= 8").withColumn("feature_idx", F.col("feature_idx") - 8)))
+    long = embeddings(spark, sf)
+    return rounded(correlation.cor_heat_gram(long.where("feature_idx < 32"), long.where("feature_idx >= 32").withColumn("feature_idx", F.col("feature_idx") - 32)))
 
 
 # models
@@ -490,12 +474,12 @@ for _metric in ("euclidean", "manhattan"):
 
 
 for _kind, _opt in (("pca", {}), ("lda", {"ncomp": 20}), ("pls", {})):
-    query(f"{_kind}_panels")(lambda spark, sf, k=_kind, o=_opt: rounded(plotdata.wrap({"first": vectors(spark, sf, ["0", "1", "2"]), "second": vectors(spark, sf, ["3", "4", "5"])}, k, **o)[0]))
+    query(f"{_kind}_panels")(lambda spark, sf, k=_kind, o=_opt: rounded(plotdata.wrap({"even": vectors(spark, sf, list("02468")), "odd": vectors(spark, sf, list("13579"))}, k, **o)[0]))
 
 
 @query("corrgram_ellipse")
 def corrgram_ellipse(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(plotdata.corrgram(correlation.correlations(embeddings(spark, sf).where("feature_idx < 4")).select("feature_1", "feature_2", "cor")))
+    return rounded(plotdata.corrgram(correlation.correlations(embeddings(spark, sf)).select("feature_1", "feature_2", "cor")))
 
 
 @query("class_means_by_moments", f"WITH {EM} SELECT cls, count(DISTINCT sample_id) AS n, round(avg(value) FILTER (feature = 'f00'), 6) AS f00 FROM em GROUP BY cls")

@@ -407,12 +407,20 @@ def cl_roc(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(evaluate.roc(scores(spark, sf)))
 
 
-@query("margin", "WITH s AS (SELECT event_id AS sample_id, event_type AS obs, 1 + value AS a, 1 + user_id % 7 AS b, 1 + event_id % 11 AS c FROM events WHERE event_type IN ('click', 'error', 'view')), n AS (SELECT *, a + b + c AS t FROM s) SELECT sample_id, round((CASE obs WHEN 'click' THEN a WHEN 'error' THEN b ELSE c END - CASE obs WHEN 'click' THEN greatest(b, c) WHEN 'error' THEN greatest(a, c) ELSE greatest(a, b) END) / t, 6) AS margin FROM n")
+_TYPES = ["click", "error", "purchase", "signup", "view"]
+_POST = {"click": "1 + value", "error": "1 + user_id % 7", "purchase": "1 + event_id % 11", "signup": "1 + event_id % 13", "view": "1 + user_id % 5"}
+
+
+@query(
+    "margin",
+    "WITH s AS (SELECT event_id AS sample_id, list_position(" + str(_TYPES) + ", event_type) AS own, [" + ", ".join(f"({_POST[t]})::DOUBLE" for t in _TYPES) + "] AS p FROM events), "
+    "n AS (SELECT sample_id, p[own] AS mine, list_max(list_filter(list_transform(range(1, 6), lambda i: CASE WHEN i = own THEN NULL ELSE p[i] END), lambda x: x IS NOT NULL)) AS other, list_sum(p) AS t FROM s) SELECT sample_id, round((mine - other) / t, 6) AS margin FROM n",
+)
 def margin(spark: SparkSession, sf: str) -> DataFrame:
-    e = events_wide(spark, sf).where(F.col("event_type").isin("click", "error", "view"))
-    post = F.array(1 + F.col("value"), 1 + F.col("user") % 7, (1 + F.col("event_id") % 11).cast("double"))
+    e = events_wide(spark, sf)
+    post = F.array(*[F.expr(_POST[t].replace("user_id", "user")).cast("double") for t in _TYPES])
     preds = e.select(F.col("event_id").alias("sample_id"), F.col("event_type").alias("obs"), F.lit("click").alias("pred"), post.alias("posterior"))
-    return rounded(evaluate.margin(preds, ["click", "error", "view"]).select("sample_id", "margin"))
+    return rounded(evaluate.margin(preds, _TYPES).select("sample_id", "margin"))
 
 
 @query(

@@ -21,7 +21,7 @@ def world(spark, tmp_path_factory):
 
 
 def test_leave_one_out_of_all_rows(spark, world):
-    out = [r for r in catalogue.QUERIES["split_loocv_all"](spark, world[2]).where("mult = 0").collect()]
+    out = [r for r in catalogue.QUERIES["split_loocv"](spark, world[2]).where("mult = 0").collect()]
     assert sorted(r.sample_id for r in out) == list(range(72)) and len({r.rep for r in out}) == 72
 
 
@@ -29,14 +29,14 @@ def test_neighbours_in_all_dimensions(spark, world):
     x, y, path = world
     d = ((x[:, None] - x[None]) ** 2).sum(axis=2)
     held = {(r.rep, r.sample_id) for r in resample.splits(fixtures.vectors(spark, path), modelling._KPLAN).where("mult = 0").collect()}
-    got = {(r.rep, r.sample_id): r.pred for r in catalogue.QUERIES["knn_cv_preds_all"](spark, path).collect()}
+    got = {(r.rep, r.sample_id): r.pred for r in catalogue.QUERIES["knn_cv_preds"](spark, path).collect()}
     assert set(got) == held and len(held) == 72
     for rep, i in held:
         rest = [j for j in np.argsort(d[i]) if (rep, j) not in held][:3]
         votes = [(-sum(y[j] == c for j in rest), c) for c in sorted(set(y))]
         assert got[rep, i] == min(votes)[1]
     folds = [np.mean([got[k] == y[k[1]] for k in held if k[0] == rep]) for rep in sorted({k[0] for k in held})]
-    assert abs(catalogue.QUERIES["knn_cv_accest_all"](spark, path).first().acc - np.mean(folds)) < 1e-6
+    assert abs(catalogue.QUERIES["knn_cv_accest"](spark, path).first().acc - np.mean(folds)) < 1e-6
 
 
 def test_relief_of_all_features(spark, world):
@@ -50,7 +50,7 @@ def test_relief_of_all_features(spark, world):
             near = same[np.argsort(d[i][same])][:10]
             share = np.mean(y == c) / (1 - np.mean(y == y[i]))
             want += (-1 if c == y[i] else share) * np.abs(x[near] - x[i]).mean(axis=0) / span / 72
-    got = {r.feature: r.stat for r in catalogue.QUERIES["fs_relief_all"](spark, path).collect()}
+    got = {r.feature: r.stat for r in catalogue.QUERIES["fs_relief"](spark, path).collect()}
     assert np.allclose([got[f"f{j:02d}"] for j in range(64)], want, atol=2e-6)
 
 
