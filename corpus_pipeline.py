@@ -31,7 +31,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    pieces = packing.pack_documents(docs, packing.tokenizer_file())
+    # a smaller word table than alone: by now the executors' heaps have grown to what the earlier stages took
+    pieces = packing.pack_documents(docs, packing.tokenizer_file(), words=packing.MOST_WORDS // 3)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 

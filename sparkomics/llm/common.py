@@ -165,8 +165,7 @@ def settle() -> None:
 def claim(*tables: dict) -> None:
     """Empties the tables that another operator has left in this Python worker, which Spark uses again."""
     if _claimed and _claimed[0] is not tables[0]:
-        for t in _claimed:
-            t.clear()
+        settle()
     _claimed[:] = tables
 
 
@@ -193,6 +192,7 @@ class WordTable(dict):
             if len(word) > self.longest:
                 return value
         if len(self) >= self.most:
+            self.old = {}  # goes before the copy is made
             self.old = dict(self)
             super().clear()
         self[word] = value

@@ -218,10 +218,10 @@ class TokenIds(WordTable):
     NORMALISER = ["NFC", "Replace \\s+ by ' '", "Lowercase"]
     SPLITTER = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
-    def __init__(self, path: str, end_id: int) -> None:
+    def __init__(self, path: str, end_id: int, words: int) -> None:
         from tokenizers import Tokenizer
 
-        super().__init__(300_000)
+        super().__init__(words)
         self.tokenizer, self.end = Tokenizer.from_file(path), array("I", [end_id]).tobytes()
         self.parts, self.fast = Parts(self.tokenizer.model), self.known(path)
         self.plain = re.compile(r"[!-;=-~À-ÖØ-öø-ÿ]+").fullmatch  # without <, which begins the special tokens
@@ -254,17 +254,20 @@ class TokenIds(WordTable):
         return np.frombuffer(found + self.end, dtype="<u4")
 
 
+#: Words of one generation of a worker's table; fewer cost time and save memory, results are the same.
+MOST_WORDS = 300_000
 _encoders: dict[tuple, TokenIds] = {}
 
 
-def encoder(path: str, end_id: int) -> TokenIds:
+def encoder(path: str, end_id: int, words: int = MOST_WORDS) -> TokenIds:
     """One for each Python worker, so that its table serves all tasks."""
-    if (path, end_id) not in _encoders:
-        _encoders[path, end_id] = TokenIds(path, end_id)
-    return _encoders[path, end_id]
+    key = path, end_id, words
+    if key not in _encoders:
+        _encoders[key] = TokenIds(path, end_id, words)
+    return _encoders[key]
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, limits: Limits = Limits()) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, limits: Limits = Limits(), words: int = MOST_WORDS) -> DataFrame:
     """Tokenise whole texts and pack every id into exactly one piece.
 
     Returns per piece ``doc_id, start, length, ids (binary: unsigned little-endian 32-bit), doc_tokens, loss_tokens, sequence_id, offset``.  All
@@ -273,7 +276,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
     """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer_path, end_id)
+        encode = encoder(tokenizer_path, end_id, words)
         claim(_encoders, encode, encode.parts)  # another operator frees the tokenizer too
         packer = VectorPacker(limits, True, TaskContext.get().partitionId() << 33)
         waiting: dict[int, list] = {}
