@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 MOST_SVM = 4_000
 MOST_FOREST = 20_000
 TREES = 500
+#: Of the rows that a user's own classifier or ranker gets in one task.
+MOST_OWN = 50_000
 
 
 def sample(vectors: DataFrame, most: int) -> pd.DataFrame:
@@ -25,6 +27,14 @@ def sample(vectors: DataFrame, most: int) -> pd.DataFrame:
     return vectors.orderBy(F.xxhash64("sample_id"), "sample_id").limit(most).toPandas()
 
 
+def every_row(vectors: DataFrame, most: int) -> pd.DataFrame:
+    """All rows, for functions that a user brings: more than ``most`` raise, as no sample would be theirs."""
+    frame = vectors.orderBy("sample_id").limit(most + 1).toPandas()
+    if len(frame) > most:
+        raise ValueError(f"a user's function takes at most {most} rows: raise most_rows, or sample the rows yourself")
+    return frame
+
+
 def smo(kernel: np.ndarray, y: np.ndarray, cost: float = 1.0, tol: float = 1e-3, most: int = 200_000) -> tuple[np.ndarray, float]:
     """Dual weights and offset of a two-class machine (y: +-1), by sequential minimal optimisation with second-order
     choice of the working pair (Fan, Chen & Lin 2005)."""
@@ -245,6 +255,25 @@ def fit_forest(x: np.ndarray, y: np.ndarray, trees: int = TREES, seed: int = 1)
     return Forest(list(labels), [_tree(x, code, len(labels), [seed, t])[0] for t in range(trees)])
 
 
+def _falls(x: np.ndarray, code: np.ndarray, g: int, seed: int, t: int) -> np.ndarray:
+    """Fall in the accuracy of tree ``t`` on its out-of-bag rows under permutation of each feature."""
+    tree, out, rng = _tree(x, code, g, [seed, t])
+    fall = np.zeros(x.shape[1])
+    if len(out):
+        held = x[out]
+        right = (tree.predict(held) == code[out]).mean()
+        for f in set(tree.feature[tree.feature >= 0].tolist()):
+            moved = held.copy()
+            moved[:, f] = moved[rng.permutation(len(out)), f]
+            fall[f] = right - (tree.predict(moved) == code[out]).mean()
+    return fall
+
+
+def _over_error(mean: np.ndarray, spread: np.ndarray, trees: int) -> np.ndarray:
+    error = spread / np.sqrt(trees)
+    return np.divide(mean, error, out=np.zeros(len(mean)), where=error > 0)
+
+
 def importance(spark: SparkSession, x: np.ndarray, y: np.ndarray, trees: int = TREES, seed: int = 1, scaled: bool = False) -> np.ndarray:
     """Mean decrease in out-of-bag accuracy when a feature is permuted; trees are dealt over the cluster, the bounded
     sample travels in the closure."""
@@ -254,23 +283,20 @@ def importance(spark: SparkSession, x: np.ndarray, y: np.ndarray, trees: int = T
     def work(frames):
         for frame in frames:
             for t in frame["id"]:
-                tree, out, rng = _tree(x, code, g, [seed, int(t)])
-                fall = np.zeros(p)
-                if len(out):
-                    held = x[out]
-                    right = (tree.predict(held) == code[out]).mean()
-                    for f in set(tree.feature[tree.feature >= 0].tolist()):
-                        moved = held.copy()
-                        moved[:, f] = moved[rng.permutation(len(out)), f]
-                        fall[f] = right - (tree.predict(moved) == code[out]).mean()
-                yield pd.DataFrame({"j": np.arange(p), "v": fall})
+                yield pd.DataFrame({"j": np.arange(p), "v": _falls(x, code, g, seed, int(t))})
 
     deal = spark.range(0, trees, 1, min(trees, 64)).mapInPandas(work, "j long, v double")
     found = deal.groupBy("j").agg(F.avg("v").alias("m"), F.stddev_samp("v").alias("s")).orderBy("j").toPandas()  # one row per feature
-    if scaled:
-        error = found["s"].to_numpy() / np.sqrt(trees)
-        return np.divide(found["m"].to_numpy(), error, out=np.zeros(p), where=error > 0)
-    return found["m"].to_numpy()
+    m = found["m"].to_numpy()
+    return _over_error(m, found["s"].to_numpy(), trees) if scaled else m
+
+
+def importance_here(x: np.ndarray, y: np.ndarray, trees: int = TREES, seed: int = 1, scaled: bool = False) -> np.ndarray:
+    """The same inside one task."""
+    labels = sorted(set(y))
+    code = np.searchsorted(labels, y)
+    falls = np.array([_falls(x, code, len(labels), seed, t) for t in range(trees)])
+    return _over_error(falls.mean(axis=0), falls.std(axis=0, ddof=1), trees) if scaled else falls.mean(axis=0)
 
 
 BOUNDED: dict[str, tuple[int, Callable]] = {"svm": (MOST_SVM, SVM.fit), "randomForest": (MOST_FOREST, fit_forest)}

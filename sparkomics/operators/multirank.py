@@ -5,14 +5,20 @@ PCA and PLS rankings are algebra on one gathered cross-product; support vectors
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .bounded import MOST_FOREST, MOST_SVM, SVM, TREES, importance, sample
-from .frame import levels
+from .bounded import MOST_FOREST, MOST_OWN, MOST_SVM, SVM, TREES, every_row, importance, importance_here, sample
+from .frame import EPS, levels
 from .models import PCA, PLS, cap_components
-from .moments import gather
-from .rank import feature_ladder
+from .moments import Moments, gather
+from .neighbours import fs_relief
+from .rank import feature_ladder, ranked
+from .resample import memberships
 
 
 def table(vectors: DataFrame, names: list[str], stat: np.ndarray) -> DataFrame:
@@ -30,37 +36,55 @@ def spread(rows: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(np.einsum("ij,jk,ik->i", d, s, d), 0))
 
 
-def fs_pca(vectors: DataFrame, names: list[str], threshold: float = 0.8) -> DataFrame:
+def pca_stat(m: Moments, threshold: float = 0.8) -> np.ndarray:
     """On the loadings of the components up to that share of variance, two at least; classes aren't used."""
-    labelled = vectors.na.fill("", ["cls"])
-    pca = PCA.fit(gather(labelled, levels(labelled))[0])
+    pca = PCA.fit(m)
     share = np.cumsum(pca.sdev**2) / max((pca.sdev**2).sum(), 1e-300)
-    k = max(2, int(np.searchsorted(share, threshold - 1e-12) + 1))
-    return table(vectors, names, spread(pca.rotation[:, :k]))
+    return spread(pca.rotation[:, : max(2, int(np.searchsorted(share, threshold - 1e-12) + 1))])
 
 
-def fs_pls(vectors: DataFrame, names: list[str], ncomp: int = 10, pls: str = "simpls") -> DataFrame:
+def pls_stat(m: Moments, ncomp: int = 10, pls: str = "simpls") -> np.ndarray:
     """On the PLS coefficients of the class indicators."""
-    return table(vectors, names, spread(PLS.of_classes(gather(vectors, levels(vectors))[0], ncomp, pls).coefficients()))
+    return spread(PLS.of_classes(m, ncomp, pls).coefficients())
 
 
-def fs_plsvip(vectors: DataFrame, names: list[str], ncomp: int = 10) -> DataFrame:
+def vip_stat(m: Moments, ncomp: int = 10) -> np.ndarray:
     """On the importance in projection for each class."""
-    return table(vectors, names, spread(PLS.of_classes(gather(vectors, levels(vectors))[0], ncomp, "oscorespls").vip()))
+    return spread(PLS.of_classes(m, ncomp, "oscorespls").vip())
 
 
-def fs_plsvip_1(vectors: DataFrame, names: list[str], ncomp: int = 10) -> DataFrame:
-    """By the mean absolute importance over the classes."""
-    return table(vectors, names, np.abs(PLS.of_classes(gather(vectors, levels(vectors))[0], ncomp, "oscorespls").vip()).mean(axis=1))
+def vip_mean(m: Moments, ncomp: int = 10) -> np.ndarray:
+    """The mean absolute importance over the classes."""
+    return np.abs(PLS.of_classes(m, ncomp, "oscorespls").vip()).mean(axis=1)
 
 
-def fs_plsvip_2(vectors: DataFrame, names: list[str], ncomp: int = 10) -> DataFrame:
-    """By the importance for one response, the class number."""
-    m = gather(vectors, levels(vectors))[0]
+def vip_number(m: Moments, ncomp: int = 10) -> np.ndarray:
+    """The importance for one response, the class number."""
     code = np.arange(1, len(m.labels) + 1, dtype=float)
     ymean = m.counts @ code / m.n
     xy = ((m.means - m.mean).T * m.counts) @ (code - ymean)
-    return table(vectors, names, PLS.fit(m.total(), xy[:, None], m.mean, np.array([ymean]), cap_components(m, ncomp), "oscorespls").vip()[:, 0])
+    return PLS.fit(m.total(), xy[:, None], m.mean, np.array([ymean]), cap_components(m, ncomp), "oscorespls").vip()[:, 0]
+
+
+def fs_pca(vectors: DataFrame, names: list[str], threshold: float = 0.8) -> DataFrame:
+    labelled = vectors.na.fill("", ["cls"])
+    return table(vectors, names, pca_stat(gather(labelled, levels(labelled))[0], threshold))
+
+
+def fs_pls(vectors: DataFrame, names: list[str], ncomp: int = 10, pls: str = "simpls") -> DataFrame:
+    return table(vectors, names, pls_stat(gather(vectors, levels(vectors))[0], ncomp, pls))
+
+
+def fs_plsvip(vectors: DataFrame, names: list[str], ncomp: int = 10) -> DataFrame:
+    return table(vectors, names, vip_stat(gather(vectors, levels(vectors))[0], ncomp))
+
+
+def fs_plsvip_1(vectors: DataFrame, names: list[str], ncomp: int = 10) -> DataFrame:
+    return table(vectors, names, vip_mean(gather(vectors, levels(vectors))[0], ncomp))
+
+
+def fs_plsvip_2(vectors: DataFrame, names: list[str], ncomp: int = 10) -> DataFrame:
+    return table(vectors, names, vip_number(gather(vectors, levels(vectors))[0], ncomp))
 
 
 def _eliminate(p: int, lens, score) -> np.ndarray:
@@ -75,24 +99,100 @@ def _eliminate(p: int, lens, score) -> np.ndarray:
     return place
 
 
+def rfe_stat(x: np.ndarray, y: np.ndarray, lens="power2", cost: float = 1.0) -> np.ndarray:
+    """Places from the last, by the weights of linear support vector machines, summed over pairs of classes."""
+    return x.shape[1] - _eliminate(x.shape[1], lens, lambda kept: SVM.fit(x[:, kept], y, "linear", cost).weights())
+
+
+def rf_stat(x: np.ndarray, y: np.ndarray, trees: int = TREES) -> np.ndarray:
+    return np.maximum(importance_here(x, y, trees), 0)
+
+
+def rf_places(x: np.ndarray, y: np.ndarray, lens="power2", trees: int = TREES) -> np.ndarray:
+    return x.shape[1] - _eliminate(x.shape[1], lens, lambda kept: importance_here(x[:, kept], y, trees, scaled=True))
+
+
+def _rows(vectors: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
+    frame = sample(vectors.select("sample_id", "cls", "features"), most)
+    return np.stack(frame["features"].to_numpy()), frame["cls"].to_numpy()
+
+
 def fs_rfe(vectors: DataFrame, names: list[str], lens="power2", cost: float = 1.0) -> DataFrame:
-    """Recursive elimination by the weights of linear support vector machines, summed over pairs of classes."""
-    frame = sample(vectors.select("sample_id", "cls", "features"), MOST_SVM)
-    x, y = np.stack(frame["features"].to_numpy()), frame["cls"].to_numpy()
-    place = _eliminate(x.shape[1], lens, lambda kept: SVM.fit(x[:, kept], y, "linear", cost).weights())
-    return table(vectors, names, len(names) - place)
+    """Recursive elimination by the weights of linear support vector machines."""
+    return table(vectors, names, rfe_stat(*_rows(vectors, MOST_SVM), lens, cost))
 
 
 def fs_rf(vectors: DataFrame, names: list[str], trees: int = TREES) -> DataFrame:
     """By the fall in out-of-bag accuracy under permutation, negatives as zero."""
-    frame = sample(vectors.select("sample_id", "cls", "features"), MOST_FOREST)
-    x, y = np.stack(frame["features"].to_numpy()), frame["cls"].to_numpy()
+    x, y = _rows(vectors, MOST_FOREST)
     return table(vectors, names, np.maximum(importance(vectors.sparkSession, x, y, trees), 0))
 
 
 def fs_rf_1(vectors: DataFrame, names: list[str], lens="power2", trees: int = TREES) -> DataFrame:
     """Elimination down the ladder by that fall over its standard error."""
-    frame = sample(vectors.select("sample_id", "cls", "features"), MOST_FOREST)
-    x, y = np.stack(frame["features"].to_numpy()), frame["cls"].to_numpy()
+    x, y = _rows(vectors, MOST_FOREST)
     place = _eliminate(x.shape[1], lens, lambda kept: importance(vectors.sparkSession, x[:, kept], y, trees, scaled=True))
     return table(vectors, names, len(names) - place)
+
+
+#: Rankers by one gathered state, and by rows of a bounded sample.
+BY_STATE = {"fs.pca": pca_stat, "fs.pls": pls_stat, "fs.plsvip": vip_stat, "fs.plsvip.1": vip_mean, "fs.plsvip.2": vip_number}
+BY_ROWS = {"fs.rfe": (MOST_SVM, rfe_stat), "fs.rf": (MOST_FOREST, rf_stat), "fs.rf.1": (MOST_FOREST, rf_places)}
+
+
+def rank_resampled(vectors: DataFrame, names: list[str], splits: DataFrame, method: str | Callable, most_rows: int = MOST_OWN, **options) -> DataFrame:
+    """``iter, rep, feature, feature_idx, stat, fs_rank``: a multivariate ranker on the training rows of every resample.
+
+    PCA and PLS rankings of all resamples come from one pass.  Machines, forests and a user's function ``method(x, y,
+    **options)`` (one statistic for each column, higher is better) get one task a resample; the first two on their
+    bounded samples, the last on all rows (more than ``most_rows`` raise).  Drawn rows count as often as they were drawn.
+    A feature without variation among the training rows has no statistic and is ranked last.  ReliefF ranks each
+    resample in tiles.
+    """
+    places, resamples = memberships(splits)
+    rows = vectors.select("sample_id", "cls", "features").join(places, "sample_id").select("sample_id", "cls", "features", "mults")
+    if method == "fs.relief":
+        return _relief_resampled(rows, names, resamples, **options)
+    if isinstance(method, str) and method in BY_STATE:
+        stats = []
+        for m in gather(rows, levels(vectors), len(resamples)):
+            keep, stat = varying(m), np.full(len(names), np.nan)
+            stat[keep] = BY_STATE[method](m.select(keep), **options)
+            stats.append(stat)
+    elif callable(method) or method in BY_ROWS:
+        frame = every_row(rows, most_rows) if callable(method) else sample(rows, BY_ROWS[method][0])
+        stats = _each_resample(rows.sparkSession, frame, len(resamples), len(names), method if callable(method) else BY_ROWS[method][1], options)
+    else:
+        raise ValueError(f"unknown ranker: {method}")
+    cells = [(i, r, n, j, None if v != v else float(v)) for (i, r), stat in zip(resamples, stats, strict=True) for j, (n, v) in enumerate(zip(names, stat, strict=True))]
+    return ranked(rows.sparkSession.createDataFrame(cells, "iter int, rep int, feature string, feature_idx int, stat double"), ["iter", "rep"])
+
+
+def varying(m: Moments) -> np.ndarray:
+    """The features that vary among the rows of a state."""
+    return np.flatnonzero(np.sqrt(np.maximum(np.diag(m.total()), 0) / max(m.n - 1, 1)) > EPS)
+
+
+def _each_resample(spark: SparkSession, frame: pd.DataFrame, n: int, p: int, score: Callable, options: dict) -> list[np.ndarray]:
+    x, y, mults = np.stack(frame["features"].to_numpy()), frame["cls"].to_numpy(), np.stack(frame["mults"].to_numpy())
+
+    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for s in f["id"]:
+                rows = np.repeat(np.arange(len(y)), mults[:, s])
+                keep, stat = np.flatnonzero(x[rows].std(axis=0) > EPS), np.full(p, np.nan)
+                stat[keep] = score(x[rows][:, keep], y[rows], **options)
+                yield pd.DataFrame({"s": [s], "stat": [stat]})
+
+    found = spark.range(0, n, 1, n).mapInPandas(work, "s long, stat array<double>").collect()  # one row per resample
+    return [np.array(r[1], dtype=float) for r in sorted(found, key=lambda r: r[0])]
+
+
+def _relief_resampled(rows: DataFrame, names: list[str], resamples: list[tuple[int, int]], **options) -> DataFrame:
+    out = None
+    for s, (i, r) in enumerate(resamples):
+        copies = F.explode(F.sequence(F.lit(1), F.get("mults", F.lit(s))))
+        train = rows.where(F.get("mults", F.lit(s)) > 0).withColumn("copy", copies).select(F.concat_ws("#", "sample_id", "copy").alias("sample_id"), "cls", "features")
+        part = fs_relief(train, names, **options).select(F.lit(i).alias("iter"), F.lit(r).alias("rep"), "feature", "feature_idx", "stat", "fs_rank")
+        out = part if out is None else out.unionByName(part)
+    return out

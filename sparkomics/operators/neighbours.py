@@ -25,9 +25,11 @@ def _tiles(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     return vectors.withColumn("qt", own).withColumn("bt", every), again.withColumn("bt", own).withColumn("qt", every)
 
 
-def _distances(q: pd.DataFrame, b: pd.DataFrame) -> np.ndarray:
+def _distances(q: pd.DataFrame, b: pd.DataFrame, features: np.ndarray | None = None) -> np.ndarray:
     """Squared, by sums of squared differences (no cancellation), a slice of queries at a time."""
     x, y = np.stack(q["features"].to_numpy()), np.stack(b["features"].to_numpy())
+    if features is not None:
+        x, y = np.ascontiguousarray(x[:, features]), np.ascontiguousarray(y[:, features])
     out = np.empty((len(x), len(y)))
     step = max(1, 4_000_000 // max(1, y.size))
     for a in range(0, len(x), step):
@@ -36,9 +38,11 @@ def _distances(q: pd.DataFrame, b: pd.DataFrame) -> np.ndarray:
     return out
 
 
-def knn_predict(vectors: DataFrame, resamples: int, k: int = 1) -> DataFrame:
+def knn_predict(vectors: DataFrame, resamples: int, k: int = 1, subsets: list[tuple[int, np.ndarray]] | None = None) -> DataFrame:
     """``sample_id, obs, split, pred, votes`` of the test rows (mults 0) of each resample by its training rows.
 
+    ``subsets`` has a resample and the features to measure by for each split; without it the splits are the resamples.
+
     All rows at the k-th distance vote, a training row as often as it was drawn; the lowest label wins a tied vote.
     """
     kind = dict(vectors.dtypes)["sample_id"]
@@ -49,13 +53,16 @@ def knn_predict(vectors: DataFrame, resamples: int, k: int = 1) -> DataFrame:
         names = ["sample_id", "obs", "split", "d", "cls", "n"]
         if not len(q) or not len(b):
             return pd.DataFrame({n: [] for n in names})
-        d, out = _distances(q, b), []
+        out = []
         qm, bm = np.stack(q["mults"].to_numpy()), np.stack(b["mults"].to_numpy())
         label, ids, obs = b["cls"].to_numpy(), q["sample_id"].to_numpy(), q["cls"].to_numpy()
-        order = np.argsort(d, axis=1, kind="stable")
-        for s in range(resamples):
-            for i in np.flatnonzero(qm[:, s] == 0):
-                weight = bm[order[i], s]
+        d = order = None
+        for s, (r, features) in enumerate(subsets or [(r, None) for r in range(resamples)]):
+            if d is None or features is not None:
+                d = _distances(q, b, features)
+                order = np.argsort(d, axis=1, kind="stable")
+            for i in np.flatnonzero(qm[:, r] == 0):
+                weight = bm[order[i], r]
                 reach = int(np.searchsorted(np.cumsum(weight), k))
                 last = d[i, order[i, min(reach, len(weight) - 1)]]
                 votes: dict[tuple[float, str], int] = {}

@@ -19,14 +19,18 @@ def mv_zene(long: DataFrame) -> DataFrame:
     return long.withColumn("value", F.when(F.col("value") >= EPS, F.col("value")))
 
 
-def mv_fill(long: DataFrame, method: str | Callable[[Column], Column] = "mean", ze_ne: bool = False) -> DataFrame:
-    """Missing values get their feature's mean, median, min or max, or what ``method`` (an aggregate of a column) gives.
+def mv_fill(long: DataFrame, method: str | Callable[[Column], Column] | dict[str, float] = "mean", ze_ne: bool = False) -> DataFrame:
+    """Missing values get their feature's mean, median, min or max, or what ``method`` (an aggregate of a
+    column, or a table of values by feature) gives.
 
     ``ze_ne`` first makes zeros and negatives missing; not for data that may be negative.  A feature without any value
     stays missing.
     """
     known = {"mean": F.avg, "median": F.median, "min": F.min, "max": F.max}
     rows = mv_zene(long) if ze_ne else long
+    if isinstance(method, dict):
+        fill = long.sparkSession.createDataFrame([(f, float(v)) for f, v in method.items()], "feature string, fill double")
+        return attach(rows, fill, ["feature"], "left").withColumn("value", F.coalesce("value", "fill")).select(*LONG)
     fill = rows.groupBy("feature").agg((known[method] if isinstance(method, str) else method)(F.col("value")).alias("fill"))
     return attach(rows, fill, ["feature"]).withColumn("value", F.coalesce("value", "fill")).select(*LONG)
 

@@ -7,13 +7,14 @@ keys in ``by``.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import summary
 from .evaluate import feature_auc
-from .frame import attach
+from .frame import attach, to_vectors
 from .summary import FEATURE, moments, two_classes
 
 
@@ -89,15 +90,35 @@ def feature_ladder(p: int, lens: str | list[float] = "power2") -> list[int]:
     return sorted({int(x) for x in lens if 1 <= int(x) <= p} | {p})
 
 
-def rank_resampled(long: DataFrame, splits: DataFrame, method: str) -> DataFrame:
+def rank_resampled(long: DataFrame, splits: DataFrame, method: str | Callable, **options) -> DataFrame:
     """The ranking of every resample's training rows: keys ``method, iter, rep``.
 
-    Bootstrap rows count as often as they were drawn.  All resamples are one aggregation with more keys.
+    ``method`` is the name of any ranker or a function ``(x, y) -> statistics`` (see ``multirank.rank_resampled``).
+    Bootstrap rows count as often as they were drawn.  All resamples of a univariate ranker are one aggregation with
+    more keys.
     """
-    rows = long.join(splits.where("mult > 0").select("sample_id", "iter", "rep", "mult"), "sample_id")
-    rows = rows.withColumn("mult", F.explode(F.sequence(F.lit(1), F.col("mult")))).drop("mult")
-    found = RANKERS[method](rows, ["iter", "rep"])
-    return found.select(F.lit(method).alias("method"), "iter", "rep", *FEATURE, "stat", "fs_rank")
+    if isinstance(method, str) and method in RANKERS:
+        rows = long.join(splits.where("mult > 0").select("sample_id", "iter", "rep", "mult"), "sample_id")
+        rows = rows.withColumn("mult", F.explode(F.sequence(F.lit(1), F.col("mult")))).drop("mult")
+        found = RANKERS[method](rows, ["iter", "rep"])
+    else:
+        from . import multirank
+
+        found = multirank.rank_resampled(to_vectors(long), feature_names(long), splits, method, **options)
+    return found.select(F.lit(name_of(method)).alias("method"), "iter", "rep", *FEATURE, "stat", "fs_rank")
+
+
+def name_of(method: str | Callable) -> str:
+    """Of a method or a user's function or object, as a key of result tables."""
+    return method if isinstance(method, str) else getattr(method, "name", None) or getattr(method, "__name__", type(method).__name__)
+
+
+def feature_names(long: DataFrame) -> list[str]:
+    """In feature order; there are few features."""
+    found = long.groupBy("feature_idx").agg(F.min("feature").alias("feature")).orderBy("feature_idx").collect()
+    if [r[0] for r in found] != list(range(len(found))):
+        raise ValueError("features must be numbered from 0 without gaps")
+    return [r[1] for r in found]
 
 
 def borda(ranks: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -106,8 +127,8 @@ def borda(ranks: DataFrame, by: list[str] | None = None) -> DataFrame:
     return ranked(score, by, F.col("score").asc())
 
 
-def feat_rank_re(long: DataFrame, splits: DataFrame, method: str) -> DataFrame:
-    return borda(rank_resampled(long, splits, method), ["method"])
+def feat_rank_re(long: DataFrame, splits: DataFrame, method: str | Callable, **options) -> DataFrame:
+    return borda(rank_resampled(long, splits, method, **options), ["method"])
 
 
 def feat_freq(ranks: DataFrame, cutoff: int = 50, freq_cutoff: float = 0.5) -> DataFrame:
@@ -133,14 +154,23 @@ def feat_cons(freq: DataFrame, methods: list[str]) -> DataFrame:
     return table.withColumn("n_methods", n)
 
 
-def feat_mfs(long: DataFrame, methods: list[str], splits: DataFrame | None = None) -> DataFrame:
-    """Several rankers, with resampling (Borda over ``splits``) or without: ``method, feature, stat, fs_rank``."""
-    out = None
+def feat_mfs(long: DataFrame, methods: list[str | Callable], splits: DataFrame | None = None, options: dict[str, dict] | None = None) -> DataFrame:
+    """Several rankers, with resampling (Borda over ``splits``) or without: ``method, feature, stat, fs_rank``.
+
+    Rankers are names or functions; ``options`` has arguments by the ranker's name.  Without resampling, rankers that
+    take vectors see all rows as one resample.
+    """
+    out = whole = None
     for m in methods:
-        if splits is None:
-            found = RANKERS[m](long).select(F.lit(m).alias("method"), *FEATURE, "stat", "fs_rank")
+        own = (options or {}).get(name_of(m), {})
+        if splits is not None:
+            found = feat_rank_re(long, splits, m, **own)
+        elif isinstance(m, str) and m in RANKERS:
+            found = RANKERS[m](long).withColumn("method", F.lit(m))
         else:
-            found = feat_rank_re(long, splits, m).select("method", *FEATURE, "stat", "fs_rank")
+            whole = long.select("sample_id").distinct().select("sample_id", F.lit(1).alias("iter"), F.lit(1).alias("rep"), F.lit(1).alias("mult")) if whole is None else whole
+            found = rank_resampled(long, whole, m, **own)
+        found = found.select("method", *FEATURE, "stat", "fs_rank")
         out = found if out is None else out.unionByName(found)
     return out
 
@@ -155,14 +185,14 @@ def rank_table(ranks: DataFrame, methods: list[str]) -> DataFrame:
     return ranks.groupBy("feature").pivot("method", methods).agg(F.first("fs_rank"))
 
 
-def feat_mfs_stab(long: DataFrame, methods: list[str], splits: DataFrame, cutoff: int = 20, freq_cutoff: float = 0.5) -> dict[str, DataFrame]:
+def feat_mfs_stab(long: DataFrame, methods: list[str | Callable], splits: DataFrame, cutoff: int = 20, freq_cutoff: float = 0.5, options: dict[str, dict] | None = None) -> dict[str, DataFrame]:
     """``freq``, ``stability`` and ``consensus`` of several resampled rankers."""
     out = None
     for m in methods:
-        found = rank_resampled(long, splits, m)
+        found = rank_resampled(long, splits, m, **(options or {}).get(name_of(m), {}))
         out = found if out is None else out.unionByName(found)
     freq = feat_freq(out, cutoff, freq_cutoff)
-    return {"freq": freq, "stability": stability(freq), "consensus": feat_cons(freq, methods)}
+    return {"freq": freq, "stability": stability(freq), "consensus": feat_cons(freq, [name_of(m) for m in methods])}
 
 
 def feat_mfs_stats(ranks: DataFrame, cumulative: bool = False) -> DataFrame:

@@ -7,6 +7,8 @@ follows the aggregation works on a table with one row per feature.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -131,8 +133,11 @@ def kruskal(long: DataFrame, by: list[str] | None = None) -> DataFrame:
     return out.withColumn("pval", dist.chi2_pvalue("stat", "df"))
 
 
-def pval_test(long: DataFrame, method: str = "oneway.test", by: list[str] | None = None) -> DataFrame:
-    """``pval`` by feature of a named test: oneway.test (Welch), aov, t.test, wilcox.test, kruskal.test."""
+def pval_test(long: DataFrame, method: str | Callable[[DataFrame, list[str] | None], DataFrame] = "oneway.test", by: list[str] | None = None) -> DataFrame:
+    """``pval`` by feature of a named test: oneway.test (Welch), aov, t.test, wilcox.test, kruskal.test; or of a function
+    of the long frame and ``by`` that returns one row of ``feature, feature_idx, pval`` for each feature and key."""
+    if callable(method):
+        return method(long, by).select(*(by or []), *FEATURE, "pval")
     found = {"oneway.test": lambda: anova(long, by, equal_var=False), "aov": lambda: anova(long, by), "t.test": lambda: welch(long, by), "wilcox.test": lambda: wilcoxon(long, by), "kruskal.test": lambda: kruskal(long, by)}
     if method not in found:
         raise ValueError(f"unknown test: {method}")
@@ -178,18 +183,18 @@ def pval_reject(pvals: DataFrame, alphas: list[float], by: list[str] | None = No
     return pvals.groupBy(*(by or [])).agg(F.array(*counts).alias("found")).select(*(by or []), F.inline("found"))
 
 
-def stats_mat(long: DataFrame, method: str = "mean", test: str = "wilcox.test", padj: str = "fdr", fc: bool = True, rounded: bool = False, by: list[str] | None = None) -> DataFrame:
+def stats_mat(long: DataFrame, method: str | Callable[[Column], Column] = "mean", test: str | Callable = "wilcox.test", padj: str = "fdr", fc: bool = True, rounded: bool = False, by: list[str] | None = None) -> DataFrame:
     """Two-class table by feature: overall and class centres, fold change of the second class over the first, its log2,
     folded AUC, p and adjusted p.  ``rounded`` rounds each step as printed tables do (2 places; 4 for p-values)."""
     from .evaluate import feature_auc
     from .prep import fold_change, fold_change_to_log
 
     keys = [*(by or []), *FEATURE]
-    centre = {"mean": F.avg, "median": F.median}[method]
-    cells = long.where("value is not null").groupBy(*keys, "cls").agg(centre("value").alias("c"))
+    centre = {"mean": F.avg, "median": F.median}[method] if isinstance(method, str) else method
+    cells = long.where("value is not null").groupBy(*keys, "cls").agg(centre(F.col("value")).alias("c"))
     cell = F.struct("cls", "c")
     both = cells.groupBy(*keys).agg(F.min(cell)["c"].alias("center_1"), F.max(cell)["c"].alias("center_2"))
-    overall = long.where("value is not null").groupBy(*keys).agg(centre("value").alias("center"))
+    overall = long.where("value is not null").groupBy(*keys).agg(centre(F.col("value")).alias("center"))
     rnd = (lambda c, k: F.round(c, k)) if rounded else (lambda c, k: c)
     out = attach(overall, both, keys)
     if fc:

@@ -14,14 +14,17 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import evaluate, models
-from .bounded import BOUNDED, sample
+from .bounded import BOUNDED, MOST_OWN, every_row, sample
 from .frame import EPS, class_pairs, levels
 from .moments import Moments, gather, matrix_of, width
+from .multirank import varying
 from .neighbours import knn_predict
+from .rank import borda, feature_ladder, name_of, rank_resampled
 from .resample import Plan, checked_splits, memberships
 
 METHODS = [*models.LINEAR, "knn", *BOUNDED]
@@ -40,44 +43,90 @@ class Kept:
         return self.model.posterior(x[:, self.keep])
 
 
-def fit_moments(m: Moments, method: str, options: dict) -> Kept:
-    keep = np.flatnonzero(np.sqrt(np.maximum(np.diag(m.total()), 0) / max(m.n - 1, 1)) > EPS)
+@dataclass
+class Classifier:
+    """A user's classifier: ``fit(x, y, **options)`` gives any model; ``predict(model, x)`` gives one label for each row, or
+    a matrix of posteriors with one column for each sorted label of the training rows.
+
+    It gets all training rows of a resample in one task; more than ``most_rows`` rows raise.  Labels alone give no margin
+    and no AUC.
+    """
+
+    name: str
+    fit: Callable
+    predict: Callable
+    most_rows: int = MOST_OWN
+
+
+@dataclass
+class Own:
+    """The model of a user's classifier, with the labels it has seen."""
+
+    labels: list[str]
+    model: object
+    predict: Callable
+
+    def told(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
+        found = np.asarray(self.predict(self.model, x))
+        if found.ndim == 1:
+            return found.astype(str), None
+        return np.array(self.labels, dtype=object)[found.argmax(axis=1)], found.astype(float)
+
+
+def fit_moments(m: Moments, method: str, options: dict, features: np.ndarray | None = None) -> Kept:
+    keep = varying(m) if features is None else features[np.isin(features, varying(m))]
     return Kept(keep, models.LINEAR[method](m.select(keep), **options))
 
 
-def _fit_bounded(vectors: DataFrame, method: str, resamples: int, options: dict) -> list:
-    """One task per resample; the sample (bounded) is in the closure."""
-    most, fit = BOUNDED[method]
-    frame = sample(vectors, most)
+def _fit_rows(vectors: DataFrame, method: str | Classifier, resamples: int, options: dict, subsets: list[list[np.ndarray]] | None = None) -> list:
+    """One task per resample (and a model for each of its subsets of features); the rows are in the closure: a bounded
+    sample, or all rows for a user's classifier."""
+    own = isinstance(method, Classifier)
+    fit = (lambda x, y, **o: Own(sorted(set(y)), method.fit(x, y, **o), method.predict)) if own else BOUNDED[method][1]
+    frame = every_row(vectors, method.most_rows) if own else sample(vectors, BOUNDED[method][0])
     x, y, mults = np.stack(frame["features"].to_numpy()), frame["cls"].to_numpy(), np.stack(frame["mults"].to_numpy())
+    every = [np.arange(x.shape[1])]
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for s in f["id"]:
                 rows = np.repeat(np.arange(len(y)), mults[:, s])
-                keep = np.flatnonzero(x[rows].std(axis=0) > EPS)
-                yield pd.DataFrame({"s": [s], "model": [pickle.dumps(Kept(keep, fit(x[rows][:, keep], y[rows], **options)))]})
+                varies = x[rows].std(axis=0) > EPS
+                for k, features in enumerate(every if subsets is None else subsets[s]):
+                    keep = features[varies[features]]
+                    yield pd.DataFrame({"s": [s], "k": [k], "model": [cloudpickle.dumps(Kept(keep, fit(x[rows][:, keep], y[rows], **options)))]})
 
-    found = vectors.sparkSession.range(0, resamples, 1, resamples).mapInPandas(work, "s long, model binary").collect()  # bounded models
-    return [pickle.loads(r[1]) for r in sorted(found)]
+    found = vectors.sparkSession.range(0, resamples, 1, resamples).mapInPandas(work, "s long, k long, model binary").collect()  # bounded models
+    return [pickle.loads(r[2]) for r in sorted(found, key=lambda r: r[:2])]
 
 
-def _predict(vectors: DataFrame, fitted: list, p: int, test: bool) -> DataFrame:
-    """``sample_id, obs, split, pred, posterior`` of the rows with mult 0 (or above 0: resubstitution)."""
+def _predict(vectors: DataFrame, fitted: list, p: int, test: bool, of: list[int] | None = None) -> DataFrame:
+    """``sample_id, obs, split, pred, posterior`` of the rows with mult 0 (or above 0: resubstitution).  ``of`` has the
+    resample of each model; without it there is one model for each."""
     kind = dict(vectors.dtypes)["sample_id"]
-    labels = [np.array(m.labels, dtype=object) for m in fitted]
+    of = list(range(len(fitted))) if of is None else of
+    resamples = max(of) + 1
+
+    def told(model: Kept, x: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
+        if isinstance(model.model, Own):
+            return model.model.told(x[:, model.keep])
+        post = model.posterior(x)
+        return np.array(model.labels, dtype=object)[post.argmax(axis=1)], post
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, mults = matrix_of(batch, "features", p), matrix_of(batch, "mults", len(fitted))
+            x, mults = matrix_of(batch, "features", p), matrix_of(batch, "mults", resamples)
             for s, model in enumerate(fitted):
-                at = np.flatnonzero((mults[:, s] == 0) == test)
+                at = np.flatnonzero((mults[:, of[s]] == 0) == test)
                 if not len(at):
                     continue
-                post = model.posterior(x[at])
+                label, post = told(model, x[at])
                 rows = batch.take(pa.array(at))
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * post.shape[1]), pa.array(post.ravel()))
-                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(np.full(len(at), s, dtype=np.int32)), pa.array(labels[s][post.argmax(axis=1)], type=pa.string()), lists], names=["sample_id", "obs", "split", "pred", "posterior"])
+                if post is None:
+                    lists = pa.nulls(len(at), pa.list_(pa.float64()))
+                else:
+                    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * post.shape[1]), pa.array(post.ravel()))
+                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(np.full(len(at), s, dtype=np.int32)), pa.array(label, type=pa.string()), lists], names=["sample_id", "obs", "split", "pred", "posterior"])
 
     return vectors.select("sample_id", "cls", "features", "mults").mapInArrow(run, f"sample_id {kind}, obs string, split int, pred string, posterior array<double>")
 
@@ -100,20 +149,20 @@ class Accest:
         return evaluate.confusion(self.preds)
 
 
-def predictions(vectors: DataFrame, method: str, splits: DataFrame, resub: bool = False, **options) -> tuple[DataFrame, list[str]]:
+def predictions(vectors: DataFrame, method: str | Classifier, splits: DataFrame, resub: bool = False, **options) -> tuple[DataFrame, list[str]]:
     """Test predictions of every resample: ``iter, rep, sample_id, obs, pred, posterior``."""
     table, names = memberships(splits)
     rows = vectors.select("sample_id", "cls", "features").join(table, "sample_id").select("sample_id", "cls", "features", "mults")
     labels = levels(vectors)
     if method == "knn":
         found = knn_predict(rows, len(names), **options).withColumn("posterior", F.lit(None).cast("array<double>"))
-    elif method in models.LINEAR:
+    elif isinstance(method, str) and method in models.LINEAR:
         fitted = [fit_moments(m, method, options) for m in gather(rows, labels, len(names), by_class=method == "qda")]
         found = _predict(rows, fitted, width(vectors), not resub)
-    elif method in BOUNDED:
-        found = _predict(rows, _fit_bounded(rows, method, len(names), options), width(vectors), not resub)
+    elif isinstance(method, Classifier) or method in BOUNDED:
+        found = _predict(rows, _fit_rows(rows, method, len(names), options), width(vectors), not resub)
     else:
-        raise ValueError(f"unknown method: {method}; one of {METHODS}")
+        raise ValueError(f"unknown method: {method}; one of {METHODS}, or a Classifier")
     place = F.create_map(*[x for s, (i, r) in enumerate(names) for x in (F.lit(s), F.struct(F.lit(i).alias("iter"), F.lit(r).alias("rep")))])
     at = F.element_at(place, F.col("split"))
     return found.select(at["iter"].alias("iter"), at["rep"].alias("rep"), "sample_id", "obs", "pred", "posterior"), labels
@@ -130,7 +179,7 @@ def fold_metrics(preds: DataFrame, labels: list[str], by: list[str] | None = Non
     return out.withColumn("auc", F.lit(None).cast("double"))
 
 
-def accest(vectors: DataFrame, method: str, plan: Plan = Plan(), splits: DataFrame | None = None, **options) -> Accest:
+def accest(vectors: DataFrame, method: str | Classifier, plan: Plan = Plan(), splits: DataFrame | None = None, **options) -> Accest:
     """Options go to the classifier (``k``, ``ncomp``, ``kernel``, ``cost`` ...), in every resample.
 
     Missing features and fewer than two classes are errors.  A bootstrap plan adds the .632 and .632+ errors.
@@ -141,13 +190,13 @@ def accest(vectors: DataFrame, method: str, plan: Plan = Plan(), splits: DataFra
         raise ValueError("at least two classes are needed")
     folds = fold_metrics(preds, labels, with_auc=plan.sampling != "loocv")
     iters = folds.groupBy("iter").agg(*[F.avg(c).alias(c) for c in ("err", "acc", "margin", "auc")])
-    summary = iters.agg(*[F.avg(c).alias(c) for c in ("err", "acc", "margin", "auc")], F.stddev_samp("acc").alias("acc_std")).withColumn("method", F.lit(method))
+    summary = iters.agg(*[F.avg(c).alias(c) for c in ("err", "acc", "margin", "auc")], F.stddev_samp("acc").alias("acc_std")).withColumn("method", F.lit(name_of(method)))
     boot = None
     if plan.sampling == "boot":
         whole = vectors.select("sample_id").withColumns({"iter": F.lit(1), "rep": F.lit(1), "mult": F.lit(1)})
         resub = predictions(vectors, method, whole, resub=True, **options)[0] if method != "knn" else vectors.select(F.col("cls").alias("obs"), F.col("cls").alias("pred"))
         boot = evaluate.boot_err(preds, resub)
-    return Accest(method, plan, labels, preds, folds, iters, summary, boot)
+    return Accest(name_of(method), plan, labels, preds, folds, iters, summary, boot)
 
 
 @dataclass
@@ -160,11 +209,11 @@ class Maccest:
     tests: dict = field(default_factory=dict)
 
 
-def maccest(vectors: DataFrame, methods: list[str], plan: Plan = Plan(), comp: str = "anova", options: dict[str, dict] | None = None) -> Maccest:
+def maccest(vectors: DataFrame, methods: list[str | Classifier], plan: Plan = Plan(), comp: str = "anova", options: dict[str, dict] | None = None) -> Maccest:
     from .compare import mc_anova, mc_fried
 
     splits = checked_splits(vectors, plan)
-    results = {m: accest(vectors, m, plan, splits, **(options or {}).get(m, {})) for m in methods}
+    results = {name_of(m): accest(vectors, m, plan, splits, **(options or {}).get(name_of(m), {})) for m in methods}
     iters = summary = None
     for m, r in results.items():
         part, line = r.iters.withColumn("method", F.lit(m)), r.summary
@@ -180,24 +229,24 @@ def _for_pair(plan: Plan, rows: DataFrame) -> Plan:
     return Plan("loocv", seed=plan.seed) if plan.sampling == "cv" and plan.nreps > least else plan
 
 
-def mbinest(vectors: DataFrame, methods: list[str], choices=None, plan: Plan = Plan(), options: dict[str, dict] | None = None) -> DataFrame:
+def mbinest(vectors: DataFrame, methods: list[str | Classifier], choices=None, plan: Plan = Plan(), options: dict[str, dict] | None = None) -> DataFrame:
     """``pair, method, acc, auc, margin`` for pairs of classes; cv with more folds than the smaller class has rows
     becomes loocv."""
     out = None
     for a, b in class_pairs(levels(vectors), choices):
         rows = vectors.where(F.col("cls").isin(a, b))
         for m in methods:
-            line = accest(rows, m, _for_pair(plan, rows), **(options or {}).get(m, {})).summary
+            line = accest(rows, m, _for_pair(plan, rows), **(options or {}).get(name_of(m), {})).summary
             line = line.select(F.lit(f"{a}~{b}").alias("pair"), "method", "acc", "auc", "margin")
             out = line if out is None else out.unionByName(line)
     return out
 
 
 def binest(vectors: DataFrame, method: str, choices=None, plan: Plan = Plan(), **options) -> DataFrame:
-    return mbinest(vectors, [method], choices, plan, {method: options}).select("pair", "acc")
+    return mbinest(vectors, [method], choices, plan, {name_of(method): options}).select("pair", "acc")
 
 
-def aam(vectors: DataFrame, methods: list[str], plan: Plan = Plan(), options: dict[str, dict] | None = None) -> DataFrame:
+def aam(vectors: DataFrame, methods: list[str | Classifier], plan: Plan = Plan(), options: dict[str, dict] | None = None) -> DataFrame:
     """``method, acc, auc, mar``, rounded to three places."""
     table = maccest(vectors, methods, plan, options=options).summary
     return table.select("method", F.round("acc", 3).alias("acc"), F.round("auc", 3).alias("auc"), F.round("margin", 3).alias("mar"))
@@ -208,14 +257,42 @@ def project(vectors: DataFrame, places: list[int]) -> DataFrame:
     return vectors.withColumn("features", F.array(*[F.get("features", F.lit(i)) for i in places]))
 
 
-def frank_err(vectors: DataFrame, order: list[int], lens: list[int], method: str, splits: DataFrame, **options) -> DataFrame:
-    """``len, iter, rep, err`` of the best features of a given order at each length."""
-    out = None
-    for k in lens:
-        preds, _ = predictions(project(vectors, order[:k]), method, splits, **options)
-        part = preds.groupBy("iter", "rep").agg(F.avg((F.col("obs") != F.col("pred")).cast("double")).alias("err")).withColumn("len", F.lit(k).cast("long"))
-        out = part if out is None else out.unionByName(part)
-    return out
+def _nested(vectors: DataFrame, method: str | Classifier, splits: DataFrame, orders: list[int] | dict[tuple[int, int], list[int]], prefixes: list[list[int]] | list[int], options: dict) -> DataFrame:
+    """``set, iter, rep, sample_id, obs, pred, posterior``: every resample's test rows by models on several sets of features.
+
+    ``prefixes`` has the lengths of the order to take (the resample's own, or one for all), or the sets themselves.  It is
+    one plan with one fit of the rows, whatever the number of resamples and sets: linear models share the gathered state,
+    the others fit all sets of a resample in its task, and one map (or one pass over the tiles) predicts.
+    """
+    table, names = memberships(splits)
+    rows = vectors.select("sample_id", "cls", "features").join(table, "sample_id").select("sample_id", "cls", "features", "mults")
+    one = lambda n: orders if isinstance(orders, list) else orders[n]
+    subsets = [[np.array(k if isinstance(k, list) else one(n)[:k]) for k in prefixes] for n in names]
+    flat = [(s, features) for s, sets in enumerate(subsets) for features in sets]
+    if method == "knn":
+        found = knn_predict(rows, len(names), subsets=flat, **options).withColumn("posterior", F.lit(None).cast("array<double>"))
+    elif isinstance(method, str) and method in models.LINEAR:
+        states = gather(rows, levels(vectors), len(names), by_class=method == "qda")
+        fitted = [fit_moments(states[s], method, options, features) for s, features in flat]
+        found = _predict(rows, fitted, width(vectors), True, [s for s, _ in flat])
+    elif isinstance(method, Classifier) or method in BOUNDED:
+        found = _predict(rows, _fit_rows(rows, method, len(names), options, subsets), width(vectors), True, [s for s, _ in flat])
+    else:
+        raise ValueError(f"unknown method: {method}; one of {METHODS}, or a Classifier")
+    key = F.col("split").cast("long")
+    resample = F.element_at(F.array(*[F.struct(F.lit(i).alias("iter"), F.lit(r).alias("rep")) for i, r in names]), (F.floor(key / len(prefixes)) + 1).cast("int"))
+    return found.select((key % len(prefixes)).alias("set"), resample["iter"].alias("iter"), resample["rep"].alias("rep"), "sample_id", "obs", "pred", "posterior")
+
+
+def frank_err(vectors: DataFrame, order: list[int] | dict[tuple[int, int], list[int]], lens: list[int], method: str | Classifier, splits: DataFrame, **options) -> DataFrame:
+    """``len, iter, rep, err`` of the best features of a given order (or one for each (iter, rep)) at each length."""
+    preds = _nested(vectors, method, splits, order, lens, options)
+    err = preds.groupBy("set", "iter", "rep").agg(F.avg((F.col("obs") != F.col("pred")).cast("double")).alias("err"))
+    return err.select(_length(lens).alias("len"), "iter", "rep", "err")
+
+
+def _length(lens: list[int]) -> Column:
+    return F.element_at(F.array(*[F.lit(int(k)).cast("long") for k in lens]), (F.col("set") + 1).cast("int"))
 
 
 @dataclass
@@ -233,55 +310,50 @@ class Frankvali:
     order: DataFrame
 
 
-def frankvali(vectors: DataFrame, long: DataFrame, method: str = "svm", fs_method: str = "fs.auc", plan: Plan = Plan(), lens="power2", order: list[int] | None = None, **options) -> Frankvali:
+def frankvali(vectors: DataFrame, long: DataFrame, method: str | Classifier = "svm", fs_method: str | Callable = "fs.auc", plan: Plan = Plan(), lens="power2", order: list[int] | None = None, fs_options: dict | None = None, **options) -> Frankvali:
     """Ranks the features on each resample's training rows (or takes ``order``) and classifies its test rows with the
-    best k of them, for each k of the ladder.  The rankings of all resamples are one aggregation; each is at most the
-    number of features, and only they come to the driver, never rows."""
-    from .rank import borda, feature_ladder, rank_resampled
-
-    p = width(vectors)
-    ladder = feature_ladder(p, lens)
+    best k of them, for each k of the ladder.  ``fs_method`` is any ranker, univariate, multivariate or a function.  Each
+    ranking has at most the number of features, and only they come to the driver, never rows."""
+    ladder = feature_ladder(width(vectors), lens)
     splits = checked_splits(vectors, plan)
-    ranks = rank_resampled(long, splits, fs_method)
-    tables: dict[tuple[int, int], list[int]] = {}
+    ranks = rank_resampled(long, splits, fs_method, **(fs_options or {}))
+    own = order
     if order is None:
-        for row in ranks.groupBy("iter", "rep").agg(F.transform(F.array_sort(F.collect_list(F.struct("fs_rank", "feature_idx"))), lambda c: c["feature_idx"]).alias("o")).collect():
-            tables[row[0], row[1]] = list(row[2])
-    err = None
-    if order is not None:
-        err = frank_err(vectors, order, ladder, method, splits, **options)
-    else:
-        for (i, r), own in tables.items():
-            part = frank_err(vectors, own, ladder, method, splits.where((F.col("iter") == i) & (F.col("rep") == r)), **options)
-            err = part if err is None else err.unionByName(part)
+        sorted_places = F.transform(F.array_sort(F.collect_list(F.struct("fs_rank", "feature_idx"))), lambda c: c["feature_idx"])
+        own = {(r[0], r[1]): list(r[2]) for r in ranks.groupBy("iter", "rep").agg(sorted_places).collect()}
+    err = frank_err(vectors, own, ladder, method, splits, **options)
     by_iter = err.groupBy("len", "iter").agg(F.avg("err").alias("err"))
-    return Frankvali(method, fs_method, plan, ladder, err, by_iter, by_iter.groupBy("len").agg(F.avg("err").alias("err")), ranks, borda(ranks))
+    return Frankvali(name_of(method), name_of(fs_method), plan, ladder, err, by_iter, by_iter.groupBy("len").agg(F.avg("err").alias("err")), ranks, borda(ranks))
 
 
-def fs_cl(vectors: DataFrame, order: list[int], lens: list[int], method: str = "svm", plan: Plan = Plan(), all_fs: bool = False, **options) -> DataFrame:
+def _nested_metrics(vectors: DataFrame, method: str | Classifier, plan: Plan, order: list[int], prefixes: list, lens: list[int], options: dict) -> DataFrame:
+    labels = levels(vectors)
+    if len(labels) < 2:
+        raise ValueError("at least two classes are needed")
+    preds = _nested(vectors, method, checked_splits(vectors, plan), order, prefixes, options)
+    folds = fold_metrics(preds, labels, ["set"], plan.sampling != "loocv")
+    iters = folds.groupBy("set", "iter").agg(*[F.avg(c).alias(c) for c in ("acc", "auc", "margin")])
+    means = iters.groupBy("set").agg(*[F.round(F.avg(c), 3).alias(c) for c in ("acc", "auc", "margin")])
+    return means.select(_length(lens).alias("len"), "acc", "auc", F.col("margin").alias("mar"))
+
+
+def fs_cl(vectors: DataFrame, order: list[int], lens: list[int], method: str | Classifier = "svm", plan: Plan = Plan(), all_fs: bool = False, **options) -> DataFrame:
     """``len, acc, auc, mar`` of prefixes of an order; the largest length goes unless ``all_fs``."""
     lens = sorted(lens) if all_fs else sorted(lens)[:-1]
     if not lens:
         raise ValueError("no length is left")
-    splits, out = checked_splits(vectors, plan), None
-    for k in lens:
-        line = accest(project(vectors, order[:k]), method, plan, splits, **options).summary.select(F.lit(k).cast("long").alias("len"), F.round("acc", 3).alias("acc"), F.round("auc", 3).alias("auc"), F.round("margin", 3).alias("mar"))
-        out = line if out is None else out.unionByName(line)
-    return out
+    return _nested_metrics(vectors, method, plan, list(order), lens, lens, options)
 
 
-def fs_cl_1(vectors: DataFrame, order: list[int], method: str = "svm", plan: Plan = Plan(), growing: bool = False, **options) -> DataFrame:
+def fs_cl_1(vectors: DataFrame, order: list[int], method: str | Classifier = "svm", plan: Plan = Plan(), growing: bool = False, **options) -> DataFrame:
     """The same for each single feature, or for each growing prefix."""
     if growing:
         return fs_cl(vectors, order, list(range(1, len(order) + 1)), method, plan, True, **options)
-    splits, out = checked_splits(vectors, plan), None
-    for k, j in enumerate(order, 1):
-        line = accest(project(vectors, [j]), method, plan, splits, **options).summary.select(F.lit(k).cast("long").alias("len"), F.round("acc", 3).alias("acc"), F.round("auc", 3).alias("auc"), F.round("margin", 3).alias("mar"))
-        out = line if out is None else out.unionByName(line)
-    return out
+    return _nested_metrics(vectors, method, plan, list(order), [[j] for j in order], list(range(1, len(order) + 1)), options)
 
 
-def fs_cl_2(vectors: DataFrame, order: list[int], method: str = "svm", plan: Plan = Plan(), growing: bool = False, **options) -> list[Accest]:
+def fs_cl_2(vectors: DataFrame, order: list[int], method: str | Classifier = "svm", plan: Plan = Plan(), growing: bool = False, **options) -> list[Accest]:
+    """One result for each single feature, or each growing prefix."""
     splits = checked_splits(vectors, plan)
     return [accest(project(vectors, order[: k + 1] if growing else [j]), method, plan, splits, **options) for k, j in enumerate(order)]
 
@@ -302,7 +374,7 @@ def tune(vectors: DataFrame, method: str, ncomps: list[int], plan: Plan = Plan("
     table, names = memberships(checked_splits(vectors, plan))
     rows = vectors.select("sample_id", "cls", "features").join(table, "sample_id").select("sample_id", "cls", "features", "mults")
     states = gather(rows, levels(vectors), len(names))
-    keeps = [np.flatnonzero(np.sqrt(np.maximum(np.diag(m.total()), 0) / max(m.n - 1, 1)) > EPS) for m in states]
+    keeps = [varying(m) for m in states]
     fitted = [[Kept(k, fit(m.select(k), ncomp=c, **options)) for c in ncomps] for m, k in zip(states, keeps, strict=True)]
     p = width(vectors)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -400,6 +401,71 @@ def fs_cl_1_lda(spark: SparkSession, sf: str) -> DataFrame:
     return validate.fs_cl_1(vectors(spark, sf), [3, 1, 2], "lda", Plan("cv", 1, 5))
 
 
+# what a user brings, with resampling
+
+
+def class_mean_range(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """A ranker: the range of a feature's class means."""
+    means = np.array([x[y == c].mean(axis=0) for c in np.unique(y)])
+    return means.max(axis=0) - means.min(axis=0)
+
+
+def centroids(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    labels = np.unique(y)
+    return labels, np.array([x[y == c].mean(axis=0) for c in labels])
+
+
+def nearest_centroid(model: tuple[np.ndarray, np.ndarray], x: np.ndarray) -> np.ndarray:
+    labels, means = model
+    return labels[((x[:, None] - means[None]) ** 2).sum(axis=2).argmin(axis=1)]
+
+
+_MEANS = f"{_cv(False)}, {EM}, c AS (SELECT iter, rep, feature, feature_idx, em.cls, avg(value) AS m FROM em JOIN splits USING (sample_id) WHERE mult = 1 GROUP BY ALL)"
+
+
+@query(
+    "own_ranker_cv",
+    f"WITH {_MEANS}, g AS (SELECT iter, rep, feature, feature_idx, max(m) - min(m) AS stat FROM c GROUP BY ALL) SELECT CAST(iter AS BIGINT) AS iter, CAST(rep AS BIGINT) AS rep, feature, round(stat, 6) AS stat, row_number() OVER (PARTITION BY iter, rep ORDER BY stat DESC, feature_idx) AS fs_rank FROM g",
+)
+def own_ranker_cv(spark: SparkSession, sf: str) -> DataFrame:
+    found = rank.rank_resampled(embeddings(spark, sf), resample.splits(vectors(spark, sf), _PLAN), class_mean_range)
+    return rounded(found.select("iter", "rep", "feature", "stat", "fs_rank"))
+
+
+@query(
+    "own_classifier_cv",
+    f"WITH {_MEANS}, d AS (SELECT c.iter, c.rep, em.sample_id, em.cls AS obs, c.cls, sum((value - m) * (value - m)) AS d FROM em JOIN splits x ON x.sample_id = em.sample_id AND x.mult = 0 JOIN c ON c.iter = x.iter AND c.rep = x.rep AND c.feature = em.feature GROUP BY ALL) "
+    "SELECT CAST(iter AS BIGINT) AS iter, CAST(rep AS BIGINT) AS rep, sample_id, obs, arg_min(cls, d) AS pred FROM d GROUP BY iter, rep, sample_id, obs",
+)
+def own_classifier_cv(spark: SparkSession, sf: str) -> DataFrame:
+    v = vectors(spark, sf)
+    own = validate.Classifier("centroid", centroids, nearest_centroid)
+    return rounded(validate.accest(v, own, _PLAN, resample.splits(v, _PLAN)).preds.select("iter", "rep", "sample_id", "obs", "pred"))
+
+
+@query("feat_mfs_mixed")
+def feat_mfs_mixed(spark: SparkSession, sf: str) -> DataFrame:
+    """Univariate, forest and elimination rankings of the same resamples."""
+    splits = resample.checked_splits(vectors(spark, sf), Plan("cv", 1, 5))
+    return rounded(rank.feat_mfs(embeddings(spark, sf), ["fs.anova", "fs.rf", "fs.rfe", "fs.plsvip"], splits, {"fs.rf": {"trees": 20}}).select("method", "feature", "stat", "fs_rank"))
+
+
+@query("feat_mfs_stab")
+def feat_mfs_stab(spark: SparkSession, sf: str) -> DataFrame:
+    splits = resample.checked_splits(vectors(spark, sf), Plan("cv", 2, 5))
+    return rounded(rank.feat_mfs_stab(embeddings(spark, sf), ["fs.bw", "fs.pls", "fs.pca"], splits)["freq"].select("method", "feature", "freq", "kept"))
+
+
+@query("frankvali_rfe")
+def frankvali_rfe(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(validate.frankvali(vectors(spark, sf), embeddings(spark, sf), "lda", "fs.rfe", Plan("boot", 2, 4), [1, 2, 3, 5, 8, 13, 21, 34]).err_all)
+
+
+@query("aam")
+def aam(spark: SparkSession, sf: str) -> DataFrame:
+    return validate.aam(vectors(spark, sf), ["lda", "plsc", "pcalda"], Plan("cv", 2, 5), {"pcalda": {"ncomp": 20}})
+
+
 @query("tune_plsc")
 def tune_plsc(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(validate.tune_plsc(vectors(spark, sf), 6).table)
