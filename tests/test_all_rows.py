@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sparkomics.operators import bounded, multirank
+from sparkomics.operators import bounded, multirank, neighbours
 
 SCHEMA = "sample_id long, cls string, features array<double>"
 
@@ -31,3 +31,31 @@ def test_linear_machine_is_that_of_the_dual():
     times = rng.integers(0, 4, 240)
     drawn, some = np.repeat(np.arange(240), times), times > 0
     assert np.allclose(bounded.linear_weights(z[drawn], y[drawn], np.ones(len(drawn))), bounded.linear_weights(z[some], y[some], times[some].astype(float)), atol=1e-5)
+
+
+def test_nearest_by_bounds_are_the_nearest(monkeypatch):
+    """Copies, a large offset, an unlucky order and small blocks: votes and neighbours are those of all exact distances."""
+    rng = np.random.default_rng(2)
+    monkeypatch.setattr(neighbours, "BLOCK", 600)
+    for p, shift in ((3, 0.0), (20, 1e4)):
+        base = rng.normal(size=(150, p)) + shift
+        base = np.concatenate([base, base[:40]])
+        query = np.concatenate([base[::7], rng.normal(size=(9, p)) + shift])
+        d = np.einsum("qbp,qbp->qb", query[:, None] - base, query[:, None] - base)
+        far_first = np.argsort(-d[0], kind="stable")
+        marks, weights = rng.integers(0, 3, 190), rng.integers(1, 3, 190)
+        near, by_id = neighbours.Near(query, 4), neighbours.Near(query, 4, by_id=True)
+        for a in range(0, 190, 32):
+            some = far_first[a : a + 32]
+            near.add(base[some], marks[some], weights[some])
+            by_id.add(base[some], some, np.ones(len(some), dtype=np.int64), 0, (np.full(len(query), -1), some))
+        votes, first = np.zeros((len(query), 3)), [[] for _ in query]
+        key, _, mark, weight = near.settle()
+        np.add.at(votes, (key, mark), weight)
+        key, _, mark, _ = by_id.settle()
+        for q, j in zip(key.tolist(), mark.tolist(), strict=True):
+            first[q].append(j)
+        for q in range(len(query)):
+            last = np.sort(np.repeat(d[q], weights))[3]
+            assert np.array_equal(votes[q], np.bincount(marks, weights * (d[q] <= last), 3))
+            assert first[q] == np.lexsort((np.arange(190), d[q]))[:4].tolist()
