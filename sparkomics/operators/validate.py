@@ -1,8 +1,10 @@
 """Resampled error estimates: one classifier, several, by pairs of classes, over feature counts, and tuning.
 
 A plan's multiplicities travel with each row as one array.  Linear classifiers (lda, qda, pcalda, plsc, plslda) of all
-resamples are fitted from one pass over the rows, k nearest neighbours in tiles, svm and randomForest on their bounded
-samples with one task per resample; then one map predicts every test row of every resample.
+resamples are fitted from one pass over the rows, and one map predicts every test row of every resample; k nearest
+neighbours go in tiles.  The trees of randomForest are dealt over tasks, and a user's classifier has a task for each
+resample; such a task gets all rows of its resample and predicts its test rows, so that no model leaves it.  svm is
+fitted on its bounded sample.
 """
 
 from __future__ import annotations
@@ -19,15 +21,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import evaluate, models
-from .bounded import BOUNDED, MOST_OWN, every_row, sample
+from .bounded import BOUNDED, MOST_OWN, TREES, columns_of, sample, tree
+from .dealt import deal, enough, lists, received, tasks
 from .frame import EPS, class_pairs, levels
 from .moments import Moments, gather, matrix_of, width
 from .multirank import varying
 from .neighbours import knn_predict
 from .rank import borda, feature_ladder, name_of, rank_resampled
-from .resample import Plan, checked_splits, memberships
+from .resample import Plan, checked_splits, memberships, pair_splits
 
-METHODS = [*models.LINEAR, "knn", *BOUNDED]
+METHODS = [*models.LINEAR, "knn", *BOUNDED, "randomForest"]
 
 
 @dataclass
@@ -78,12 +81,9 @@ def fit_moments(m: Moments, method: str, options: dict, features: np.ndarray | N
     return Kept(keep, models.LINEAR[method](m.select(keep), **options))
 
 
-def _fit_rows(vectors: DataFrame, method: str | Classifier, resamples: int, options: dict, subsets: list[list[np.ndarray]] | None = None) -> list:
-    """One task per resample (and a model for each of its subsets of features); the rows are in the closure: a bounded
-    sample, or all rows for a user's classifier."""
-    own = isinstance(method, Classifier)
-    fit = (lambda x, y, **o: Own(sorted(set(y)), method.fit(x, y, **o), method.predict)) if own else BOUNDED[method][1]
-    frame = every_row(vectors, method.most_rows) if own else sample(vectors, BOUNDED[method][0])
+def _fit_rows(vectors: DataFrame, method: str, resamples: int, options: dict, subsets: list[list[np.ndarray]] | None = None) -> list:
+    """One task per resample (and a model for each of its subsets of features); the rows, a bounded sample, are in the closure."""
+    fit, frame = BOUNDED[method][1], sample(vectors, BOUNDED[method][0])
     x, y, mults = np.stack(frame["features"].to_numpy()), frame["cls"].to_numpy(), np.stack(frame["mults"].to_numpy())
     every = [np.arange(x.shape[1])]
 
@@ -100,6 +100,69 @@ def _fit_rows(vectors: DataFrame, method: str | Classifier, resamples: int, opti
     return [pickle.loads(r[2]) for r in sorted(found, key=lambda r: r[:2])]
 
 
+def _in_tasks(vectors: DataFrame, method: str | Classifier, labels: list[str], resamples: int, options: dict, resub: bool = False, subsets: list[list[np.ndarray]] | None = None) -> DataFrame:
+    """``sample_id, obs, split, pred, posterior`` as ``_predict`` gives them, from tasks that fit and predict."""
+    own, p, kind = isinstance(method, Classifier), width(vectors), dict(vectors.dtypes)["sample_id"]
+    if own:
+        enough(vectors, method.most_rows)
+    sets = [[np.arange(p)]] * resamples if subsets is None else subsets
+    trees, seed = options.get("trees", TREES), options.get("seed", 1)
+    parts = 1 if own else tasks(vectors, resamples, trees)
+
+    def targets(cls: np.ndarray, mults: np.ndarray) -> Iterator[tuple[int, np.ndarray, int]]:
+        for s in range(resamples):
+            at = np.flatnonzero(mults[:, s] > 0) if resub else np.arange(len(mults))
+            for part in range(parts):
+                yield s * parts + part, at, s
+
+    def batch(ids: pa.Array, obs: np.ndarray, split: int, pred: np.ndarray | None, post: pa.Array) -> pa.RecordBatch:
+        told = pa.nulls(len(obs), pa.string()) if pred is None else pa.array(pred, type=pa.string())
+        return pa.RecordBatch.from_arrays([ids, pa.array(obs, type=pa.string()), pa.array(np.full(len(obs), split, dtype=np.int32)), told, post], names=["sample_id", "obs", "split", "pred", "posterior"])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if (got := received(batches, by_id=own)) is None:
+            return
+        target, ids, cls, mults, x = got
+        s, part = divmod(target, parts)
+        rows, test = np.repeat(np.arange(len(cls)), mults), np.flatnonzero((mults == 0) != resub)
+        tested, y = ids.take(pa.array(test)), cls[rows]
+        low, high = x[mults > 0].min(axis=0), x[mults > 0].max(axis=0)
+        varies = (high > low) & (spread_of(x, mults) > EPS)
+        for k, features in enumerate(sets[s]):
+            keep, split = features[varies[features]], s * len(sets[s]) + k
+            if own:
+                z = x if len(keep) == p and (keep == np.arange(p)).all() else x[:, keep]
+                model = Own(sorted(set(y)), method.fit(z[rows], y, **options), method.predict)
+                for a in range(0, len(test), 10_000):
+                    some = test[a : a + 10_000]
+                    pred, post = model.told(z[some])
+                    yield batch(tested[a : a + 10_000], cls[some], split, pred, pa.nulls(len(some), pa.list_(pa.float64())) if post is None else lists(post))
+                continue
+            seen = sorted(set(y))
+            code, columns, place = np.searchsorted(seen, y), columns_of(x[:, keep]), np.searchsorted(labels, seen)
+            votes, train = np.zeros((len(test), len(labels))), columns if (mults == 1).all() else columns[:, rows]
+            for t in range(part, trees, parts):
+                grown = tree(train, code, len(seen), seed, t)[0]
+                votes[np.arange(len(test)), place[grown.descend(columns, test)]] += 1
+            for a in range(0, len(test), 10_000):
+                yield batch(tested[a : a + 10_000], cls[test[a : a + 10_000]], split, None, lists(votes[a : a + 10_000]))
+
+    found = deal(vectors, p, resamples, targets, resamples * parts).mapInArrow(work, f"sample_id {kind}, obs string, split int, pred string, posterior array<double>")
+    if own:
+        return found
+    cells = found.select("sample_id", "obs", "split", *[F.get("posterior", F.lit(k)).alias(f"v{k}") for k in range(len(labels))])
+    sums = cells.groupBy("sample_id", "obs", "split").agg(*[F.sum(f"v{k}").alias(f"v{k}") for k in range(len(labels))])
+    votes = F.array(*[F.col(f"v{k}") / float(trees) for k in range(len(labels))])
+    names = F.array(*[F.lit(c) for c in labels])
+    return sums.withColumn("posterior", votes).select("sample_id", "obs", "split", F.element_at(names, F.array_position("posterior", F.array_max("posterior")).cast("int")).alias("pred"), "posterior")
+
+
+def spread_of(x: np.ndarray, mults: np.ndarray) -> np.ndarray:
+    """Deviations of the training rows, a feature at a time."""
+    n = mults.sum()
+    return np.array([np.sqrt(max(mults @ (c - (mults @ c) / n) ** 2, 0) / n) for c in x.T])
+
+
 def _predict(vectors: DataFrame, fitted: list, p: int, test: bool, of: list[int] | None = None) -> DataFrame:
     """``sample_id, obs, split, pred, posterior`` of the rows with mult 0 (or above 0: resubstitution).  ``of`` has the
     resample of each model; without it there is one model for each."""
@@ -107,12 +170,6 @@ def _predict(vectors: DataFrame, fitted: list, p: int, test: bool, of: list[int]
     of = list(range(len(fitted))) if of is None else of
     resamples = max(of) + 1
 
-    def told(model: Kept, x: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
-        if isinstance(model.model, Own):
-            return model.model.told(x[:, model.keep])
-        post = model.posterior(x)
-        return np.array(model.labels, dtype=object)[post.argmax(axis=1)], post
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, mults = matrix_of(batch, "features", p), matrix_of(batch, "mults", resamples)
@@ -120,13 +177,9 @@ def _predict(vectors: DataFrame, fitted: list, p: int, test: bool, of: list[int]
                 at = np.flatnonzero((mults[:, of[s]] == 0) == test)
                 if not len(at):
                     continue
-                label, post = told(model, x[at])
-                rows = batch.take(pa.array(at))
-                if post is None:
-                    lists = pa.nulls(len(at), pa.list_(pa.float64()))
-                else:
-                    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * post.shape[1]), pa.array(post.ravel()))
-                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(np.full(len(at), s, dtype=np.int32)), pa.array(label, type=pa.string()), lists], names=["sample_id", "obs", "split", "pred", "posterior"])
+                post = model.posterior(x[at])
+                label, rows = np.array(model.labels, dtype=object)[post.argmax(axis=1)], batch.take(pa.array(at))
+                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(np.full(len(at), s, dtype=np.int32)), pa.array(label, type=pa.string()), lists(post)], names=["sample_id", "obs", "split", "pred", "posterior"])
 
     return vectors.select("sample_id", "cls", "features", "mults").mapInArrow(run, f"sample_id {kind}, obs string, split int, pred string, posterior array<double>")
 
@@ -159,7 +212,9 @@ def predictions(vectors: DataFrame, method: str | Classifier, splits: DataFrame,
     elif isinstance(method, str) and method in models.LINEAR:
         fitted = [fit_moments(m, method, options) for m in gather(rows, labels, len(names), by_class=method == "qda")]
         found = _predict(rows, fitted, width(vectors), not resub)
-    elif isinstance(method, Classifier) or method in BOUNDED:
+    elif isinstance(method, Classifier) or method == "randomForest":
+        found = _in_tasks(rows, method, labels, len(names), options, resub)
+    elif method in BOUNDED:
         found = _predict(rows, _fit_rows(rows, method, len(names), options), width(vectors), not resub)
     else:
         raise ValueError(f"unknown method: {method}; one of {METHODS}, or a Classifier")
@@ -229,21 +284,57 @@ def _for_pair(plan: Plan, rows: DataFrame) -> Plan:
     return Plan("loocv", seed=plan.seed) if plan.sampling == "cv" and plan.nreps > least else plan
 
 
-def mbinest(vectors: DataFrame, methods: list[str | Classifier], choices=None, plan: Plan = Plan(), options: dict[str, dict] | None = None) -> DataFrame:
+def mbinest(vectors: DataFrame, methods: list[str | Classifier], choices=None, plan: Plan = Plan(), options: dict[str, dict] | None = None, with_auc: bool = True) -> DataFrame:
     """``pair, method, acc, auc, margin`` for pairs of classes; cv with more folds than the smaller class has rows
-    becomes loocv."""
-    out = None
-    for a, b in class_pairs(levels(vectors), choices):
+    becomes loocv.  Linear methods of all pairs are one plan: a pair's rows are the members of its resamples."""
+    out, pairs = None, class_pairs(levels(vectors), choices)
+    sizes = {r[0]: r[1] for r in vectors.groupBy("cls").count().collect()}  # one row per class
+    alone = [(a, b) for a, b in pairs if plan.sampling == "loocv" or plan.sampling == "cv" and plan.nreps > min(sizes[a], sizes[b])]
+    joint = [pair for pair in pairs if pair not in alone]
+    linear = [m for m in methods if isinstance(m, str) and m in models.LINEAR]
+    splits = pair_splits(vectors, joint, plan) if joint and linear else None
+    for m in linear if joint else []:
+        line = _pair_lines(vectors, joint, m, plan, splits, with_auc, (options or {}).get(m, {}))
+        out = line if out is None else out.unionByName(line)
+    for a, b in pairs:
         rows = vectors.where(F.col("cls").isin(a, b))
         for m in methods:
+            if m in linear and (a, b) in joint:
+                continue
             line = accest(rows, m, _for_pair(plan, rows), **(options or {}).get(name_of(m), {})).summary
             line = line.select(F.lit(f"{a}~{b}").alias("pair"), "method", "acc", "auc", "margin")
             out = line if out is None else out.unionByName(line)
     return out
 
 
+def _pair_lines(vectors: DataFrame, pairs: list[tuple[str, str]], method: str, plan: Plan, splits: DataFrame, with_auc: bool, options: dict) -> DataFrame:
+    labels, p = levels(vectors), width(vectors)
+    names = [(k, i, r) for k in range(len(pairs)) for i in range(1, plan.niter + 1) for r in range(1, plan.nreps + 1)]
+    cells = splits.groupBy("sample_id").agg(F.map_from_entries(F.collect_list(F.struct(F.struct("pair", "iter", "rep"), "mult"))).alias("m"))  # one entry per resample
+    order = F.array(*[F.struct(F.lit(k).alias("pair"), F.lit(i).alias("iter"), F.lit(r).alias("rep")) for k, i, r in names])
+    table = cells.select("sample_id", F.transform(order, lambda k: F.coalesce(F.try_element_at("m", k), F.lit(-1))).alias("mults"))  # -1: no member
+    rows = vectors.select("sample_id", "cls", "features").join(table, "sample_id").select("sample_id", "cls", "features", "mults").persist()  # read for the fits and the predictions
+    train = rows.withColumn("mults", F.transform("mults", lambda m: F.greatest(m, F.lit(0))))
+    fitted = []
+    for (k, _, _), m in zip(names, gather(train, labels, len(names), by_class=method == "qda"), strict=True):
+        two = [labels.index(c) for c in pairs[k]]
+        m = Moments([labels[c] for c in two], m.counts[two], m.means[two], m.within[two] if m.within.ndim == 3 else m.within)
+        fitted.append(fit_moments(m, method, options))
+    found, key = _predict(rows, fitted, p, True), F.col("split") + 1
+    at = F.element_at(order, key)
+    preds = found.select(at["pair"].alias("pair"), at["iter"].alias("iter"), at["rep"].alias("rep"), "sample_id", "obs", "pred", "posterior")
+    second = F.element_at(F.array(*[F.lit(b) for _, b in pairs]), F.col("pair") + 1)
+    first = F.element_at(F.array(*[F.lit(a) for a, _ in pairs]), F.col("pair") + 1)
+    # all pairs have the classes "a" and "b" from here on
+    same = preds.withColumns({"obs": F.when(F.col("obs") == second, "b").otherwise("a"), "pred": F.when(F.col("pred") == second, "b").otherwise("a")})
+    folds = fold_metrics(same.persist() if with_auc else same, ["a", "b"], ["pair"], with_auc)
+    iters = folds.groupBy("pair", "iter").agg(*[F.avg(c).alias(c) for c in ("acc", "margin", "auc")])
+    means = iters.groupBy("pair").agg(*[F.avg(c).alias(c) for c in ("acc", "auc", "margin")])
+    return means.select(F.concat(first, F.lit("~"), second).alias("pair"), F.lit(method).alias("method"), "acc", "auc", "margin")
+
+
 def binest(vectors: DataFrame, method: str, choices=None, plan: Plan = Plan(), **options) -> DataFrame:
-    return mbinest(vectors, [method], choices, plan, {name_of(method): options}).select("pair", "acc")
+    return mbinest(vectors, [method], choices, plan, {name_of(method): options}, with_auc=False).select("pair", "acc")
 
 
 def aam(vectors: DataFrame, methods: list[str | Classifier], plan: Plan = Plan(), options: dict[str, dict] | None = None) -> DataFrame:
@@ -275,7 +366,9 @@ def _nested(vectors: DataFrame, method: str | Classifier, splits: DataFrame, ord
         states = gather(rows, levels(vectors), len(names), by_class=method == "qda")
         fitted = [fit_moments(states[s], method, options, features) for s, features in flat]
         found = _predict(rows, fitted, width(vectors), True, [s for s, _ in flat])
-    elif isinstance(method, Classifier) or method in BOUNDED:
+    elif isinstance(method, Classifier) or method == "randomForest":
+        found = _in_tasks(rows, method, levels(vectors), len(names), options, subsets=subsets)
+    elif method in BOUNDED:
         found = _predict(rows, _fit_rows(rows, method, len(names), options, subsets), width(vectors), True, [s for s, _ in flat])
     else:
         raise ValueError(f"unknown method: {method}; one of {METHODS}, or a Classifier")

@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sparkomics.operators import bounded, multirank, neighbours
+from sparkomics.operators import bounded, frame, multirank, neighbours, rank, validate
+from sparkomics.operators.resample import Plan
 
 SCHEMA = "sample_id long, cls string, features array<double>"
 
@@ -59,3 +60,45 @@ def test_nearest_by_bounds_are_the_nearest(monkeypatch):
             last = np.sort(np.repeat(d[q], weights))[3]
             assert np.array_equal(votes[q], np.bincount(marks, weights * (d[q] <= last), 3))
             assert first[q] == np.lexsort((np.arange(190), d[q]))[:4].tolist()
+
+
+def test_pairs_of_classes_in_one_plan_are_each_pair_alone(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    y = np.arange(60) % 3
+    x = rng.normal(size=(60, 3)) + 1.2 * np.eye(3)[y]
+    rows = spark.createDataFrame([(i, "pqr"[y[i]], [float(v) for v in x[i]]) for i in range(60)], SCHEMA)
+    plan = Plan("boot", 1, 2)
+    accest = validate.accest
+    monkeypatch.setattr(validate, "accest", None)  # no plan for each pair
+    got = {r.pair: r for r in validate.mbinest(rows, ["plsc"], plan=plan).collect()}
+    assert sorted(got) == ["p~q", "p~r", "q~r"]
+    monkeypatch.setattr(validate, "accest", accest)
+    for pair in ("p~q", "q~r"):
+        want = validate.accest(rows.where(F.col("cls").isin(*pair.split("~"))), "plsc", plan).summary.first()
+        assert np.allclose([got[pair].acc, got[pair].auc, got[pair].margin], [want.acc, want.auc, want.margin])
+
+
+def test_forest_of_all_rows_votes_as_one(spark):
+    """Trees in several tasks vote as the forest of all training rows in one, in the order of the ids' hashes."""
+    rng = np.random.default_rng(6)
+    y, order = np.array(list("ab"))[np.arange(90) % 2], [r[0] for r in spark.range(90).orderBy(F.xxhash64("id"), "id").collect()]
+    x = rng.normal(size=(90, 4)) + (y == "b")[:, None]
+    rows = spark.createDataFrame([(i, str(y[i]), [float(v) for v in x[i]]) for i in range(90)], SCHEMA)
+    splits = rows.selectExpr("sample_id", "1 as iter", "1 as rep", "if(sample_id % 3 = 0, 0, cast(1 + sample_id % 2 as int)) as mult")
+    got = {r.sample_id: r for r in validate.predictions(rows, "randomForest", splits, trees=12)[0].collect()}
+    train = np.repeat([i for i in order if i % 3], [1 + i % 2 for i in order if i % 3])
+    forest = bounded.fit_forest(x[train], y[train], 12)
+    test = np.arange(0, 90, 3)
+    want = forest.posterior(x[test])
+    assert sorted(got) == test.tolist() and np.allclose([got[i].posterior for i in test], want)
+    assert [got[i].pred for i in test] == list(np.array(["a", "b"])[want.argmax(axis=1)])
+
+
+def test_own_functions_get_all_rows(spark):
+    """Above the 50,000 rows that once were the limit."""
+    rows = spark.range(50_100).selectExpr("id as sample_id", "if(id % 2 = 0, 'a', 'b') as cls", "array(double(id), double(id % 2)) as features")
+    splits = rows.selectExpr("sample_id", "1 as iter", "1 as rep", "if(sample_id = 7, 0, 1) as mult")
+    found = rank.rank_resampled(frame.long_from_arrays(rows, "sample_id", "features", "cls"), splits, lambda x, y: np.array([len(x), x[:, 1].sum()]))
+    assert {r.feature_idx: r.stat for r in found.collect()} == {0: 50_099.0, 1: 25_049.0}
+    told = validate.predictions(rows, validate.Classifier("n", lambda x, y: len(x), lambda n, z: np.full(len(z), str(n))), splits)[0].collect()
+    assert [(r.sample_id, r.pred) for r in told] == [(7, "50099")]
