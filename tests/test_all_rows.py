@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sparkomics.operators import bounded, frame, multirank, neighbours, rank, validate
+from sparkomics.operators import bounded, correlation, frame, multirank, neighbours, rank, summary, validate
 from sparkomics.operators.resample import Plan
 
 SCHEMA = "sample_id long, cls string, features array<double>"
@@ -102,3 +102,35 @@ def test_own_functions_get_all_rows(spark):
     assert {r.feature_idx: r.stat for r in found.collect()} == {0: 50_099.0, 1: 25_049.0}
     told = validate.predictions(rows, validate.Classifier("n", lambda x, y: len(x), lambda n, z: np.full(len(z), str(n))), splits)[0].collect()
     assert [(r.sample_id, r.pred) for r in told] == [(7, "50099")]
+
+
+def test_kendall_by_buckets(spark, monkeypatch):
+    """Ties, a frequent value, missing cells and several buckets: as in one task."""
+    rng = np.random.default_rng(8)
+    monkeypatch.setattr(correlation, "BUCKET_ROWS", 40)
+    monkeypatch.setattr(correlation, "MOST_PAIR", 100)  # the old limit, made small
+    x = np.stack([rng.normal(size=500), rng.integers(0, 40, 500), np.where(rng.random(500) < 0.4, 7.0, rng.integers(0, 100, 500))], axis=1)
+    x[:, 2] += x[:, 1]
+    gone = rng.random((500, 3)) < 0.1
+    rows = [(i, "a", f"f{j}", j, None if gone[i, j] else float(x[i, j])) for i in range(500) for j in range(3)]
+    long = spark.createDataFrame(rows, "sample_id long, cls string, feature string, feature_idx int, value double")
+    got = {(r.idx_1, r.idx_2): r for r in correlation.correlations(long, "kendall").collect()}
+    for (i, j), r in got.items():
+        ok = ~(gone[:, i] | gone[:, j])
+        a, b = x[ok, i], x[ok, j]
+        sa, sb = np.sign(a[:, None] - a), np.sign(b[:, None] - b)
+        assert r.n == ok.sum() and abs(r.cor - (sa * sb).sum() / np.sqrt((sa != 0).sum() * float((sb != 0).sum()))) < 1e-12
+    assert len(got) == 3
+
+
+def test_quantiles_in_buckets(spark):
+    """Medians and quartiles by feature and class, one of them null, without a percentile that gathers a group."""
+    rng = np.random.default_rng(9)
+    rows = [(i, [None, "a", "b"][i % 3], "f", 0, None if i == 5 else float(v)) for i, v in enumerate(np.where(rng.random(301) < 0.4, 3.0, rng.integers(0, 900, 301) / 7))]
+    long = spark.createDataFrame(rows, "sample_id long, cls string, feature string, feature_idx int, value double")
+    found = summary.vec_summ(long, ["cls"])
+    assert "percentile(" not in found._jdf.queryExecution().optimizedPlan().toString() and "median(" not in found._jdf.queryExecution().optimizedPlan().toString()
+    half, more = {r.cls: r for r in found.collect()}, {r.cls: r for r in summary.vec_summ_1(long, ["cls"]).collect()}
+    for c in (None, "a", "b"):
+        v = np.array([r[4] for r in rows if r[1] == c and r[4] is not None])
+        assert half[c].n == len(v) and half[c].median == np.median(v) and abs(more[c].iqr - np.subtract(*np.percentile(v, [75, 25]))) < 1e-12
