@@ -20,8 +20,10 @@ from .moments import MOST_FEATURES, merge_tree
 from .summary import value_ranks
 
 SCHEMA = "feature_1 string, feature_2 string, idx_1 int, idx_2 int, n long, cor double"
-#: Rows up to which Kendall's tau of one pair runs in one task (16 bytes a row, beside the sort).
-MOST_KENDALL = 20_000_000
+#: Rows up to which a pair of features with missing values is ranked in one task.
+MOST_PAIR = 20_000_000
+#: Rows of a bucket of Kendall's counts, about.
+BUCKET_ROWS = 200_000
 
 
 def feature_names(long: DataFrame) -> list[tuple[int, str]]:
@@ -91,52 +93,137 @@ def _ranks(long: DataFrame) -> DataFrame:
     return long.join(ranks.select("feature", "value", "midrank"), ["feature", "value"]).select("sample_id", "cls", "feature", "feature_idx", F.col("midrank").alias("value"))
 
 
-def _pairwise(long: DataFrame, method: str) -> DataFrame:
-    """By pair of features on its complete rows, each pair in one task; for rank methods with missing values."""
+def _pairwise(long: DataFrame) -> DataFrame:
+    """By pair of features on its complete rows, each pair in one task; Spearman's with missing values."""
     a = long.select("sample_id", F.col("feature").alias("feature_1"), F.col("feature_idx").alias("idx_1"), F.col("value").alias("x")).where("x is not null")
     b = long.select("sample_id", F.col("feature").alias("feature_2"), F.col("feature_idx").alias("idx_2"), F.col("value").alias("y")).where("y is not null")
     pairs = a.join(b, "sample_id").where("idx_1 < idx_2")
 
     def each(frame: pd.DataFrame) -> pd.DataFrame:
-        if len(frame) > MOST_KENDALL:
-            raise ValueError(f"more than {MOST_KENDALL} rows in a pair")
+        if len(frame) > MOST_PAIR:
+            raise ValueError(f"more than {MOST_PAIR} rows in a pair")
         x, y = frame["x"].to_numpy(), frame["y"].to_numpy()
-        r = kendall(x, y) if method == "kendall" else float(np.corrcoef(frame["x"].rank(), frame["y"].rank())[0, 1]) if len(x) > 1 and x.std() and y.std() else np.nan
+        r = float(np.corrcoef(frame["x"].rank(), frame["y"].rank())[0, 1]) if len(x) > 1 and x.std() and y.std() else np.nan
         return pd.DataFrame({"feature_1": frame["feature_1"].iloc[:1], "feature_2": frame["feature_2"].iloc[:1], "idx_1": frame["idx_1"].iloc[:1].astype("int32"), "idx_2": frame["idx_2"].iloc[:1].astype("int32"), "n": [len(x)], "cor": [r]})
 
     return pairs.groupBy("idx_1", "idx_2").applyInPandas(each, SCHEMA)
 
 
-def kendall(x: np.ndarray, y: np.ndarray) -> float:
-    """Tau-b in O(n log n): discordant pairs are inversions of y in the order of x."""
-    n = len(x)
-    if n < 2:
-        return float("nan")
-    order = np.lexsort((y, x))
-    x, y = x[order], np.unique(y[order], return_inverse=True)[1]
-    ties = lambda c: float((c * (c - 1.0) / 2).sum())
-    tx, ty = ties(np.unique(x, return_counts=True)[1]), ties(np.unique(y, return_counts=True)[1])
-    txy = ties(np.unique(np.column_stack([np.unique(x, return_inverse=True)[1], y]), axis=0, return_counts=True)[1])
-    inversions, width, now = 0, 1, y.copy()
+def discordant(x: np.ndarray, y: np.ndarray) -> int:
+    """Pairs of rows that x and y order differently: inversions of y in the order of x, in O(n log n)."""
+    n, order = len(x), np.lexsort((y, x))
+    now = np.unique(y[order], return_inverse=True)[1]
+    inversions, width = 0, 1
     while width < n:
         for a in range(0, n - width, 2 * width):
             left, right = now[a : a + width], now[a + width : a + 2 * width]
             inversions += int((len(left) - np.searchsorted(left, right, "right")).sum())
             now[a : a + 2 * width] = np.sort(now[a : a + 2 * width], kind="stable")
         width *= 2
-    pairs = n * (n - 1) / 2
-    top = pairs - tx - ty + txy - 2 * inversions
-    low = np.sqrt((pairs - tx) * (pairs - ty))
-    return float(top / low) if low else float("nan")
+    return inversions
+
+
+def kendall(x: np.ndarray, y: np.ndarray) -> float:
+    """Tau-b in O(n log n)."""
+    n = len(x)
+    if n < 2:
+        return float("nan")
+    ties = lambda *c: sum(k * (k - 1) // 2 for k in np.unique(np.column_stack(c), axis=0, return_counts=True)[1].tolist())
+    return _tau_b(n, ties(x), ties(y), ties(x, y), discordant(x, y))
+
+
+def _tau_b(n: int, tied_x: int, tied_y: int, tied: int, inverted: int) -> float:
+    pairs = n * (n - 1) // 2
+    low = float(pairs - tied_x) ** 0.5 * float(pairs - tied_y) ** 0.5
+    return float(pairs - tied_x - tied_y + tied - 2 * inverted) / low if low else float("nan")
+
+
+def _kendall(long: DataFrame, names: list[tuple[int, str]]) -> DataFrame:
+    """Tau-b of all pairs of features, each on its complete rows.
+
+    Quantiles cut each feature into buckets, and a value so frequent that it is a quantile has one of its own.  Pairs of rows
+    that differ in both buckets follow from the counts of the cells.  Those of one bucket of x are counted in the task that
+    gets it, those of one bucket of y that differ in the bucket of x likewise; a bucket of a single value has none.
+    """
+    p, rows = len(names), long.where("value is not null").count() // max(1, len(names))
+    buckets = int(min(1024, max(8, rows // BUCKET_ROWS)))
+    found = long.groupBy("feature_idx").agg(F.percentile_approx("value", [i / buckets for i in range(1, buckets)], 10_000).alias("c")).collect()
+    cuts = {r[0]: np.unique(np.array(r[1] or [], dtype=float)) for r in found}
+    cuts = [cuts[i] for i, _ in names]
+    pairs = [(a, b) for a in range(p) for b in range(a + 1, p)]
+
+    def bucket(v: np.ndarray, k: int) -> np.ndarray:
+        at = np.searchsorted(cuts[k], v)
+        return 2 * at + (np.append(cuts[k], np.nan)[at] == v)  # odd: the cut itself
+
+    def columns(batch: pa.RecordBatch) -> np.ndarray:
+        return batch.column(0).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, p)
+
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = [np.zeros((2 * len(cuts[a]) + 1, 2 * len(cuts[b]) + 1), dtype=np.int64) for a, b in pairs]
+        for batch in batches:
+            x = columns(batch)
+            at = [bucket(x[:, k], k) for k in range(p)]
+            for i, (a, b) in enumerate(pairs):
+                ok = ~(np.isnan(x[:, a]) | np.isnan(x[:, b]))
+                np.add.at(counts[i], (at[a][ok], at[b][ok]), 1)
+        for i, c in enumerate(counts):
+            yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([c.tobytes()], type=pa.binary())], names=["k", "state"])
+
+    def merged(frame: pd.DataFrame) -> pd.DataFrame:
+        total = sum(np.frombuffer(b, dtype=np.int64) for b in frame["state"])
+        return pd.DataFrame({"k": frame["k"].iloc[:1].to_numpy(), "part": frame["part"].iloc[:1].to_numpy(), "state": [total.tobytes()]})
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = columns(batch)
+            at = [bucket(x[:, k], k) for k in range(p)]
+            for i, (a, b) in enumerate(pairs):
+                ok = ~(np.isnan(x[:, a]) | np.isnan(x[:, b]))
+                for side, (u, v) in enumerate(((a, b), (b, a))):
+                    some = np.flatnonzero(ok & (at[u] % 2 == 0))
+                    if len(some):
+                        group = (at[u][some] * len(pairs) + i) * 2 + side
+                        yield pa.RecordBatch.from_arrays([pa.array(group), pa.array(x[some, u]), pa.array(x[some, v]), pa.array(at[v][some])], names=["g", "u", "v", "w"])
+
+    def count(table: pa.Table) -> pa.Table:
+        g, u, v, w = (table[c].to_numpy() for c in ("g", "u", "v", "w"))
+        side = int(g[0]) % 2
+        n = lambda *c: sum(k * (k - 1) // 2 for k in np.unique(np.column_stack(c), axis=0, return_counts=True)[1].tolist())
+        if side == 0:  # of x: all pairs of the bucket
+            inside, both = discordant(u, v), n(u, v)
+        else:  # of y: pairs of different buckets of x; equal rows where the bucket of x is a value
+            odd = w % 2 == 1
+            inside, both = discordant(w, u), n(w[odd], u[odd]) if odd.any() else 0
+        return pa.table({"pair": pa.array([int(g[0]) // 2 % len(pairs)]), "side": pa.array([side]), "tied": pa.array([n(u)]), "both": pa.array([both]), "inside": pa.array([inside])})
+
+    vectors = _sample_vectors(long, names).select("features")
+    tables = merge_tree(vectors.mapInArrow(cells, "k long, state binary"), merged, "k long, part long, state binary").collect()  # one row for each pair of features
+    counts = {r.k: np.frombuffer(r.state, dtype=np.int64).reshape(2 * len(cuts[pairs[r.k][0]]) + 1, -1) for r in tables}
+    groups = vectors.mapInArrow(deal, "g long, u double, v double, w long").groupBy("g").applyInArrow(count, "pair long, side long, tied long, both long, inside long")
+    sums = {(r[0], r[1]): r[2:] for r in groups.groupBy("pair", "side").agg(*[F.sum(c) for c in ("tied", "both", "inside")]).collect()}
+    out, two = [], lambda c: int((c.astype(object) * (c.astype(object) - 1) // 2).sum()) if c.size else 0
+    for i, (a, b) in enumerate(pairs):
+        c = counts.get(i, np.zeros((1, 1), dtype=np.int64))
+        (tx, bx, dx), (ty, by, dy) = (sums.get((i, side), (0, 0, 0)) for side in (0, 1))
+        after = np.cumsum(c[::-1], axis=0)[::-1] - c  # rows of later buckets of x
+        less = np.cumsum(after, axis=1) - after  # of these, earlier buckets of y
+        apart = sum(int(k) * int(m) for k, m in zip(c.ravel().tolist(), less.ravel().tolist(), strict=True) if k and m)
+        tied_x, tied_y = tx + two(c.sum(axis=1)[1::2]), ty + two(c.sum(axis=0)[1::2])
+        tau = _tau_b(int(c.sum()), tied_x, tied_y, bx + by + two(c[1::2, 1::2]), apart + dx + dy)
+        out.append((names[a][1], names[b][1], names[a][0], names[b][0], int(c.sum()), None if tau != tau else tau))
+    return long.sparkSession.createDataFrame([r for r in out if r[4]], SCHEMA)
 
 
 def correlations(long: DataFrame, method: str = "pearson") -> DataFrame:
     """``feature_1, feature_2, idx_1, idx_2, n, cor`` for idx_1 < idx_2; null where nothing varies."""
     if method not in ("pearson", "spearman", "kendall"):
         raise ValueError(f"unknown method: {method}")
-    if method == "kendall" or method == "spearman" and not long.where("value is null").isEmpty():
-        return _pairwise(long, method)
+    if method == "spearman" and not long.where("value is null").isEmpty():
+        return _pairwise(long)
     names = feature_names(long)
+    if method == "kendall":
+        return _kendall(long, names)
     rows = _ranks(long) if method == "spearman" else long
     sums = _sums(_sample_vectors(_centred(rows), names), len(names))
     r, n = _r(sums), sums[0]
