@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sparkomics.operators import bounded, correlation, frame, multirank, neighbours, rank, summary, validate
+from sparkomics.operators import bounded, correlation, frame, multirank, neighbours, plotdata, rank, resample, summary, validate
 from sparkomics.operators.resample import Plan
 
 SCHEMA = "sample_id long, cls string, features array<double>"
@@ -134,3 +134,19 @@ def test_quantiles_in_buckets(spark):
     for c in (None, "a", "b"):
         v = np.array([r[4] for r in rows if r[1] == c and r[4] is not None])
         assert half[c].n == len(v) and half[c].median == np.median(v) and abs(more[c].iqr - np.subtract(*np.percentile(v, [75, 25]))) < 1e-12
+
+
+@pytest.mark.parametrize("metric", ["manhattan", "maximum"])
+def test_scaling_without_a_matrix(spark, monkeypatch, metric):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(90, 5)) * [4, 2, 1, 0.5, 0.5]
+    rows = spark.createDataFrame([(i, "a", [float(v) for v in x[i]]) for i in range(90)], SCHEMA)
+    want = [(r.x, r.y) for r in plotdata.mds(rows, metric).orderBy("sample_id").collect()]
+    monkeypatch.setattr(plotdata, "MOST_POINTS", 30)
+    got = [(r.x, r.y) for r in plotdata.mds(rows, metric).orderBy("sample_id").collect()]
+    assert len(got) == 90 and np.allclose(got, want, atol=1e-6)
+
+
+def test_leave_one_out_is_dealt_over_tasks(spark):
+    rows = spark.createDataFrame([(i, "ab"[i % 2]) for i in range(60)], "sample_id long, cls string")
+    assert resample.splits(rows, Plan("loocv")).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
