@@ -197,7 +197,10 @@ def _kendall(long: DataFrame, names: list[tuple[int, str]]) -> DataFrame:
             inside, both = discordant(w, u), n(w[odd], u[odd]) if odd.any() else 0
         return pa.table({"pair": pa.array([int(g[0]) // 2 % len(pairs)]), "side": pa.array([side]), "tied": pa.array([n(u)]), "both": pa.array([both]), "inside": pa.array([inside])})
 
-    vectors = _sample_vectors(long, names).select("features")
+    if p <= 32:  # one sum for each feature, in generated code
+        vectors = long.groupBy("sample_id").agg(F.array(*[F.max(F.when(F.col("feature_idx") == i, F.col("value"))) for i, _ in names]).alias("features")).select("features")
+    else:
+        vectors = _sample_vectors(long, names).select("features")
     tables = merge_tree(vectors.mapInArrow(cells, "k long, state binary"), merged, "k long, part long, state binary").collect()  # one row for each pair of features
     counts = {r.k: np.frombuffer(r.state, dtype=np.int64).reshape(2 * len(cuts[pairs[r.k][0]]) + 1, -1) for r in tables}
     groups = vectors.mapInArrow(deal, "g long, u double, v double, w long").groupBy("g").applyInArrow(count, "pair long, side long, tied long, both long, inside long")
