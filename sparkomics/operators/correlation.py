@@ -111,9 +111,11 @@ def _pairwise(long: DataFrame) -> DataFrame:
 
 def discordant(x: np.ndarray, y: np.ndarray) -> int:
     """Pairs of rows that x and y order differently: inversions of y in the order of x, in O(n log n)."""
-    n, order = len(x), np.lexsort((y, x))
-    now = np.unique(y[order], return_inverse=True)[1]
-    inversions, width = 0, 1
+    n = -(-len(x) // 64) * 64
+    now = np.append(np.unique(y[np.lexsort((y, x))], return_inverse=True)[1], np.full(n - len(x), len(x)))  # what fills up is last and largest
+    blocks, width = now.reshape(-1, 64), 64
+    inversions = sum(int(np.count_nonzero(blocks[:, :-i] > blocks[:, i:])) for i in range(1, 64))
+    now = np.sort(blocks, axis=1).ravel()
     while width < n:
         for a in range(0, n - width, 2 * width):
             left, right = now[a : a + width], now[a + width : a + 2 * width]
@@ -123,13 +125,20 @@ def discordant(x: np.ndarray, y: np.ndarray) -> int:
     return inversions
 
 
+def tied_pairs(*columns: np.ndarray) -> int:
+    """Pairs of rows that are equal in all columns."""
+    order = np.lexsort(columns)
+    new = np.logical_or.reduce([np.diff(c[order]) != 0 for c in columns])
+    sizes = np.diff(np.flatnonzero(np.r_[True, new, True])) if len(order) else np.empty(0, dtype=np.int64)
+    return int((sizes * (sizes - 1) // 2).sum())
+
+
 def kendall(x: np.ndarray, y: np.ndarray) -> float:
     """Tau-b in O(n log n)."""
     n = len(x)
     if n < 2:
         return float("nan")
-    ties = lambda *c: sum(k * (k - 1) // 2 for k in np.unique(np.column_stack(c), axis=0, return_counts=True)[1].tolist())
-    return _tau_b(n, ties(x), ties(y), ties(x, y), discordant(x, y))
+    return _tau_b(n, tied_pairs(x), tied_pairs(y), tied_pairs(x, y), discordant(x, y))
 
 
 def _tau_b(n: int, tied_x: int, tied_y: int, tied: int, inverted: int) -> float:
@@ -189,13 +198,12 @@ def _kendall(long: DataFrame, names: list[tuple[int, str]]) -> DataFrame:
     def count(table: pa.Table) -> pa.Table:
         g, u, v, w = (table[c].to_numpy() for c in ("g", "u", "v", "w"))
         side = int(g[0]) % 2
-        n = lambda *c: sum(k * (k - 1) // 2 for k in np.unique(np.column_stack(c), axis=0, return_counts=True)[1].tolist())
         if side == 0:  # of x: all pairs of the bucket
-            inside, both = discordant(u, v), n(u, v)
+            inside, both = discordant(u, v), tied_pairs(u, v)
         else:  # of y: pairs of different buckets of x; equal rows where the bucket of x is a value
             odd = w % 2 == 1
-            inside, both = discordant(w, u), n(w[odd], u[odd]) if odd.any() else 0
-        return pa.table({"pair": pa.array([int(g[0]) // 2 % len(pairs)]), "side": pa.array([side]), "tied": pa.array([n(u)]), "both": pa.array([both]), "inside": pa.array([inside])})
+            inside, both = discordant(w, u), tied_pairs(w[odd], u[odd])
+        return pa.table({"pair": pa.array([int(g[0]) // 2 % len(pairs)]), "side": pa.array([side]), "tied": pa.array([tied_pairs(u)]), "both": pa.array([both]), "inside": pa.array([inside])})
 
     if p <= 32:  # one sum for each feature, in generated code
         vectors = long.groupBy("sample_id").agg(F.array(*[F.max(F.when(F.col("feature_idx") == i, F.col("value"))) for i, _ in names]).alias("features")).select("features")
